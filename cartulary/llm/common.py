@@ -92,12 +92,12 @@ def map_texts(
 def explode_texts(
     df: DataFrame,
     work: Callable[[list[bytes | None], list[pa.Array]], dict[str, Any] | None],
-    schema: str,
+    schema: str | T.StructType,
     ids: list[str],
     text: str = "text",
 ) -> DataFrame:
     """Any number of rows from each slice: work gets the texts and the columns ids."""
-    kinds = T.StructType.fromDDL(schema)
+    kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = [(f.name, to_arrow_type(f.dataType)) for f in kinds]
@@ -107,7 +107,7 @@ def explode_texts(
             for part in slices(batch, "__text"):
                 got = work(part.column("__text").to_pylist(), [part.column(i) for i in range(len(ids))])
                 if got is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(got[n], type=t) for n, t in arrow], names=[n for n, _ in arrow])
+                    yield pa.RecordBatch.from_arrays([got[n] if isinstance(got[n], pa.Array) else pa.array(got[n], type=t) for n, t in arrow], names=[n for n, _ in arrow])
 
     return df.select(*[F.col(f"`{c}`") for c in ids], F.col(f"`{text}`").cast("binary").alias("__text")).mapInArrow(run, kinds)
 
