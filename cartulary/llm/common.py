@@ -61,15 +61,17 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
 
 def map_texts(
     df: DataFrame,
-    work: Callable[[list[bytes | None]], dict[str, Any]],
+    work: Callable[..., dict[str, Any]],
     fields: list[tuple[str, str]],
     keep: list[str],
     text: str = "text",
+    also: str | None = None,
 ) -> DataFrame:
     """keep, then the columns that work makes of the texts, row for row.
 
-    work gets the texts of one slice as bytes (None for null) and returns a
-    list or array for each of fields, in order of the rows.
+    work gets the texts of one slice as bytes (None for null), and the values
+    of the column also if it is given, and returns a list or array for each of
+    fields, in order of the rows.
     """
     keep_fields = [df.schema[c] for c in keep]
     made = [T.StructField(n, T.DataType.fromDDL(t)) for n, t in fields]
@@ -81,12 +83,14 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):
-                got = work(part.column("__text").to_pylist())
+                more = [part.column("__also").to_pylist()] if also else []
+                got = work(part.column("__text").to_pylist(), *more)
                 cols = [part.column(i) for i in range(len(keep))]
                 cols += [x if isinstance(x := got[n], pa.Array) else pa.array(x, type=t) for n, t in zip(names, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, *names])
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("__text")).mapInArrow(run, schema)
+    more = [F.col(also).alias("__also")] if also else []
+    return df.select(*[F.col(f"`{c}`") for c in keep], *more, F.col(f"`{text}`").cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
 def explode_texts(
