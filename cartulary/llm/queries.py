@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm import contamination, language, packing, quality, rules, simhash, substrings, warc
+from cartulary.llm import contamination, language, lines, packing, quality, rules, simhash, substrings, warc
 from cartulary.llm.common import is_held_out
 
 QUERIES: dict = {}
@@ -74,3 +74,39 @@ def _vocabulary() -> tuple[str, str]:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pack(table(spark, sf_dir, "documents"), *_vocabulary())
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "key")
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_lines(table(spark, sf_dir, "documents"), ["doc_id", "text"])
+    return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+# Lines with a word, numbered; windows of three of them; a line goes if one over it was seen before.
+ORACLES["op8_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, u.i AS i, u.line AS line,
+         trim(u.line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS body
+  FROM documents, LATERAL (
+    SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i) AS u
+  WHERE text IS NOT NULL),
+worded AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM lines WHERE body <> ''),
+windows AS (
+  SELECT doc_id, n, body AS a, lead(body, 1) OVER w AS b, lead(body, 2) OVER w AS c
+  FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+ranked AS (
+  SELECT doc_id, n, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, n) AS seen FROM windows WHERE c IS NOT NULL),
+gone AS (
+  SELECT DISTINCT doc_id, n + k AS n FROM ranked, (VALUES (0), (1), (2)) AS s(k) WHERE seen > 1),
+marked AS (
+  SELECT l.doc_id, l.i, l.line, w.n IS NOT NULL AS has_word, g.n IS NOT NULL AS removed
+  FROM lines l LEFT JOIN worded w ON w.doc_id = l.doc_id AND w.i = l.i LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.n = w.n),
+kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE has_word) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT removed), '') AS body
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed,
+       sha256(coalesce(k.body, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
