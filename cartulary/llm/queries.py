@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm import contamination, language, lines, packing, quality, rules, simhash, substrings, warc
+from cartulary.llm import contamination, language, lines, packing, quality, quotes, rules, simhash, substrings, warc
 from cartulary.llm.common import is_held_out
 
 QUERIES: dict = {}
@@ -110,3 +110,8 @@ SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS
        sha256(coalesce(k.body, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
+
+
+@query
+def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_order(table(spark, sf_dir, "conversations"))
