@@ -64,7 +64,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "frame")
 
 
-def _vocabulary() -> tuple[str, str]:
+def vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -72,7 +72,7 @@ def _vocabulary() -> tuple[str, str]:
 
 @query
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packing.pack(table(spark, sf_dir, "documents"), *_vocabulary())
+    found = packing.pack(table(spark, sf_dir, "documents"), *vocabulary())
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "key")
 
 

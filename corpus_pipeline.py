@@ -1,10 +1,66 @@
-"""A corpus pipeline of the training-data operators (see STAGES)."""
+"""A corpus pipeline of the training-data operators.
+
+Each stage takes (spark, docs, sf_dir) and returns documents (same columns),
+the last one the pieces of packed sequences.  A stage works on all that its
+predecessor kept, and what it decides takes effect:
+
+1. language identification: documents that it rejects go;
+2. line deduplication: later repeated runs of lines go from the texts (n_chars
+   follows), and documents of which no line with a word is left;
+3. SimHash near-duplicates: the document with the smallest doc_id of each group
+   stays (rows that share a doc_id are one document; a null doc_id stays);
+4. benchmark decontamination: documents with an occurring window go;
+5. packing of what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cartulary.llm import contamination, language, lines, packing, simhash
+from cartulary.llm.queries import vocabulary
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = language.identify(docs, language.fit(docs), docs.columns)
+    return judged.where("not __rejected").select(*docs.columns)
+
+
+def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shortened = lines.remove_lines(docs)
+    left = shortened.where("__removed = 0 or __removed < __lines")
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("__removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+        left = left.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(docs)
+    return docs.join(groups.where("doc_id > component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contamination.decontaminate(docs, benchmark, docs.columns)
+    return found.where("found.n_hit = 0").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(docs, *vocabulary())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "key")
+
+
+STAGES = [
+    ("language identification", identify_language),
+    ("line deduplication", deduplicate_lines),
+    ("near-duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: SQL can state neither the trained language model nor the fingerprints.
 ORACLE_SQL = None
 
 
