@@ -72,7 +72,7 @@ class Tests:
                 length = min(window, len(ids))
                 for i in range(len(ids) - length + 1):
                     at[tuple(ids[i : i + length])].add(item)
-            pairs.update((tuple(ids[i : i + length]), tuple(ids[i + 1 : i + 1 + length])) for i in range(len(ids) - length))
+                pairs.update((tuple(ids[i : i + length]), tuple(ids[i + 1 : i + 1 + length])) for i in range(len(ids) - length))
         keys = sorted(at)
         self.items = [sorted(at[k]) for k in keys]
         self.lengths = np.array([len(k) for k in keys], np.int64)
@@ -179,9 +179,9 @@ def _spans(hit: np.ndarray) -> list[list[int]]:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns keep and a struct `found`, for each row.
+    """The columns keep and a struct `__found`, for each row.
 
-    found: n_words; n_hit, the words in occurring windows; longest, the words
+    __found: n_words; n_hit, the words in occurring windows; longest, the words
     of the longest verbatim match; spans, start and length of each stretch of
     hit words; items, the sorted ids of the items with occurring windows.
     """
@@ -207,4 +207,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
             return {"kept": ids[0], "__body": pa.array(texts, pa.binary()), **out}
 
         now = explode_texts(now, work, schema, ["kept", "longest", "spans", "items"], "__body")
-    return now.select("kept.*", F.struct(*[f.name for f in fields]).alias("found"))
+    return now.select("kept.*", F.struct(*[f.name for f in fields]).alias("__found"))
