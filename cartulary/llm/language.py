@@ -43,7 +43,7 @@ _FOLD = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x
 
 def grams(data: bytes) -> np.ndarray:
     """Bucket numbers of the n-grams of 1 to 4 bytes, not across more than a word's edge."""
-    x = np.frombuffer(data.translate(_FOLD), np.uint8).astype(np.uint32)
+    x = np.frombuffer(b" " + data.translate(_FOLD) + b" ", np.uint8).astype(np.uint32)
     return _buckets(x)[0]
 
 
@@ -87,7 +87,7 @@ class Model:
         """Number of the language and its probability, for each text."""
         n, k = len(texts), len(self.languages)
         sums, counts = np.zeros((n, k)), np.zeros(n)
-        # Short texts together, with a blank between; long ones in stretches.
+        # Short texts together; long ones in stretches.
         for first, last, data in _groups(texts):
             x = np.frombuffer(data.translate(_FOLD), np.uint8).astype(np.uint32)
             bucket, at = _buckets(x)
@@ -95,7 +95,7 @@ class Model:
                 sums[first] += self.table[bucket].sum(axis=0)
                 counts[first] += len(bucket)
             else:
-                edges = np.cumsum([len(t) + 1 for t in texts[first:last]])
+                edges = np.cumsum([len(t) + 2 for t in texts[first:last]])
                 doc = np.searchsorted(edges, at, "right")
                 counts[first:last] += np.bincount(doc, minlength=last - first)
                 for j in range(k):
@@ -106,22 +106,27 @@ class Model:
         return p.argmax(axis=1), p.max(axis=1)
 
 
+def _padded(texts: list[bytes]) -> bytes:
+    """Each text between blanks of its own, so that no n-gram spans two."""
+    return b"".join(x for t in texts for x in (b" ", t, b" "))
+
+
 def _groups(texts: list[bytes], limit: int = 1 << 18):
     first, size = 0, 0
     for i, t in enumerate(texts):
         if len(t) > limit:
             if i > first:
-                yield first, i, b" ".join(texts[first:i]) + b" "
+                yield first, i, _padded(texts[first:i])
             for s in range(0, len(t), limit):
-                yield i, i + 1, t[s : s + limit]
+                yield i, i + 1, _padded([t[s : s + limit]])
             first, size = i + 1, 0
         else:
             size += len(t)
             if size > limit:
-                yield first, i + 1, b" ".join(texts[first : i + 1]) + b" "
+                yield first, i + 1, _padded(texts[first : i + 1])
                 first, size = i + 1, 0
     if first < len(texts):
-        yield first, len(texts), b" ".join(texts[first:]) + b" "
+        yield first, len(texts), _padded(texts[first:])
 
 
 def training_sample(docs: DataFrame, text: str, lang: str, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id") -> list[tuple[bytes, str]]:

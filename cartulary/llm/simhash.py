@@ -10,10 +10,10 @@ decides.  Only distinct fingerprints are dealt, and a cell yields a spanning
 set of its links (never all its pairs): linear in the cell.
 
 Cases: a null or wordless text has fingerprint zero and is linked like any
-other; fewer words than a shingle are one shingle.  Rows that share a doc_id
-are one document for linking, and all come back.  A row with a null doc_id
-keeps its fingerprint and gets the component of its fingerprint, null if no
-other row has one.  Other columns are left out.
+other; fewer words than a shingle are one shingle.  Links are between
+fingerprints only: rows that share a doc_id come back one by one, and are not
+linked by that.  A row with a null doc_id gets the component of its
+fingerprint, null if no row there has a doc_id.  Other columns are left out.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ SEED = 42
 DISTANCE = 2
 #: Distinct fingerprints of a cell that one task compares; larger cells are dealt by single bit flips.
 CELL_LIMIT = 1 << 16
+#: Members of a cell of which all pairs are compared at once.
+FEW = 16
 ROWS_OUT = 1 << 15
 FLIPS = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
 
@@ -69,37 +71,36 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
 
 def _cells(fps: DataFrame) -> DataFrame:
-    """cell, fp, rep: each fingerprint in its own cell and those a step away."""
+    """cell, fp: each fingerprint in its own cell and those a step away."""
     ones = F.lit(0x1111111111111111)
     counts = sum((F.shiftrightunsigned("fp", i).bitwiseAND(ones) for i in range(1, 4)), F.col("fp").bitwiseAND(ones))
-    at = fps.select("fp", "rep", counts.alias("own"))
     own = F.col("own")
     steps = [own]
     for i in range(16):
         nibble = F.shiftrightunsigned(own, 4 * i).bitwiseAND(F.lit(15))
         one = 1 << (4 * i)
         steps += [F.when(nibble < 4, own + F.lit(one)), F.when(nibble > 0, own - F.lit(one))]
-    return at.select("fp", "rep", F.explode(F.array_compact(F.array(*steps))).alias("cell"))
+    return fps.select("fp", counts.alias("own")).select("fp", F.explode(F.array_compact(F.array(*steps))).alias("cell"))
 
 
 def _links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (a, b) of a set of links that connects whatever is within DISTANCE."""
+    """Positions (a, b) of links, fewer than fp has members, that connect whatever is within DISTANCE."""
     n = len(fp)
     if n <= 48:
         a, b = np.triu_indices(n, 1)
         near = np.bitwise_count(fp[a] ^ fp[b]) <= DISTANCE
-        return a[near], b[near]
-    # Within two bits of each other: a common value one flip away.  The first that has a value stands for it.
-    keys = (fp[:, None] ^ FLIPS[None, :]).ravel()
-    who = np.repeat(np.arange(n), len(FLIPS))
-    order = np.argsort(keys, kind="stable")
-    keys, who = keys[order], who[order]
-    first = np.concatenate([[True], keys[1:] != keys[:-1]])
-    head = who[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-    code = np.unique(head[~first] * n + who[~first])
-    a, b = code // n, code % n
-    # One link to each is enough, if it is to an earlier one that is itself linked on; keep them a forest.
-    root = np.arange(n)
+        a, b = a[near], b[near]
+    else:
+        # Within two bits of each other: a common value one flip away.  The first that has a value stands for it.
+        keys = (fp[:, None] ^ FLIPS[None, :]).ravel()
+        who = np.repeat(np.arange(n), len(FLIPS))
+        order = np.argsort(keys, kind="stable")
+        keys, who = keys[order], who[order]
+        first = np.concatenate([[True], keys[1:] != keys[:-1]])
+        head = who[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
+        code = np.unique(head[~first] * n + who[~first])
+        a, b = code // n, code % n
+    root = list(range(n))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -117,100 +118,87 @@ def _links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(limit: int):
-    """Rows sorted by cell and fp to links, and to the rows of cells over limit (with their cell)."""
-
-    def emit(u: list, v: list, fp: list, cell: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], type=pa.int64(), from_pandas=False) for x in (u, v, fp)] + [pa.array(np.concatenate(cell) if cell else [], type=pa.bool_())], names=["u", "v", "fp", "big"])
+    """Rows sorted by cell and fp to links (u, v), and to the fingerprints of cells over limit (big, u = v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        nothing = np.zeros(0, np.int64)
+        held_cell = held = nothing  # the last cell so far, which may go on
         passing = None  # the cell over the limit whose rows go through
-        outs: list[list] = [[], [], [], []]
-        size = 0
+        outs: tuple[list, list, list] = ([], [], [])
 
-        def put(u, v, fp, big: bool) -> None:
-            nonlocal size
-            for o, x in zip(outs, (u, v, fp, np.full(len(u), big)), strict=True):
+        def put(u: np.ndarray, v: np.ndarray, big: bool = False) -> None:
+            for o, x in zip(outs, (u, v, np.full(len(u), big)), strict=True):
                 o.append(x)
-            size += len(u)
 
-        def through(fp, rep) -> None:
-            put(rep, rep, fp, True)
+        def out() -> pa.RecordBatch:
+            cols = [np.concatenate(o) if o else np.zeros(0) for o in outs]
+            for o in outs:
+                o.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["u", "v", "big"])
 
-        def solve(cell, fp, rep) -> None:
+        def solve(cell: np.ndarray, fp: np.ndarray) -> None:
             """Whole cells, sorted."""
-            n = len(cell)
-            if not n:
+            if not len(cell):
                 return
             begins = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            sizes = np.diff(np.append(begins, n))
-            u64 = fp.view(np.uint64)
-            small = np.repeat(sizes <= 16, sizes)
-            for k in range(1, min(16, int(sizes.max()))):
-                near = np.flatnonzero((cell[k:] == cell[:-k]) & small[k:])
-                near = near[np.bitwise_count(u64[near] ^ u64[near + k]) <= DISTANCE]
-                if len(near):
-                    put(rep[near], rep[near + k], np.zeros(len(near), np.int64), False)
-            for i in np.flatnonzero(sizes > 16):
-                s = slice(begins[i], begins[i] + sizes[i])
-                if sizes[i] > limit:
-                    through(fp[s], rep[s])
-                    continue
-                a, b = _links(u64[s])
-                put(rep[s][a], rep[s][b], np.zeros(len(a), np.int64), False)
+            sizes = np.diff(np.append(begins, len(cell)))
+            bits = fp.view(np.uint64)
+            few = np.repeat(sizes <= FEW, sizes)
+            for k in range(1, min(FEW, int(sizes.max()))):
+                at = np.flatnonzero((cell[k:] == cell[:-k]) & few[k:])
+                at = at[np.bitwise_count(bits[at] ^ bits[at + k]) <= DISTANCE]
+                put(fp[at], fp[at + k])
+            for i in np.flatnonzero(sizes > FEW):
+                own = fp[begins[i] : begins[i] + sizes[i]]
+                if len(own) > limit:
+                    put(own, own, True)
+                else:
+                    a, b = _links(own.view(np.uint64))
+                    put(own[a], own[b])
 
         for batch in batches:
-            cell, fp, rep = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "fp", "rep"))
+            cell, fp = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("cell", "fp"))
             if passing is not None:
                 k = int(np.searchsorted(cell, passing, "right"))
-                through(fp[:k], rep[:k])
-                cell, fp, rep = cell[k:], fp[k:], rep[k:]
-                if not len(cell):
-                    if size >= ROWS_OUT:
-                        yield emit(*outs)
-                        outs, size = [[], [], [], []], 0
-                    continue
-                passing = None
-            cell, fp, rep = (np.concatenate([h, x]) for h, x in zip(held, (cell, fp, rep), strict=True))
-            if not len(cell):
-                continue
-            last = int(np.searchsorted(cell, cell[-1], "left"))
-            solve(cell[:last], fp[:last], rep[:last])
-            held = [cell[last:], fp[last:], rep[last:]]
-            if len(held[0]) > limit:
-                passing = held[0][0]
-                through(held[1], held[2])
-                held = [np.zeros(0, np.int64)] * 3
-            if size >= ROWS_OUT:
-                yield emit(*outs)
-                outs, size = [[], [], [], []], 0
-        solve(*held)
-        if size:
-            yield emit(*outs)
+                put(fp[:k], fp[:k], True)
+                cell, fp = cell[k:], fp[k:]
+                if len(cell):
+                    passing = None
+            if len(cell):
+                cell, fp = np.concatenate([held_cell, cell]), np.concatenate([held, fp])
+                last = int(np.searchsorted(cell, cell[-1], "left"))
+                solve(cell[:last], fp[:last])
+                held_cell, held = cell[last:], fp[last:]
+                if len(held) > limit:
+                    passing = held_cell[0]
+                    put(held, held, True)
+                    held_cell = held = nothing
+            if sum(map(len, outs[0])) >= ROWS_OUT:
+                yield out()
+        solve(held_cell, held)
+        yield out()
 
     return run
 
 
 def links(fps: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """(u, v): reps of fingerprints within DISTANCE, enough to connect all that are.
-
-    fps: distinct fp with rep, its smallest doc_id.
-    """
+    """(u, v): fingerprints within DISTANCE of each other, enough pairs to connect all that are; fps: distinct fp."""
     dealt = _cells(fps).repartition("cell").sortWithinPartitions("cell", "fp")
-    got = cut(dealt.mapInArrow(_compare(cell_limit), "u bigint, v bigint, fp bigint, big boolean"))
+    got = cut(dealt.mapInArrow(_compare(cell_limit), "u bigint, v bigint, big boolean"))
     near = got.where("not big").select("u", "v").distinct()
-    # Cells over the limit: dealt by the values one flip away; the least rep of a value stands for it.
-    big = got.where("big").select("fp", F.col("u").alias("rep")).distinct()
-    flips = F.array(*[F.col("fp").bitwiseXOR(F.lit(int(x))) for x in FLIPS.view(np.int64)])
-    keyed = big.select("rep", F.explode(flips).alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("rep").alias("u"), F.max("rep").alias("most")).where("u < most").select("key", "u")
-    return near.unionAll(keyed.join(heads, "key").where("u < rep").select("u", F.col("rep").alias("v"))).distinct()
+    # Cells over the limit: dealt by the values one flip away; the least fingerprint of a value stands for it.
+    big = got.where("big").select("u").distinct()
+    flips = F.array(*[F.col("u").bitwiseXOR(F.lit(int(x))) for x in FLIPS.view(np.int64)])
+    keyed = big.select(F.col("u").alias("v"), F.explode(flips).alias("key"))
+    heads = keyed.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("most")).where("u < most").select("key", "u")
+    return near.unionAll(keyed.join(heads, "key").where("u < v").select("u", "v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, cell_limit: int = CELL_LIMIT) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable by links of two bits or fewer)."""
     rows = cut(fingerprints(docs, doc_id, text, shingle).withColumnRenamed(doc_id, "doc_id"))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(links(classes.where("rep is not null"), cell_limit))
-    of = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    linked = classes.join(components(links(classes.select("fp"), cell_limit)).withColumnRenamed("node", "fp"), "fp", "left")
+    linked = linked.select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    of = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return rows.join(linked.join(of, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

@@ -36,9 +36,9 @@ def test_repeated_words_with_a_large_vocabulary():
 
 
 def test_fences_of_groups(spark):
-    clean = [(i, " ".join(f"w{i}x{k}" for k in range(80)), "en", "good" if i % 2 else "other", "clash") for i in range(600)]
-    odd = [(9000, " ".join(f"$w{k}$$$" for k in range(80)), "en", "good", ""), (9001, " ".join(f"w{k}" for k in range(80)), "fr", None, ""), (9002, " ".join("abcdefghijklmnopqrstuvwxyz" + str(k) for k in range(80)), None, "rare", "")]
-    symbols = [(2000 + i, " ".join(f"#w{i}x{k}" for k in range(80)), "en", "tags", "") for i in range(300)]
+    clean = [(i, " ".join(f"w{i:03d}x{k:02d}" for k in range(80)), "en", "good" if i % 2 else "other", "clash") for i in range(600)]
+    odd = [(9000, " ".join(f"$w{k}$$$" for k in range(80)), "en", "good", ""), (9001, " ".join(f"v{k:03d}x00" for k in range(80)), "fr", None, ""), (9002, " ".join("abcdefghijklmnopqrstuvwxyz" + str(k) for k in range(80)), None, "rare", "")]
+    symbols = [(2000 + i, " ".join(f"#w{i:03d}x{k:02d}" for k in range(80)), "en", "tags", "") for i in range(300)]
     df = spark.createDataFrame(clean + odd + symbols, "doc_id bigint, text string, lang string, source string, q string").repartition(4)
     got = {r.doc_id: r for r in rules.judge(df).collect()}
     assert all(got[i].kept for i in range(600)) and got[9001].kept

@@ -26,7 +26,8 @@ def test_stretches_and_groups_agree():
 
 
 def test_ngrams_stay_in_words():
-    assert len(language.grams(b"ab")) == 3  # a, b, ab
+    assert len(language.grams(b"ab")) == 7  # a, b, ab, and with the word's edges: _a, b_, _ab, ab_
+    assert len(language.grams(b"ab cd")) == 14
     assert len(language.grams(b"")) == 0 and len(language.grams(b"1 2")) == 0
     assert sorted(language.grams(b"AB")) == sorted(language.grams(b"ab"))
 
