@@ -11,6 +11,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ASCII = r"^[\x00-\x7F]*$"
 
@@ -33,13 +34,13 @@ def canonical(value: Any) -> str:
     return json.dumps(clean(value), ensure_ascii=False, separators=(",", ":"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """The canonical form of JSON texts; a number with a fraction or text that is no JSON fails."""
     return text.map(lambda t: None if t is None else canonical(json.loads(t)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _search_form(text: pd.Series) -> pd.Series:
     def one(t):
         return None if t is None else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).lower())
@@ -47,7 +48,7 @@ def _search_form(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
@@ -72,7 +73,7 @@ def without_spaces(text: Column) -> Column:
 
 def dash_to_null(text: Column) -> Column:
     """Null for texts of dashes alone."""
-    return F.when(F.trim(text).rlike(r"^[-‐‑‒–—―−]*$"), None).otherwise(F.trim(text))
+    return F.when(F.trim(text).rlike(r"^[-‐‑‒–—―−\s]*$"), None).otherwise(F.trim(text))
 
 
 def identifier(prefix: str, *parts: Column) -> Column:
@@ -89,7 +90,7 @@ def fill_gaps(first: Any, other: Any) -> Any:
     return first
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def filled(first: pd.Series, other: pd.Series) -> pd.Series:
     """fill_gaps of JSON texts, canonical."""
     load = lambda t: None if t is None else json.loads(t)

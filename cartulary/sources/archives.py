@@ -23,7 +23,7 @@ def read_json_lines(spark: SparkSession, path: str, record_bytes: int = MOST_REC
     """
     lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("record"), F.octet_length("value").cast("bigint").alias("bytes")).where("bytes > 0")
     over = F.raise_error(F.concat(F.lit("record over the limit in "), F.col("path"))).cast("string")
-    return lines.withColumn("record", F.when(F.col("bytes") <= record_bytes, F.col("record")).otherwise(over)).repartition()
+    return lines.withColumn("record", F.when(F.col("bytes") <= record_bytes, F.col("record")).otherwise(over)).hint("rebalance")
 
 
 def within_archive_limits(records: DataFrame, most: int = MOST_RECORDS) -> DataFrame:
