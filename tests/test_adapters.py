@@ -21,7 +21,7 @@ def test_html_primitives():
     assert adapters.label_values(PAGE) == {"Cost": "3", "Text": "Draw one card"}
     assert adapters.links(PAGE, r"^/p/\d+$") == ["/p/1"]
     with pytest.raises(ValueError):
-        adapters.label_values("<dt>a<dd>1</dd><dt>a<dd>2</dd>")
+        adapters.label_values("<dt>a</dt><dd>1</dd><dt>a</dt><dd>2</dd>")
 
 
 def test_flight_payload():
