@@ -4,7 +4,8 @@ A schema is a nested dictionary: {"kind": "string"}, "integer" (with "minimum",
 0 by default), "boolean", "enum" (with "values"), "array" (with "items",
 "unique", "min_items", "max_items") or "object" (with "fields"); "nullable" and
 "required" stand beside the kind.  An object may have "when": {"field", "cases":
-{value: {"required": [...], "absent": [...]}}}.
+{value: {"required": [...], "absent": [...], "empty": {field: value}, "least":
+{field: items}}}}.
 """
 
 from __future__ import annotations
@@ -75,6 +76,8 @@ def validate(value: Any, schema: dict, path: str = "$") -> tuple[Any, list[str],
                 case = rule["cases"].get(made.get(rule["field"]), {})
                 bad += [f"missing_field:{path}.{k}" for k in case.get("required", []) if k not in made]
                 bad += [f"inapplicable_field:{path}.{k}" for k in case.get("absent", []) if k in made]
+                bad += [f"inapplicable_field:{path}.{k}" for k, v in case.get("empty", {}).items() if made.get(k) != v]
+                bad += [f"wrong_length:{path}.{k}" for k, n in case.get("least", {}).items() if len(made.get(k) or []) < n]
             value = made
     return (value, warnings, bad) if ok else (None, warnings, [*bad, f"wrong_type:{path}"])
 
