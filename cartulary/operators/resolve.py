@@ -67,15 +67,24 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
-def as_of(events: DataFrame, facts: DataFrame, key: str, at: str, fact: Sequence[str]) -> DataFrame:
+def as_of(events: DataFrame, facts: DataFrame, key: str, at: str, fact: Sequence[str], bucket: Column) -> DataFrame:
     """Each event with the latest of the facts of its key at or before it.
 
-    Both sides go through one window by key, with facts before events at the
-    same time: no pairs are made.
+    Both sides go through one window by key and bucket (a coarser, monotonic
+    function of `at`), with facts before events at the same time: no pairs are
+    made, and a hot key is parted over its buckets.  What earlier buckets hold
+    comes from a table of each bucket's last fact.
     """
     names = [c for c in events.columns if c not in (key, at)]
-    left = events.select(key, at, F.lit(1).alias("__kind"), F.struct(*names).alias("__event"), F.lit(None).cast(facts.select(F.struct(*fact).alias("f")).schema["f"].dataType).alias("__fact"))
-    right = facts.select(key, at, F.lit(0).alias("__kind"), F.lit(None).cast(left.schema["__event"].dataType).alias("__event"), F.struct(*fact).alias("__fact"))
-    w = W.partitionBy(key).orderBy(at, "__kind", "__fact").rowsBetween(W.unboundedPreceding, 0)
-    both = left.unionAll(right).withColumn("__last", F.last("__fact", ignorenulls=True).over(w))
-    return both.where("__kind = 1").select(key, at, "__event.*", *[F.col("__last").getField(f).alias(f"asof_{f}") for f in fact])
+    kind = facts.select(F.struct(*fact).alias("f")).schema["f"].dataType
+    left = events.select(key, at, bucket.alias("__b"), F.lit(1).alias("__kind"), F.struct(*names).alias("__event"), F.lit(None).cast(kind).alias("__fact"))
+    right = facts.select(key, at, bucket.alias("__b"), F.lit(0).alias("__kind"), F.lit(None).cast(left.schema["__event"].dataType).alias("__event"), F.struct(*fact).alias("__fact"))
+    w = W.partitionBy(key, "__b").orderBy(at, "__kind", "__fact").rowsBetween(W.unboundedPreceding, 0)
+    both = left.unionAll(right).withColumn("__last", F.last("__fact", ignorenulls=True).over(w)).where("__kind = 1")
+    # Of each bucket that has events: the last fact of the buckets before it.
+    ends = right.groupBy(key, "__b").agg(F.max_by("__fact", F.struct(at, "__fact")).alias("__end"))
+    spans = ends.unionByName(both.select(key, "__b").distinct(), allowMissingColumns=True).groupBy(key, "__b").agg(F.first("__end", ignorenulls=True).alias("__end"))
+    before = W.partitionBy(key).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    carried = spans.withColumn("__carried", F.last("__end", ignorenulls=True).over(before)).drop("__end")
+    found = both.join(carried, [key, "__b"], "left").withColumn("__fact", F.coalesce("__last", "__carried"))
+    return found.select(key, at, "__event.*", *[F.col("__fact").getField(f).alias(f"asof_{f}") for f in fact])

@@ -78,7 +78,7 @@ FROM events p WHERE p.event_type = 'purchase'
 def q_asof_errata(t: Tables) -> DataFrame:
     purchases = t.events.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
     errata = t.events.where("event_type in ('signup', 'error')").select("user_id", "ts", F.col("event_id").alias("erratum_id"))
-    found = resolve.as_of(purchases, errata, "user_id", "ts", ["erratum_id"])
+    found = resolve.as_of(purchases, errata, "user_id", "ts", ["erratum_id"], F.date_trunc("day", "ts"))
     return found.select("user_id", "event_id", _ts("ts").alias("at"), F.col("asof_erratum_id").alias("erratum_id"))
 
 
