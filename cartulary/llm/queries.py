@@ -38,7 +38,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
     return found.select(
         "doc_id", "__found.n_words", "__found.n_hit", F.size("__found.items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join("__found.items", ","), 256).alias("items_sha256"), (F.col("__found.n_hit") > 0).alias("contaminated"), "__found.longest", "__found.spans",
+        F.sha2(F.array_join("__found.items", ","), 256).alias("items_sha256"), (F.col("__found.n_hit") > 0).alias("contaminated"),
     )
 
 
@@ -61,7 +61,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "frame")
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def vocabulary() -> tuple[str, str]:
@@ -115,3 +115,48 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 @query
 def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.reply_order(table(spark, sf_dir, "conversations"))
+
+
+# Windows of each item (ten words, or all of fewer) met in the documents' windows of the same lengths.
+ORACLES["op3_decontamination"] = r"""
+WITH folded AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+item_windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS body
+  FROM items, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i) AS u WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (
+  SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS body
+  FROM folded, lengths, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i) AS u),
+matches AS (SELECT d.doc_id, d.i, d.n, k.item FROM doc_windows d JOIN item_windows k ON k.n = d.n AND k.body = d.body),
+hits AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM matches) AS m, LATERAL (SELECT unnest(range(i, i + n)) AS pos) AS u GROUP BY 1),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM matches) GROUP BY 1)
+SELECT d.doc_id, coalesce(len(f.w), 0) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(x.n_items, 0) AS n_items, sha256(coalesce(x.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM documents d LEFT JOIN folded f ON f.doc_id = d.doc_id LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN found x ON x.doc_id = d.doc_id
+"""
+
+# Windows of fifty words by digest, with the first document of each; words under a later one go.
+ORACLES["op4_substring_dedup"] = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS body FROM split, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS i) AS u WHERE len(w) >= 50),
+seen AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY body) AS first FROM windows),
+gone AS (SELECT DISTINCT doc_id, pos FROM seen, LATERAL (SELECT unnest(range(i, i + 50)) AS pos) AS u WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM split),
+kept AS (
+  SELECT w.doc_id, count(g.pos) AS n_removed, coalesce(string_agg(w.word, ' ' ORDER BY w.pos) FILTER (WHERE g.pos IS NULL), '') AS body
+  FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.pos = w.pos GROUP BY 1)
+SELECT d.doc_id, coalesce(len(s.w), 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.body, '')) AS kept_sha256
+FROM documents d LEFT JOIN split s ON s.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+ORACLES["op7_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+last AS (SELECT body, max(page_id) AS last FROM p WHERE strlen(body) >= 1000 GROUP BY 1)
+SELECT page_id, strlen(p.body) AS payload_bytes, sha1(p.body) AS payload_digest, CASE WHEN last > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN last > page_id THEN last END AS refers_to
+FROM p LEFT JOIN last ON last.body = p.body
+"""
