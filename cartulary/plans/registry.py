@@ -37,4 +37,4 @@ def named(sql: str | None = None):
     return add
 
 
-from cartulary.plans import cards, control, evidence, publish, reconcile, rules  # noqa: E402, F401
+from cartulary.plans import assembly, cards, control, evidence, publish, reconcile, rules  # noqa: E402, F401
