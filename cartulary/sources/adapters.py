@@ -112,12 +112,14 @@ class _Tree(HTMLParser):
         self.open[-1]["children"].append(data)
 
 
-def elements(html: str, tag: str | None = None, **attributes: str) -> Iterator[dict]:
-    """Elements in document order with the tag and attributes; class_ asks for one of the classes."""
-    tree = _Tree()
-    tree.feed(html)
+def elements(source: str | dict, tag: str | None = None, **attributes: str) -> Iterator[dict]:
+    """Elements of a page or below a node, in document order, with the tag and attributes; class_ asks for one of the classes."""
     cls = attributes.pop("class_", None)
-    stack = [tree.root]
+    if isinstance(source, str):
+        tree = _Tree()
+        tree.feed(source)
+        source = tree.root
+    stack = [c for c in reversed(source["children"]) if isinstance(c, dict)]
     while stack:
         node = stack.pop()
         stack += [c for c in reversed(node["children"]) if isinstance(c, dict)]
@@ -155,6 +157,25 @@ def label_values(html: str, label: str = "dt", value: str = "dd") -> dict[str, s
     return out
 
 
+def headed_values(node: dict, heading: str = "h3") -> dict[str, str]:
+    """Label and value pairs of elements that hold a heading and text after it."""
+    out: dict[str, str] = {}
+    for parent in elements(node):
+        for child in parent["children"]:
+            if isinstance(child, dict) and child["tag"] == heading:
+                rest = {**parent, "children": [c for c in parent["children"] if c is not child]}
+                out.setdefault(text_of(child), text_of(rest))
+    return out
+
+
+def only(source: str | dict, tag: str | None = None, **attributes: str) -> dict:
+    """The first element that matches; ValueError if there is none."""
+    found = next(elements(source, tag, **attributes), None)
+    if found is None:
+        raise ValueError(f"no {tag or 'element'} {attributes}")
+    return found
+
+
 def links(html: str, pattern: str) -> list[str]:
     """The distinct hrefs that match, in document order."""
     return list(dict.fromkeys(h for n in elements(html, "a") if re.search(pattern, h := n["attributes"].get("href", ""))))
