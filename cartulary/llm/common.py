@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 2 << 20
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Edges to a partition while components are sought.
 EDGES_PER_PARTITION = 200_000
 
@@ -36,9 +37,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and forget its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise df in the shared checkpoint folder and forget its lineage.
+
+    Once it is written its shuffles are of no more use, so their files go at
+    once instead of when the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def long_id(df: DataFrame, column: str, name: str = "doc_id"):
+    """The column as a long of that name; itself if it is one, so that plans which share it stay the same."""
+    if column == name and isinstance(df.schema[column].dataType, T.LongType):
+        return F.col(f"`{column}`")
+    return F.col(f"`{column}`").cast("bigint").alias(name)
 
 
 def is_held_out(doc_id: str = "doc_id"):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.llm import rolling
-from cartulary.llm.common import cut, explode_texts
+from cartulary.llm.common import cut, explode_texts, long_id
 
 WINDOW = 50
 PERIOD = 31
@@ -114,8 +114,12 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space), for each row."""
-    rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("tkey"), F.col(f"`{text}`").alias("text"))
-    found = repeats(rows.where("doc_id is not null and text is not null"), window)
+    rows = docs.withColumn("text", F.col(f"`{text}`")) if text != "text" else docs
+    rows = rows.select(long_id(docs, doc_id), F.xxhash64("text").alias("tkey"), "text")
+    # The same filtered rows are dealt out by (doc_id, tkey) for both joins, so their texts are shuffled once.
+    valid = rows.where("doc_id is not null and text is not null")
+    rest = rows.where("doc_id is null or text is null")
+    found = repeats(valid, window)
 
     def work(texts, ids):
         out = {"n_words": [], "n_removed": [], "kept": []}
@@ -132,6 +136,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out["kept"].append(b" ".join(words))
         return {"doc_id": ids[0], **out}
 
-    joined = rows.join(found, ["doc_id", "tkey"], "left")
+    joined = valid.join(found, ["doc_id", "tkey"], "left").select("doc_id", "whole", "starts", "text")
+    joined = joined.unionByName(rest.select("doc_id", "text"), allowMissingColumns=True)
     got = explode_texts(joined, work, "doc_id bigint, n_words bigint, n_removed bigint, kept binary", ["doc_id", "whole", "starts"])
     return got.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
