@@ -40,6 +40,8 @@ BITS = 10
 HASHED = 256
 CACHE_WORDS = 300_000
 OUT_TOKENS = 1 << 20
+#: Bytes of ids in a partition of the curve, about.
+PARTITION_BYTES = 8 << 20
 
 _SPACES = re.compile(r"\s\s|^\s|\s$")
 
@@ -157,9 +159,10 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def with_keys(tokens: DataFrame, bits: int = BITS) -> DataFrame:
-    """tokens with key, from `at` standardised by its mean and deviation over all rows."""
-    row = tokens.agg(*[f(F.col("at")[i]).alias(f"{n}{i}") for i in range(DIMENSIONS) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+def with_keys(tokens: DataFrame, bits: int = BITS) -> tuple[DataFrame, int]:
+    """tokens with key, from `at` standardised by its mean and deviation over all rows; and the bytes of all ids."""
+    moments = [f(F.col("at")[i]).alias(f"{n}{i}") for i in range(DIMENSIONS) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
+    row = tokens.agg(*moments, F.sum(F.octet_length("ids")).alias("size")).first()
     mean = np.array([row[f"m{i}"] or 0.0 for i in range(DIMENSIONS)])
     deviation = np.array([row[f"s{i}"] or 1.0 for i in range(DIMENSIONS)])
 
@@ -172,7 +175,7 @@ def with_keys(tokens: DataFrame, bits: int = BITS) -> DataFrame:
         cells = np.clip((1 << bits) / (1 + np.exp(-1.702 * z)), 0, (1 << bits) - 1).astype(np.int64)
         return pd.Series(hilbert(cells, bits))
 
-    return tokens.withColumn("key", key("at"))
+    return tokens.withColumn("key", key("at")), row["size"] or 0
 
 
 PIECE = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, key bigint"
@@ -247,7 +250,8 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id",
     """
     if length & (length - 1) or not 0 < length:
         raise ValueError("length must be a power of two")
-    keyed = with_keys(cut(tokenise(docs, [doc_id], vocabulary, pattern, text)))
-    ranged = keyed.select(doc_id, "ids", "key").repartitionByRange("key", doc_id).sortWithinPartitions("key", doc_id)
+    keyed, size = with_keys(cut(tokenise(docs, [doc_id], vocabulary, pattern, text)))
+    parts = 1 + size // PARTITION_BYTES
+    ranged = keyed.select(doc_id, "ids", "key").repartitionByRange(parts, "key", doc_id).sortWithinPartitions("key", doc_id)
     kind = docs.schema[doc_id].dataType.simpleString()
     return ranged.mapInArrow(_pack(doc_id, length), f"{doc_id} {kind}, {PIECE}")
