@@ -57,21 +57,20 @@ def q_search_chunks(t: Tables) -> DataFrame:
 
 @named("""
 SELECT p_partkey, p_name FROM part
-WHERE len(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: starts_with(x, 'p'))) > 0
-  AND len(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: starts_with(x, '1'))) > 0
+WHERE len(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: starts_with(x, 're'))) > 0
+  AND len(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda x: starts_with(x, 'wi'))) > 0
 """)
 def q_product_prefix_and(t: Tables) -> DataFrame:
-    return t.part.where(search.prefix_and(F.col("p_name"), ["p", "1"])).select("p_partkey", "p_name")
+    return t.part.where(search.prefix_and(F.col("p_name"), ["re", "WI"])).select("p_partkey", "p_name")
 
 
 @named("""
 SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem
 WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')
-ORDER BY l_partkey, l_orderkey, l_linenumber LIMIT 100
 """)
 def q_printings_by_product(t: Tables) -> DataFrame:
     products = t.orders.where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return t.lineitem.join(products, "l_orderkey", "left_semi").select("l_partkey", "l_orderkey", "l_linenumber").orderBy("l_partkey", "l_orderkey", "l_linenumber").limit(100)
+    return t.lineitem.join(products, "l_orderkey", "left_semi").select("l_partkey", "l_orderkey", "l_linenumber")
 
 
 @named("""
@@ -199,11 +198,11 @@ def q_running_pages(t: Tables) -> DataFrame:
 SELECT p_partkey, p_name, n_printings, products FROM part JOIN (
   SELECT l_partkey, CAST(sum(n) AS BIGINT) AS n_printings, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY l_orderkey) AS products FROM (
     SELECT l_partkey, l_orderkey, count(*) AS n, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS k FROM lineitem GROUP BY 1, 2)
-  WHERE k <= 20 GROUP BY 1) ON l_partkey = p_partkey WHERE p_size = 7
+  WHERE k <= 20 GROUP BY 1) ON l_partkey = p_partkey
 """)
 def q_representation(t: Tables) -> DataFrame:
     """Cards with their first 20 products (a page's bound) and the printings in them."""
-    cards = t.part.where("p_size = 7").select("p_partkey", "p_name")
+    cards = t.part.select("p_partkey", "p_name")
     lines = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), "l_orderkey").join(cards, "p_partkey")
     each = lines.groupBy("p_partkey", "p_name", "l_orderkey").agg(F.count("*").alias("n"))
     from pyspark.sql import Window as W

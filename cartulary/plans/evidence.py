@@ -25,14 +25,14 @@ def q_relationship_evidence(t: Tables) -> DataFrame:
 
 
 @named("""
-WITH h AS (SELECT event_type, event_id % 3 > 0 AS later FROM events),
+WITH h AS (SELECT event_type, ts >= TIMESTAMP '2024-01-11 00:00:00' AS later FROM events),
 c AS (SELECT event_type, count(*) FILTER (WHERE NOT later) AS previous, count(*) FILTER (WHERE later) AS current FROM h GROUP BY 1),
 x AS (SELECT *, greatest(25, CAST(ceil(previous * 2 / 10) AS BIGINT)) AS threshold FROM c)
 SELECT event_type, previous, current, threshold,
   CASE WHEN previous - current >= threshold THEN 'blocked' WHEN current - previous >= threshold THEN 'warned' ELSE 'accepted' END AS verdict FROM x
 """)
 def q_coverage_delta(t: Tables) -> DataFrame:
-    counted = lambda later: t.events.where((F.col("event_id") % 3 > 0) == later).groupBy("event_type").agg(F.count("*").alias("n"))
+    counted = lambda later: t.events.where((F.col("ts") >= F.expr("timestamp_ntz'2024-01-11 00:00:00'")) == later).groupBy("event_type").agg(F.count("*").alias("n"))
     return publish.coverage_change(counted(False), counted(True), "event_type", "n")
 
 
@@ -63,10 +63,10 @@ def q_replay_dedupe(t: Tables) -> DataFrame:
 
 @named("""
 SELECT user_id, event_id, event_type FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_id < 4000 AND event_type <> 'view') WHERE k = 1
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' AND event_type <> 'view') WHERE k = 1
 """)
 def q_latest_decision(t: Tables) -> DataFrame:
-    pinned = t.events.where("event_id < 4000 and event_type <> 'view'").select("user_id", "ts", "event_id", "event_type")
+    pinned = t.events.where("ts <= timestamp_ntz'2024-01-20 00:00:00' and event_type <> 'view'").select("user_id", "ts", "event_id", "event_type")
     return resolve.latest(pinned, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 

@@ -61,12 +61,12 @@ def q_semantic_digest(t: Tables) -> DataFrame:
 
 
 @named("""
-WITH RECURSIVE p AS (SELECT o_orderkey AS c, o_orderkey // 2 AS p FROM orders WHERE o_orderkey BETWEEN 1 AND 500),
+WITH RECURSIVE p AS (SELECT o_orderkey AS c, o_orderkey // 2 AS p FROM orders WHERE o_orderkey > 0),
 f AS (SELECT c, p AS ancestor, 1 AS distance FROM p UNION ALL SELECT f.c, p.p, f.distance + 1 FROM f JOIN p ON p.c = f.ancestor WHERE f.distance < 4)
 SELECT c AS revision, ancestor, distance FROM f
 """)
 def q_revision_ancestry(t: Tables) -> DataFrame:
-    parents = t.orders.where("o_orderkey between 1 and 500").select(F.col("o_orderkey").alias("revision"), F.expr("o_orderkey div 2").alias("parent"))
+    parents = t.orders.where("o_orderkey > 0").select(F.col("o_orderkey").alias("revision"), F.expr("o_orderkey div 2").alias("parent"))
     return identity.ancestors(parents, "revision", "parent", 4)
 
 

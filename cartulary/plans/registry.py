@@ -2,7 +2,10 @@
 
 The catalogue's entities are stood for by the star schema: cards are parts
 (game = brand), printings are order lines, products are orders, observations
-are events, rules texts are documents.
+are events, rules texts are documents.  Where a rule
+compares two versions (a prior and a candidate, a plan and its observations),
+both are derived from all rows of a table by a property of the row.  Limits
+stand only where the rule is a page, a top list or a bounded summary.
 """
 
 from __future__ import annotations

@@ -63,7 +63,7 @@ def q_resolve_cards(t: Tables) -> DataFrame:
 
 @named("""
 WITH o AS (SELECT s_suppkey AS key, CASE WHEN s_suppkey % 2 = 0 THEN 'C' || s_suppkey % 30 END AS code, ' Name ' || s_suppkey % 20 AS name FROM supplier),
-p AS (SELECT s_suppkey + 1000 AS product_id, CASE WHEN s_suppkey % 3 = 0 THEN 'C' || s_suppkey END AS code, 'NAME ' || s_suppkey AS name FROM supplier WHERE s_suppkey < 35),
+p AS (SELECT s_suppkey + 1000 AS product_id, CASE WHEN s_suppkey % 3 = 0 THEN 'C' || s_suppkey END AS code, 'NAME ' || s_suppkey AS name FROM supplier WHERE s_acctbal >= 0),
 x AS (SELECT o.key, o.code, (SELECT count(*) FROM p WHERE p.code = o.code) AS cn, (SELECT min(product_id) FROM p WHERE p.code = o.code) AS ci,
   (SELECT count(*) FROM p WHERE lower(trim(p.name)) = lower(trim(o.name)) AND (o.code IS NULL OR p.code IS NULL)) AS nn,
   (SELECT min(product_id) FROM p WHERE lower(trim(p.name)) = lower(trim(o.name)) AND (o.code IS NULL OR p.code IS NULL)) AS ni FROM o)
@@ -72,7 +72,7 @@ SELECT key, CASE WHEN cn = 1 THEN ci WHEN cn = 0 AND nn = 1 THEN ni END AS produ
 def q_identify_products(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
     seen = t.supplier.select(k.alias("key"), F.when(k % 2 == 0, F.concat(F.lit("C"), k % 30)).alias("code"), F.concat(F.lit(" Name "), k % 20).alias("name"))
-    prior = t.supplier.where("s_suppkey < 35").select((k + 1000).alias("product_id"), F.when(k % 3 == 0, F.concat(F.lit("C"), k)).alias("code"), F.concat(F.lit("NAME "), k).alias("name"))
+    prior = t.supplier.where("s_acctbal >= 0").select((k + 1000).alias("product_id"), F.when(k % 3 == 0, F.concat(F.lit("C"), k)).alias("code"), F.concat(F.lit("NAME "), k).alias("name"))
     return reconcile.identify_products(seen, prior)
 
 
@@ -89,15 +89,15 @@ def q_errata_effective(t: Tables) -> DataFrame:
 
 
 @named("""
-WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'withdrawn' ELSE 'reinstated' END AS state, event_id // 10 AS effective_at FROM events WHERE event_type IN ('error', 'signup')),
-p AS (SELECT user_id, max_by(state, event_id) AS state, max_by(effective_at, event_id) AS effective_at FROM e WHERE event_id < 2000 AND user_id % 4 <> 0 GROUP BY 1)
+WITH e AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'error' THEN 'withdrawn' ELSE 'reinstated' END AS state, event_id // 10 AS effective_at FROM events WHERE event_type IN ('error', 'signup')),
+p AS (SELECT user_id, max_by(state, event_id) AS state, max_by(effective_at, event_id) AS effective_at FROM e WHERE ts < TIMESTAMP '2024-01-08 00:00:00' GROUP BY 1)
 SELECT e.user_id, e.event_id, CASE WHEN p.state IS NULL THEN e.state = 'reinstated' ELSE NOT ((e.state = p.state AND e.effective_at = p.effective_at) OR (e.state <> p.state AND e.effective_at > p.effective_at)) END AS conflict
 FROM e LEFT JOIN p ON p.user_id = e.user_id
 """)
 def q_withdrawal_transition(t: Tables) -> DataFrame:
-    rows = t.events.where("event_type in ('error', 'signup')").select("user_id", "event_id", F.when(F.col("event_type") == "error", "withdrawn").otherwise("reinstated").alias("state"), F.expr("event_id div 10").alias("effective_at"))
+    rows = t.events.where("event_type in ('error', 'signup')").select("user_id", "event_id", "ts", F.when(F.col("event_type") == "error", "withdrawn").otherwise("reinstated").alias("state"), F.expr("event_id div 10").alias("effective_at"))
     at = F.struct("state", "effective_at")
-    prior = rows.where("event_id < 2000 and user_id % 4 <> 0").groupBy("user_id").agg(F.max_by(at, "event_id").alias("p")).select("user_id", "p.*")
+    prior = rows.where("ts < timestamp_ntz'2024-01-08 00:00:00'").groupBy("user_id").agg(F.max_by(at, "event_id").alias("p")).select("user_id", "p.*")
     return reconcile.withdrawal_conflicts(rows, prior, "user_id").select("user_id", "event_id", "conflict")
 
 
@@ -135,14 +135,14 @@ def q_listing_closure(t: Tables) -> DataFrame:
 
 
 @named("""
-WITH w AS (SELECT doc_id, substring(text, 1, 900) AS warning FROM documents WHERE contains(text, '!!')),
+WITH w AS (SELECT doc_id, text AS warning FROM documents WHERE contains(text, '!!')),
 f AS (SELECT doc_id, warning, row_number() OVER (ORDER BY doc_id) AS ordinal, sum(strlen(warning)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS b FROM w QUALIFY ordinal <= 100),
-k AS (SELECT * FROM f WHERE b <= 20000)
+k AS (SELECT * FROM f WHERE b <= 65024)
 SELECT doc_id, warning, ordinal, (SELECT count(*) FROM w) AS n_total, (SELECT max(ordinal) FROM k) < (SELECT count(*) FROM w) AS truncated FROM k
 """)
 def q_warning_summary(t: Tables) -> DataFrame:
-    rows = t.documents.where(F.contains("text", F.lit("!!"))).select("doc_id", F.substring("text", 1, 900).alias("warning"))
-    return reconcile.warning_summary(rows, ["doc_id"], "warning", most_bytes=20_000)
+    rows = t.documents.where(F.contains("text", F.lit("!!"))).select("doc_id", F.col("text").alias("warning"))
+    return reconcile.warning_summary(rows, ["doc_id"], "warning")
 
 
 @named("""
