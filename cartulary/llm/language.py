@@ -27,7 +27,7 @@ from cartulary.llm.common import is_held_out, map_texts
 
 UNDETERMINED = "und"
 #: Rows of the training sample in all, and bytes of a text that may be in it.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2400
 SAMPLE_TEXT_BYTES = 1 << 15
 MOST_LANGUAGES = 400
 BUCKETS = 1 << 15
@@ -146,7 +146,7 @@ def training_sample(docs: DataFrame, text: str, lang: str, rows: int = SAMPLE_RO
     return [(bytes(r.text), r.lang) for r in picked[: 2 * rows]]
 
 
-def train(sample: list[tuple[bytes, str]], epochs: int = 4, rate: float = 0.5, seed: int = 7) -> Model | None:
+def train(sample: list[tuple[bytes, str]], epochs: int = 3, rate: float = 0.5, seed: int = 7) -> Model | None:
     if not sample:
         return None
     rng = np.random.default_rng(seed)
