@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.llm import contamination, language, lines, packing, simhash
+from cartulary.llm.common import cut
 from cartulary.llm.queries import vocabulary
 
 
@@ -66,6 +67,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:  # the next stage reads its documents more than once
+            docs = cut(docs)
     return docs
