@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cartulary.functions.canon import formatting_form
 from cartulary.operators.identity import follow
 
 #: Fields that make two printings compatible, nulls alike.
@@ -85,6 +86,19 @@ def match_printings(observations: DataFrame, locators: DataFrame, printings: Dat
     return rows.select("observation_id", case.alias("c")).select("observation_id", F.col("c.p").alias("printing_id"), F.col("c.d").alias("decision"), F.col("c.x").alias("diagnostic"))
 
 
+def published_conflicts(candidates: DataFrame, published: DataFrame, authorities: DataFrame) -> DataFrame:
+    """candidates (card_id, lineage, facts as JSON) with conflict: their facts differ from the published ones beyond formatting.
+
+    Nothing conflicts with a card that is not published, that no authority
+    stands behind now, or whose only authority is the candidate's own lineage.
+    """
+    now = authorities.groupBy("card_id").agg(F.min("lineage").alias("__lo"), F.max("lineage").alias("__hi"))
+    rows = candidates.join(published.select("card_id", F.col("facts").alias("__facts")), "card_id", "left").join(now, "card_id", "left")
+    differs = formatting_form(F.col("facts")) != formatting_form(F.col("__facts"))
+    others = F.col("__lo").isNotNull() & ~((F.col("__lo") == F.col("lineage")) & (F.col("__hi") == F.col("lineage")))
+    return rows.withColumn("conflict", F.coalesce(differs & others, F.lit(False))).drop("__facts", "__lo", "__hi")
+
+
 def resolve_cards(observations: DataFrame, admissions: DataFrame, published: DataFrame) -> DataFrame:
     """observation_id, card_id, how: by admission, by the published identity, or allocated from the identity (equal ones alike).
 

@@ -97,6 +97,20 @@ def filled(first: pd.Series, other: pd.Series) -> pd.Series:
     return pd.Series([canonical(fill_gaps(load(a), load(b))) for a, b in zip(first, other, strict=True)])
 
 
+def _collapse(x: Any) -> Any:
+    if isinstance(x, str):
+        return " ".join(x.split())
+    if isinstance(x, list):
+        return [_collapse(y) for y in x]
+    return {k: _collapse(v) for k, v in x.items()} if isinstance(x, dict) else x
+
+
+@F.pandas_udf(T.StringType())
+def formatting_form(text: pd.Series) -> pd.Series:
+    """The canonical form of JSON texts with white space collapsed in every string: equal but for formatting."""
+    return text.map(lambda t: None if t is None else canonical(_collapse(json.loads(t))))
+
+
 def encode_cursor(route: str, revision: str, order: str, filters: dict, keys: list) -> str:
     """An opaque cursor that is bound to the route, revision, order and filters it was made for."""
     text = canonical({"route": route, "revision": revision, "order": order, "filters": filters, "keys": keys})

@@ -202,3 +202,18 @@ def q_admission(t: Tables) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size")
     rows = t.part.select("p_partkey", F.expr("p_partkey div 3").alias("k"), F.when(k % 4 == 0, None).when(k % 4 == 1, "admit").otherwise("reject").alias("decision"), F.when(s > 10, "automatic").otherwise("manual").alias("policy"), (s % 2 == 0).alias("card_facts"), (k % 5 != 0).alias("printing_details"), (k % 7 != 0).alias("novel"))
     return reconcile.admission_permitted(rows).select("p_partkey", "k", "decision", "permitted")
+
+
+@named("""
+WITH c AS (SELECT p_partkey AS card_id, CASE WHEN p_partkey % 3 = 0 THEN 'a' ELSE 'b' END AS lineage, CASE p_partkey % 4 WHEN 0 THEN '  ' || p_name || ' ' WHEN 1 THEN replace(p_name, ' ', '   ') WHEN 2 THEN p_name || '!' ELSE p_name END AS name FROM part),
+u AS (SELECT l_partkey AS card_id, min(CASE WHEN l_linestatus = 'O' THEN 'a' ELSE 'b' END) AS lo, max(CASE WHEN l_linestatus = 'O' THEN 'a' ELSE 'b' END) AS hi FROM lineitem WHERE l_quantity > 40 GROUP BY 1)
+SELECT c.card_id, c.lineage, coalesce(trim(regexp_replace(c.name, '\\s+', ' ', 'g')) <> p_name AND lo IS NOT NULL AND NOT (lo = c.lineage AND hi = c.lineage), false) AS conflict
+FROM c LEFT JOIN part p ON p.p_partkey = c.card_id AND p.p_size > 5 LEFT JOIN u ON u.card_id = c.card_id
+""")
+def q_published_conflict(t: Tables) -> DataFrame:
+    k, name = F.col("p_partkey"), F.col("p_name")
+    shown = F.when(k % 4 == 0, F.concat(F.lit("  "), name, F.lit(" "))).when(k % 4 == 1, F.replace(name, F.lit(" "), F.lit("   "))).when(k % 4 == 2, F.concat(name, F.lit("!"))).otherwise(name)
+    seen = t.part.select(k.alias("card_id"), F.when(k % 3 == 0, "a").otherwise("b").alias("lineage"), F.to_json(F.struct(shown.alias("name"))).alias("facts"))
+    known = t.part.where("p_size > 5").select(k.alias("card_id"), F.to_json(F.struct(name.alias("name"))).alias("facts"))
+    behind = t.lineitem.where("l_quantity > 40").select(F.col("l_partkey").alias("card_id"), F.when(F.col("l_linestatus") == "O", "a").otherwise("b").alias("lineage"))
+    return reconcile.published_conflicts(seen, known, behind).select("card_id", "lineage", "conflict")
