@@ -38,6 +38,18 @@ def pick(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFra
     return df.groupBy(*keys).agg(best, F.count("*").alias("n")).select(*keys, "b.row.*", (F.col("n") > 1).alias("superseded_others"))
 
 
+def fill_by_rank(df: DataFrame, keys: Sequence[str], rank: str, columns: Sequence[str]) -> DataFrame:
+    """Of each key and column the value of the best rank that has one: a retained source, its gaps filled by the next."""
+    return df.groupBy(*keys).agg(*[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(rank))).alias(c) for c in columns], F.min(rank).alias("retained_rank"))
+
+
+def cross_source_same(df: DataFrame, keys: Sequence[str], lineage: str, entity: str) -> DataFrame:
+    """Keys that several lineages share: n_lineages, n_entities and the least entity, candidates for one identity."""
+    each = df.groupBy(*keys, lineage).agg(F.min(entity).alias("__e"), F.max(entity).alias("__f"))
+    rows = each.groupBy(*keys).agg(F.count("*").alias("n_lineages"), F.min("__e").alias("first_entity"), F.max("__f").alias("__last"))
+    return rows.where("n_lineages > 1").withColumn("agree", F.col("first_entity") == F.col("__last")).drop("__last")
+
+
 def compatible(candidates: DataFrame, published: DataFrame, keys: Sequence[str], candidate_id: str, published_id: str) -> DataFrame:
     """A decision for each candidate: matched (one published row agrees, nulls alike), ambiguous, or novel.
 

@@ -119,3 +119,21 @@ def q_disappearance(t: Tables) -> DataFrame:
     prior = rows.where("l_orderkey % 2 = 0").drop("l_orderkey").distinct()
     checked = t.lineitem.sparkSession.createDataFrame([("A",), ("R",)], "l_returnflag string")
     return publish.disappeared(prior, rows.where("l_orderkey % 2 = 1").drop("l_orderkey"), checked, ["l_suppkey", "k"], "l_returnflag")
+
+
+@named("""
+WITH o AS (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS rank, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag, CASE WHEN l_quantity > 25 THEN CAST(l_quantity AS BIGINT) END AS quantity FROM lineitem),
+d AS (SELECT l_partkey, rank, min(flag) AS flag, min(quantity) AS quantity FROM o GROUP BY 1, 2)
+SELECT l_partkey, min_by(flag, rank) FILTER (WHERE flag IS NOT NULL) AS flag, min_by(quantity, rank) FILTER (WHERE quantity IS NOT NULL) AS quantity, min(rank) AS retained_rank FROM d GROUP BY 1
+""")
+def q_gap_fill(t: Tables) -> DataFrame:
+    rows = t.lineitem.select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("rank"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"), F.when(F.col("l_quantity") > 25, F.col("l_quantity").cast("bigint")).alias("quantity"))
+    one = rows.groupBy("l_partkey", "rank").agg(F.min("flag").alias("flag"), F.min("quantity").alias("quantity"))
+    return resolve.fill_by_rank(one, ["l_partkey"], "rank", ["flag", "quantity"])
+
+
+@named("""
+SELECT l_partkey, l_linenumber, count(DISTINCT l_returnflag) AS n_lineages, min(l_suppkey) AS first_entity, min(l_suppkey) = max(l_suppkey) AS agree FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) > 1
+""")
+def q_cross_source(t: Tables) -> DataFrame:
+    return resolve.cross_source_same(t.lineitem, ["l_partkey", "l_linenumber"], "l_returnflag", "l_suppkey")
