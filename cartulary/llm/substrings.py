@@ -105,6 +105,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     texts = docs.select("doc_id", "tkey", F.md5(F.col("text").cast("binary")).alias("digest"))
     first = texts.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("digest", "lo")
+    first = cut(first)  # for a hot text
     copies = cut(texts.join(first, "digest").where("lo < doc_id").select("doc_id", "tkey").distinct())
     candidates = _candidates(docs, copies, window)
     full = full_windows(docs, candidates, window)
