@@ -70,9 +70,11 @@ def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = windows(docs, window)
     # A run of windows with one fingerprint at one place is one selected line.
     marks = found.groupBy("mark").agg(F.min(F.struct("doc_id", "tkey", "start")).alias("lo"), F.max(F.struct("doc_id", "tkey", "start")).alias("hi")).where("lo < hi").select("mark")
+    # Written apart, so that the joins' sides are plain shuffles, of which Spark can split a hot key's.
+    marks = cut(marks)
     candidates = cut(found.join(marks, "mark"))
     place = F.struct("doc_id", "tkey", "start")
-    first = candidates.groupBy("mark", "w0", "w1").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").drop("hi")
+    first = cut(candidates.groupBy("mark", "w0", "w1").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").drop("hi"))
     later = candidates.join(first, ["mark", "w0", "w1"]).where(place > F.col("lo"))
     return later.groupBy("doc_id", "tkey").agg(F.collect_set("start").alias("starts"))
 
