@@ -156,12 +156,12 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         parts = 1 + before[0] // EDGES_PER_PARTITION
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Written apart, so that the join's sides are plain shuffles, of which Spark can split a hub's.
+        # Written apart, so that the joins' sides are plain shuffles, of which Spark can split a hub's.
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(parts))
         # Large star: each larger neighbour of u is tied to the least of u's surroundings.
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u < v")
+        large = cut(both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u < v"))
         # Small star: each smaller neighbour of v, and v itself, is tied to the least of them.
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
+        low = cut(large.groupBy("v").agg(F.min("u").alias("m")).coalesce(parts))
         small = large.join(low, "v").where("u > m").select(F.col("m").alias("u"), F.col("u").alias("v"))
         edges = cut(small.unionAll(low.select(F.col("m").alias("u"), "v")).distinct().coalesce(parts))
         after = size(edges)
