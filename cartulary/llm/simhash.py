@@ -199,6 +199,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = cut(fingerprints(docs, doc_id, text, shingle).withColumnRenamed(doc_id, "doc_id"))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     linked = classes.join(components(links(classes.select("fp"), cell_limit)).withColumnRenamed("node", "fp"), "fp", "left")
-    linked = linked.select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    of = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    linked = cut(linked.select("fp", "rep", F.coalesce("root", "fp").alias("root")))
+    of = cut(linked.groupBy("root").agg(F.min("rep").alias("component_id")))  # as in components, for a large one
     return rows.join(linked.join(of, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
