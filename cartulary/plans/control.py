@@ -53,15 +53,33 @@ def q_capacity(t: Tables) -> DataFrame:
 
 
 @named("""
-WITH RECURSIVE o AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_type = 'error' AS bad FROM events),
-f AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(500 AS BIGINT) AS interval_ms, CAST(8 AS BIGINT) AS concurrency, CAST(0 AS BIGINT) AS clean FROM (SELECT DISTINCT user_id FROM o)
-  UNION ALL SELECT f.user_id, o.k,
-    CASE WHEN o.bad THEN least(60000, greatest(f.interval_ms * 2, f.interval_ms + 250)) WHEN f.clean + 1 >= 20 THEN greatest(500, f.interval_ms // 2) ELSE f.interval_ms END,
-    CASE WHEN o.bad THEN greatest(1, f.concurrency // 2) WHEN f.clean + 1 >= 20 THEN least(8, f.concurrency + 1) ELSE f.concurrency END,
-    CASE WHEN o.bad OR f.clean + 1 >= 20 THEN 0 ELSE f.clean + 1 END
-  FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)
-SELECT user_id, max(k) AS n_signals, max_by(interval_ms, k) AS interval_ms, max_by(concurrency, k) AS concurrency, max_by(clean, k) AS clean FROM f GROUP BY 1
+WITH RECURSIVE signals AS (
+  SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CAST(floor(value * 20) AS BIGINT) AS latency,
+    CASE WHEN event_type <> 'error' THEN 200 WHEN event_id % 4 = 0 THEN 429 WHEN event_id % 4 = 1 THEN 500 WHEN event_id % 4 = 2 THEN 404 END AS status,
+    event_type = 'error' AND event_id % 8 = 2 AS waits FROM events),
+f AS (
+  SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(500 AS BIGINT) AS i, CAST(8 AS BIGINT) AS c, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS r
+  FROM (SELECT DISTINCT user_id FROM signals)
+  UNION ALL
+  SELECT user_id, k,
+    CASE WHEN bad THEN least(60000, greatest(i * 2, i + 250)) WHEN recovers THEN greatest(500, i - 7438) ELSE i END,
+    CASE WHEN bad THEN greatest(1, c // 2) WHEN recovers THEN least(8, c + 1) ELSE c END,
+    CASE WHEN bad OR recovers OR (clean AND fastest) THEN 0 WHEN clean THEN n + 1 ELSE n END,
+    CASE WHEN slow OR clean THEN coalesce((a * 8 + latency * 2 + 5) // 10, latency) ELSE a END,
+    b + CAST(bad AS BIGINT), r + CAST(recovers AS BIGINT)
+  FROM (SELECT *, clean AND NOT fastest AND n + 1 >= 20 AS recovers FROM (
+    SELECT *, NOT bad AND status < 500 AS clean FROM (
+      SELECT *, slow OR status IS NULL OR status = 429 OR waits AS bad FROM (
+        SELECT f.user_id, s.k, i, c, n, a, b, r, status, latency, waits, i <= 500 AND c >= 8 AS fastest,
+          coalesce(status < 400 AND latency > greatest(a * 4, a + 1000), false) AS slow
+        FROM f JOIN signals s ON s.user_id = f.user_id AND s.k = f.k + 1)))))
+SELECT user_id, max(k) AS n_signals, max_by(i, k) AS interval_ms, max_by(c, k) AS concurrency, max_by(n, k) AS clean,
+  max(CASE WHEN last THEN a END) AS average_ms, max_by(b, k) AS backoffs, max_by(r, k) AS recoveries
+FROM (SELECT *, k = max(k) OVER (PARTITION BY user_id) AS last FROM f) GROUP BY 1
 """)
 def q_pacing_fold(t: Tables) -> DataFrame:
-    signals = t.events.select("user_id", "ts", "event_id", (F.col("event_type") == "error").alias("bad"))
-    return pacing.fold(signals, "user_id", ["ts", "event_id"], "bad")
+    at = F.col("event_id")
+    status = F.when(F.col("event_type") != "error", 200).when(at % 4 == 0, 429).when(at % 4 == 1, 500).when(at % 4 == 2, 404)
+    waits = F.when((F.col("event_type") == "error") & (at % 8 == 2), 3000)
+    signals = t.events.select("user_id", "ts", "event_id", status.alias("status"), F.floor(F.col("value") * 20).alias("latency_ms"), waits.alias("retry_after_ms"))
+    return pacing.fold(signals, "user_id", ["ts", "event_id"])

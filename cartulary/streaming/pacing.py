@@ -1,65 +1,126 @@
-"""Adaptive pacing of hosts: a fold over ordered signals, in batch and as a stream."""
+"""Adaptive pacing of hosts: a fold over ordered signals, in batch and as a stream.
+
+A signal has a status (null: the transport failed), latency_ms and
+retry_after_ms.  It makes a host back off if the transport failed, if the
+status is one of REFUSED, if an error names a time to wait, or if a good
+response took far longer than the host's average.  Other errors of the server
+change nothing.  CLEAN other signals in a row take one step off the interval
+and give one request back; a host that is at its fastest counts none.
+A null latency leaves the average as it is.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# The bounds of pacing, in milliseconds, and signals to a recovery.
-BASE_MS = 500
-MOST_MS = 60_000
-LEAST_STEP_MS = 250
-CONCURRENCY = 8
+# Statuses that ask for less, signals to a recovery, the least
+# growth of an interval, and what makes a response slow (both must hold).
+REFUSED = (429, 502, 503, 504)
 CLEAN = 20
+LEAST_GROWTH_MS = 250
+SLOW_FACTOR = 4
+SLOW_MARGIN_MS = 1000
+
+
+class Policy(NamedTuple):
+    """Bounds of a host."""
+
+    floor_ms: int = 500
+    ceiling_ms: int = 60_000
+    concurrency: int = 8
+
+    @property
+    def step_ms(self) -> int:
+        return max(50, (self.ceiling_ms - self.floor_ms + 4) // 8)
 
-_STATE = "n_signals bigint, interval_ms bigint, concurrency bigint, clean bigint"
 
+SIGNAL = ("status", "latency_ms", "retry_after_ms")
+_STATE = "n_signals bigint, interval_ms bigint, concurrency bigint, clean bigint, average_ms bigint, backoffs bigint, recoveries bigint"
+_NAMES = [x.split()[0] for x in _STATE.split(", ")]
 
-def fold(signals: DataFrame, key: str, order: Sequence[str], bad: str) -> DataFrame:
-    """n_signals, interval_ms, concurrency, clean of each key after all its signals.
 
-    A bad signal doubles the interval and halves the concurrency; CLEAN good
-    ones in a row take half the interval off and give one request back.  Each
-    state depends on the one before it, so a host's signals, one boolean each,
-    meet in an ordered aggregate.
+def policies(declared: DataFrame) -> DataFrame:
+    """The politest bounds of each host that is declared (host, kind, floor_ms, ceiling_ms, concurrency) more than once; one page makes it a page host."""
+    page = F.max(F.col("kind") == "page")
+    return declared.groupBy("host").agg(
+        F.when(page, "page").otherwise("asset").alias("kind"), F.max("floor_ms").alias("floor_ms"), F.max("ceiling_ms").alias("ceiling_ms"),
+        F.when(page, 1).otherwise(F.min("concurrency")).alias("concurrency"),
+    )
+
+
+def fold(signals: DataFrame, key: str, order: Sequence[str], policy: Policy = Policy()) -> DataFrame:
+    """The state of each key after all its signals: counts, interval_ms, concurrency, clean, average_ms.
+
+    Each state depends on the one before it, so a host's signals, three
+    numbers each, meet in an ordered aggregate.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(bad).alias("bad"))))
-    start = F.struct(F.lit(BASE_MS).cast("bigint").alias("i"), F.lit(CONCURRENCY).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("n"))
+    long = lambda x: x.cast("bigint")
+    ordered = F.array_sort(F.collect_list(F.struct(*order, *SIGNAL)))
+    begin = {"interval_ms": policy.floor_ms, "concurrency": policy.concurrency, "clean": 0, "average_ms": None, "backoffs": 0, "recoveries": 0}
+    start = F.struct(*[long(F.lit(v)).alias(n) for n, v in begin.items()])
 
     def step(s, x):
-        up = F.least(F.lit(MOST_MS), F.greatest(s["i"] * 2, s["i"] + LEAST_STEP_MS))
-        recovered = s["n"] + 1 >= CLEAN
-        interval = F.when(x["bad"], up).when(recovered, F.greatest(F.lit(BASE_MS), F.floor(s["i"] / 2))).otherwise(s["i"])
-        conc = F.when(x["bad"], F.greatest(F.lit(1), F.floor(s["c"] / 2))).when(recovered, F.least(F.lit(CONCURRENCY), s["c"] + 1)).otherwise(s["c"])
-        return F.struct(interval.cast("bigint").alias("i"), conc.cast("bigint").alias("c"), F.when(x["bad"] | recovered, 0).otherwise(s["n"] + 1).cast("bigint").alias("n"))
+        interval, conc, average = s["interval_ms"], s["concurrency"], s["average_ms"]
+        slow = (x["status"] < 400) & (x["latency_ms"] > F.greatest(average * SLOW_FACTOR, average + SLOW_MARGIN_MS))
+        refused = x["status"].isin(*REFUSED) | (x["retry_after_ms"].isNotNull() & (x["status"] >= 400))
+        slow, refused = F.coalesce(slow, F.lit(False)), x["status"].isNull() | F.coalesce(refused, F.lit(False))
+        bad = slow | refused
+        clean = ~bad & (x["status"] < 500)
+        fastest = (interval <= policy.floor_ms) & (conc >= policy.concurrency)
+        recovers = clean & ~fastest & (s["clean"] + 1 >= CLEAN)
+        # Four fifths of the old average and a fifth of the latency, rounded.
+        blended = F.coalesce(F.floor((average * 8 + x["latency_ms"] * 2 + 5) / 10), average, x["latency_ms"])
+        grown = F.least(F.lit(policy.ceiling_ms), F.greatest(interval * 2, interval + LEAST_GROWTH_MS))
+        after = {
+            "interval_ms": F.when(bad, grown).when(recovers, F.greatest(F.lit(policy.floor_ms), interval - policy.step_ms)).otherwise(interval),
+            "concurrency": F.when(bad, F.greatest(F.lit(1), F.floor(conc / 2))).when(recovers, F.least(F.lit(policy.concurrency), conc + 1)).otherwise(conc),
+            "clean": F.when(bad | recovers | (clean & fastest), 0).when(clean, s["clean"] + 1).otherwise(s["clean"]),
+            "average_ms": F.when(slow | clean, blended).otherwise(average),
+            "backoffs": s["backoffs"] + bad.cast("int"),
+            "recoveries": s["recoveries"] + recovers.cast("int"),
+        }
+        return F.struct(*[long(c).alias(n) for n, c in after.items()])
 
     done = signals.groupBy(key).agg(F.count("*").alias("n_signals"), F.aggregate(ordered, start, step).alias("s"))
-    return done.select(key, "n_signals", F.col("s.i").alias("interval_ms"), F.col("s.c").alias("concurrency"), F.col("s.n").alias("clean"))
-
-
-def _next(state: tuple[int, int, int, int], bad: bool) -> tuple[int, int, int, int]:
-    n, interval, conc, clean = state
+    return done.select(key, "n_signals", *[F.col(f"s.{n}").alias(n) for n in _NAMES[1:]])
+
+
+def _next(state: tuple, signal: tuple, policy: Policy) -> tuple:
+    """The same step for one signal of a stream; None for nulls."""
+    n, interval, conc, clean, average, backoffs, recoveries = state
+    status, latency, wait = signal
+    timed = average is not None and latency is not None
+    slow = timed and status is not None and status < 400 and latency > max(average * SLOW_FACTOR, average + SLOW_MARGIN_MS)
+    bad = slow or status is None or status in REFUSED or (wait is not None and status >= 400)
+    if not bad and status >= 500:
+        return n + 1, *state[1:]
+    if slow or not bad:
+        average = (average * 8 + latency * 2 + 5) // 10 if timed else latency if average is None else average
     if bad:
-        return n + 1, min(MOST_MS, max(interval * 2, interval + LEAST_STEP_MS)), max(1, conc // 2), 0
-    if clean + 1 >= CLEAN:
-        return n + 1, max(BASE_MS, interval // 2), min(CONCURRENCY, conc + 1), 0
-    return n + 1, interval, conc, clean + 1
+        return n + 1, min(policy.ceiling_ms, max(interval * 2, interval + LEAST_GROWTH_MS)), max(1, conc // 2), 0, average, backoffs + 1, recoveries
+    if interval <= policy.floor_ms and conc >= policy.concurrency:
+        return n + 1, interval, conc, 0, average, backoffs, recoveries
+    if clean + 1 < CLEAN:
+        return n + 1, interval, conc, clean + 1, average, backoffs, recoveries
+    return n + 1, max(policy.floor_ms, interval - policy.step_ms), min(policy.concurrency, conc + 1), 0, average, backoffs, recoveries + 1
 
 
-def follow(signals: DataFrame, key: str, order: Sequence[str], bad: str) -> DataFrame:
+def follow(signals: DataFrame, key: str, order: Sequence[str], policy: Policy = Policy()) -> DataFrame:
     """The same fold over a stream of signals: the state of each key after each micro-batch that has signals of it."""
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else (0, BASE_MS, CONCURRENCY, 0)
-        rows = pd.concat(list(batches)).sort_values(list(order))
-        for x in rows[bad]:
-            now = _next(now, bool(x))
+        now = tuple(state.get) if state.exists else (0, policy.floor_ms, policy.concurrency, 0, None, 0, 0)
+        rows = pd.concat(list(batches)).sort_values([*order, *SIGNAL], na_position="first")
+        for signal in rows[list(SIGNAL)].itertuples(index=False, name=None):
+            now = _next(now, tuple(None if pd.isna(v) else int(v) for v in signal), policy)
         state.update(now)
-        yield pd.DataFrame([(*k, *now)], columns=[key, "n_signals", "interval_ms", "concurrency", "clean"])
+        yield pd.DataFrame([(*k, *now)], columns=[key, *_NAMES]).astype({"average_ms": "Int64"})
 
     kind = signals.schema[key].dataType.simpleString()
-    return signals.select(key, *order, bad).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {_STATE}", _STATE, "update", GroupStateTimeout.NoTimeout)
+    return signals.select(key, *order, *SIGNAL).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {_STATE}", _STATE, "update", GroupStateTimeout.NoTimeout)

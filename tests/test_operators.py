@@ -214,18 +214,37 @@ def test_text_parts_join_to_the_text(spark):
 
 
 def test_pacing_in_batch_and_as_a_stream(spark, tmp_path):
-    rows = [("h", i, i % 29 == 3) for i in range(100)] + [("g", i, False) for i in range(3)]
-    df = spark.createDataFrame(rows, "host string, at bigint, bad boolean")
-    want = {r.host: tuple(r) for r in pacing.fold(df, "host", ["at"], "bad").collect()}
+    statuses = {3: None, 17: 429, 20: 500, 22: 404}
+    rows = [("h", i, statuses.get(i % 29 if i < 40 else 0, 200), None if i == 7 else 9000 if i == 12 else 100 + i, 500 if i == 22 else None) for i in range(100)]
+    rows += [("g", i, 200, None, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "host string, at bigint, status int, latency_ms bigint, retry_after_ms bigint")
+    want = {r.host: tuple(r) for r in pacing.fold(df, "host", ["at"]).collect()}
     for k in range(4):
         df.where(f"at div 25 = {k}").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    query = pacing.follow(stream, "host", ["at"], "bad").writeStream.format("memory").queryName("paced").outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state").start()
+    query = pacing.follow(stream, "host", ["at"]).writeStream.format("memory").queryName("paced").outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state").start()
     query.awaitTermination()
     last = {}
     for r in spark.table("paced").collect():
         last[r.host] = max(last.get(r.host, tuple(r)), tuple(r), key=lambda x: x[1])
-    assert last["g"] == want["g"] and last["h"][1] == want["h"][1] == 100
+    assert last["g"] == want["g"] == ("g", 3, 500, 8, 0, None, 0, 0)
+    assert last["h"] == want["h"] and want["h"][1] == 100 and want["h"][6:] == (5, 3)
+
+
+def test_pacing_steps(spark):
+    def after(*signals):
+        df = spark.createDataFrame([("h", i, *x) for i, x in enumerate(signals)], "host string, at bigint, status int, latency_ms bigint, retry_after_ms bigint")
+        return tuple(pacing.fold(df, "host", ["at"], pacing.Policy(0, 4000, 2)).first())[2:]
+
+    ok = (200, 100, None)
+    assert after(ok) == (0, 2, 0, 100, 0, 0)  # at its fastest nothing is counted
+    assert after(ok, (429, 50, 1000)) == (250, 1, 0, 100, 1, 0)
+    assert after(ok, (200, 1100, None)) == (0, 2, 0, 300, 0, 0)  # four times the average, but not a second more
+    assert after(ok, (200, 1101, None)) == (250, 1, 0, 300, 1, 0)
+    assert after((503, 10, None), (500, 10, None), (404, 10, None)) == (250, 1, 1, 10, 1, 0)  # a server's other error is neutral
+    assert after((None, 10, None), *[ok] * 20) == (0, 2, 0, 100, 1, 1)
+    declared = spark.createDataFrame([("a", "asset", 100, 4000, 8), ("a", "asset", 200, 2000, 4), ("b", "asset", 1, 2, 8), ("b", "page", 1, 3, 8)], "host string, kind string, floor_ms int, ceiling_ms int, concurrency int")
+    assert sorted(tuple(r) for r in pacing.policies(declared).collect()) == [("a", "asset", 200, 4000, 4), ("b", "page", 1, 3, 1)]
 
 
 def test_run_control(spark):
