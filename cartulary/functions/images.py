@@ -12,7 +12,7 @@ SIZE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("width
 
 
 def dimensions(data: bytes) -> tuple[str, int, int] | None:
-    """PNG, GIF, WebP or JPEG; None for other or cut off content."""
+    """PNG, GIF, WebP, JPEG or AVIF; None for other or cut off content."""
     try:
         if data[:8] == b"\x89PNG\r\n\x1a\n" and data[12:16] == b"IHDR":
             return "png", *struct.unpack(">II", data[16:24])
@@ -22,6 +22,9 @@ def dimensions(data: bytes) -> tuple[str, int, int] | None:
             return _webp(data)
         if data[:2] == b"\xff\xd8":
             return _jpeg(data)
+        if data[4:12] in (b"ftypavif", b"ftypavis"):
+            at = data.find(b"ispe", 12)  # the first item's spatial extents, after the box's version
+            return ("avif", *struct.unpack(">II", data[at + 8 : at + 16])) if at > 0 else None
     except (struct.error, IndexError):
         pass
     return None
