@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 from cartulary.llm import rolling
 from cartulary.llm.common import cut, explode_texts
 
-WINDOW = 3
+#: Runs of so many lines are compared; with 1 every repeated line goes, however short it or its document is.
+WINDOW = 1
 _BLANK = b" \t\r\x0b\x0c"
 
 

@@ -55,3 +55,10 @@ def test_a_text_without_repeats_is_kept_byte_for_byte(messy):
     rows = messy.where("doc_id in (706, 708)")
     want = {r.doc_id: r.text for r in rows.collect()}
     assert {r.doc_id: r.text for r in lines.remove_lines(rows).collect()} == want
+
+
+def test_single_lines_and_pairs_go(spark):
+    docs = [(1, "a head\nshared\nits own"), (2, "x\n\n shared \ny"), (3, "shared"), (4, "p\nq"), (5, "p\nq\nnew"), (6, "z\nz")]
+    got = lines.remove_lines(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    want = [(1, 3, 0, docs[0][1]), (2, 3, 1, "x\n\ny"), (3, 1, 1, ""), (4, 2, 0, "p\nq"), (5, 3, 2, "new"), (6, 2, 1, "z")]
+    assert sorted((r.doc_id, r["__lines"], r["__removed"], r.text) for r in got.collect()) == want
