@@ -2,27 +2,47 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.operators import ordered
+
 
 def chained_digest(df: DataFrame, keys: Sequence[str], order: Sequence[str], line: str) -> DataFrame:
-    """n_records and digest of each key: every record's digest covers the one before it.
+    """n_records and digest of each key: every record's digest covers the one before it; a null line makes it null.
 
-    The chain is sequential by its definition, so a key's lines meet in a task;
-    a sealed set is bounded by what one capture may hold.
+    The chain is sequential by its definition, so a key's lines pass through one
+    task, in order; only the digest before is held.
     """
-    lines = F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("__line"))))
-    fold = F.aggregate(lines, F.lit(""), lambda d, x: F.sha2(F.concat(d, x["__line"]), 256))
-    return df.groupBy(*keys).agg(F.count("*").alias("n_records"), fold.alias("digest"))
+
+    def step(s, x):
+        n, d = s
+        return n + 1, None if d is None or x is None else hashlib.sha256((d + x).encode()).hexdigest()
+
+    return ordered.fold(df, keys, order, [line], lambda: (0, ""), step, lambda s: s, "n_records bigint, digest string")
 
 
 def reassemble(df: DataFrame, key: str, ordinal: str, part: str) -> DataFrame:
-    """n_parts, n_bytes and body_sha256 of the parts in order, joined by line feeds; a record's parts are bounded by its size limit."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(ordinal, part))), lambda x: x[part])
-    return df.groupBy(key).agg(F.count("*").alias("n_parts"), F.sum(F.octet_length(part)).cast("bigint").alias("n_bytes"), F.sha2(F.array_join(parts, "\n"), 256).alias("body_sha256"))
+    """n_parts, n_bytes and body_sha256 of the parts in order, joined by line feeds; null parts are only counted.
+
+    The digest is fed part by part, so a body is never held whole.
+    """
+
+    def step(s, x):
+        n, size, digest = s
+        if x is None:
+            return n + 1, size, digest
+        body = x.encode()
+        if size is not None:
+            digest.update(b"\n")
+        digest.update(body)
+        return n + 1, (size or 0) + len(body), digest
+
+    begin = lambda: (0, None, hashlib.sha256())
+    return ordered.fold(df, [key], [ordinal], [part], begin, step, lambda s: (*s[:2], s[2].hexdigest()), "n_parts bigint, n_bytes bigint, body_sha256 string")
 
 
 def replays(df: DataFrame, keys: Sequence[str], digest: str) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cartulary.operators import ordered
+
 # Statuses that ask for less, signals to a recovery, the least
 # growth of an interval, and what makes a response slow (both must hold).
 REFUSED = (429, 502, 503, 504)
@@ -57,42 +59,16 @@ def policies(declared: DataFrame) -> DataFrame:
 def fold(signals: DataFrame, key: str, order: Sequence[str], policy: Policy = Policy()) -> DataFrame:
     """The state of each key after all its signals: counts, interval_ms, concurrency, clean, average_ms.
 
-    Each state depends on the one before it, so a host's signals, three
-    numbers each, meet in an ordered aggregate.
+    Each state depends on the one before it, so a host's signals pass through
+    one task, in order; only the state is held.
     """
-    long = lambda x: x.cast("bigint")
-    ordered = F.array_sort(F.collect_list(F.struct(*order, *SIGNAL)))
-    begin = {"interval_ms": policy.floor_ms, "concurrency": policy.concurrency, "clean": 0, "average_ms": None, "backoffs": 0, "recoveries": 0}
-    start = F.struct(*[long(F.lit(v)).alias(n) for n, v in begin.items()])
-
-    def step(s, x):
-        interval, conc, average = s["interval_ms"], s["concurrency"], s["average_ms"]
-        slow = (x["status"] < 400) & (x["latency_ms"] > F.greatest(average * SLOW_FACTOR, average + SLOW_MARGIN_MS))
-        refused = x["status"].isin(*REFUSED) | (x["retry_after_ms"].isNotNull() & (x["status"] >= 400))
-        slow, refused = F.coalesce(slow, F.lit(False)), x["status"].isNull() | F.coalesce(refused, F.lit(False))
-        bad = slow | refused
-        clean = ~bad & (x["status"] < 500)
-        fastest = (interval <= policy.floor_ms) & (conc >= policy.concurrency)
-        recovers = clean & ~fastest & (s["clean"] + 1 >= CLEAN)
-        # Four fifths of the old average and a fifth of the latency, rounded.
-        blended = F.coalesce(F.floor((average * 8 + x["latency_ms"] * 2 + 5) / 10), average, x["latency_ms"])
-        grown = F.least(F.lit(policy.ceiling_ms), F.greatest(interval * 2, interval + LEAST_GROWTH_MS))
-        after = {
-            "interval_ms": F.when(bad, grown).when(recovers, F.greatest(F.lit(policy.floor_ms), interval - policy.step_ms)).otherwise(interval),
-            "concurrency": F.when(bad, F.greatest(F.lit(1), F.floor(conc / 2))).when(recovers, F.least(F.lit(policy.concurrency), conc + 1)).otherwise(conc),
-            "clean": F.when(bad | recovers | (clean & fastest), 0).when(clean, s["clean"] + 1).otherwise(s["clean"]),
-            "average_ms": F.when(slow | clean, blended).otherwise(average),
-            "backoffs": s["backoffs"] + bad.cast("int"),
-            "recoveries": s["recoveries"] + recovers.cast("int"),
-        }
-        return F.struct(*[long(c).alias(n) for n, c in after.items()])
-
-    done = signals.groupBy(key).agg(F.count("*").alias("n_signals"), F.aggregate(ordered, start, step).alias("s"))
-    return done.select(key, "n_signals", *[F.col(f"s.{n}").alias(n) for n in _NAMES[1:]])
+    plain = signals.select(key, *order, *[F.col(c).cast("bigint").alias(c) for c in SIGNAL])
+    begin = (0, policy.floor_ms, policy.concurrency, 0, None, 0, 0)
+    return ordered.fold(plain, [key], order, SIGNAL, lambda: begin, lambda s, *x: _next(s, x, policy), lambda s: s, _STATE)
 
 
 def _next(state: tuple, signal: tuple, policy: Policy) -> tuple:
-    """The same step for one signal of a stream; None for nulls."""
+    """The state after one signal; None for nulls."""
     n, interval, conc, clean, average, backoffs, recoveries = state
     status, latency, wait = signal
     timed = average is not None and latency is not None

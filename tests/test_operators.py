@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +254,19 @@ def test_run_control(spark):
     legal = [("new", "running"), ("running", "done")]
     assert [r.illegal for r in control.transitions(events, "run", ["seq"], "state", legal).orderBy("seq").collect()] == [False, False, True]
     assert control.current(events, "run", ["seq"], ["state"]).first().state == "running"
+
+
+def test_folds_hold_no_key_whole(spark):
+    rows = [("hot" if i % 3 else f"k{i}", i * 7919 % 3000, None if i == 5 else f"part {i} é", 200, i % 90, None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, n int, line string, status int, latency_ms bigint, retry_after_ms bigint").repartition(5)
+    made = [evidence.chained_digest(df, ["k"], ["n"], "line"), evidence.reassemble(df, "k", "n", "line"), pacing.fold(df, "k", ["n"])]
+    for found in made:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "Sort" in plan and "MapInArrow" in plan
+    hot = [r[2] for r in sorted(rows, key=lambda r: r[1]) if r[0] == "hot"]
+    body = "\n".join(x for x in hot if x is not None).encode()
+    chain, parts, paced = ({r[0]: tuple(r)[1:] for r in found.collect()} for found in made)
+    # Of the 1,999 parts that are not null; the line feeds between them do not count.
+    assert chain["hot"] == (2000, None) and parts["hot"] == (2000, len(body) - 1998, hashlib.sha256(body).hexdigest())
+    assert chain["k3"] == (1, hashlib.sha256("part 3 é".encode()).hexdigest()) and len(chain) == len(parts) == len(paced) == 1001
+    assert paced["hot"][0] == 2000
