@@ -15,8 +15,10 @@ Words: A-Z lower-cased, runs of digits, letters a-z and non-ASCII characters.
 A window is `window` consecutive words of an item; an item with fewer words,
 but one at least, is one window.  Cases: null and wordless texts are hit by
 nothing, null and wordless items have no window, an empty benchmark leaves all
-documents clean.  Items with one item_id count once.  Repeated rows are judged
-one by one; other columns are left out.
+documents clean.  Items with one item_id count once; items
+with a null id hit as others do and are one null at the end of the list.
+Repeated rows of the benchmark are read once.  Repeated documents
+are judged one by one; other columns are left out.
 """
 
 from __future__ import annotations
@@ -41,6 +43,10 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).split()
 
 
+def _in_order(items: set[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
 def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
     """Positions of seq sorted by the suffixes' first depth items (ties by position)."""
     n = len(seq)
@@ -74,7 +80,7 @@ class Tests:
                     at[tuple(ids[i : i + length])].add(item)
                 pairs.update((tuple(ids[i : i + length]), tuple(ids[i + 1 : i + 1 + length])) for i in range(len(ids) - length))
         keys = sorted(at)
-        self.items = [sorted(at[k]) for k in keys]
+        self.items = [_in_order(at[k]) for k in keys]
         self.lengths = np.array([len(k) for k in keys], np.int64)
         self.shortest = int(self.lengths.min()) if keys else 0
         number = {k: i for i, k in enumerate(keys)}
@@ -157,17 +163,17 @@ def match_shard(texts: list[bytes | None], tests: Tests) -> tuple[np.ndarray, np
             run = np.cumsum(np.concatenate([[0], np.diff(at) != 1]))
             np.maximum.at(longest, doc[at], tests.window + np.bincount(run)[run])
     ends = np.cumsum(counts)
-    return counts, longest, [hit[e - c : e] for e, c in zip(ends, counts, strict=True)], [sorted(x) for x in items]
+    return counts, longest, [hit[e - c : e] for e, c in zip(ends, counts, strict=True)], [_in_order(x) for x in items]
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int):
     """Blocks of items of about limit bytes, one after the other."""
-    rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{text}`").cast("binary").alias("text")).where("item is not null and text is not null")
+    rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{text}`").cast("binary").alias("text")).where("text is not null").distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     n = 1 + int(total) // limit
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r.item, bytes(r.text)) for r in part.collect()]
+        yield [(r["item"], bytes(r.text)) for r in part.collect()]
 
 
 _FOUND = "n_words bigint, n_hit bigint, longest bigint, spans array<array<bigint>>, items array<string>"
@@ -203,7 +209,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
                 out["n_hit"].append(int(hit.sum()))
                 out["longest"].append(max(most, most_had or 0))
                 out["spans"].append(_spans(hit))
-                out["items"].append(sorted({*own, *(had or [])}))
+                out["items"].append(_in_order({*own, *(had or [])}))
             return {"kept": ids[0], "__body": pa.array(texts, pa.binary()), **out}
 
         now = explode_texts(now, work, schema, ["kept", "longest", "spans", "items"], "__body")

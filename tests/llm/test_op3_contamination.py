@@ -69,3 +69,18 @@ def test_empty_tables(spark, messy, empty):
     some = spark.createDataFrame([(1, "a b")], "item_id bigint, text string")
     assert contamination.decontaminate(empty, some, ["doc_id"]).count() == 0
     assert set(messy.columns) < set(got.columns)
+
+
+def test_items_without_id_equal_the_sql(spark, tmp_path):
+    from cartulary.llm import queries
+    from tests.oracle import TABLES, compare
+
+    bench = [(None, "only a row without an id has this long passage of words"), (None, "another one"), (7, "another one"), *[(8, "said again")] * 50]
+    docs = [(1, "so " + bench[0][1]), (2, "another one, said again"), (3, "clean"), (4, None)]
+    spark.createDataFrame(bench, "item_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/b")
+    spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(next((tmp_path / ("b" if t == "benchmark" else "d")).glob("*.parquet")))
+    assert compare(spark, queries.QUERIES["op3_decontamination"], queries.ORACLES["op3_decontamination"], str(tmp_path)) == 4
+    blocks = list(contamination._blocks(spark.createDataFrame(bench, "item_id bigint, text string"), "item_id", "text", 1 << 10))
+    assert len(blocks) == 1 and len(blocks[0]) == 4
