@@ -1,15 +1,20 @@
 """Benchmark decontamination by suffix arrays over shards of the training texts.
 
 A shard is a slice of one task's documents.  Its words are numbered by the
-benchmark's vocabulary; only stretches of benchmark words long enough to hold a
-window stay in its suffix array (no other position can match), which prefix
-doubling sorts.  Every test suffix is then found by binary search: the interval
-of training suffixes that start with its window gives all places, and its
-neighbours in the array the longest verbatim match.
-
-The benchmark goes to the tasks in blocks of at most BLOCK_BYTES; for each
-block there is one pass over the documents, which carry what earlier blocks
-found in them, so neither the driver nor a task holds more than a block.
+benchmark's vocabulary; only stretches of which every few words also follow
+each other in the benchmark stay in its suffix array (no other position can
+match), which prefix doubling sorts.  Every test suffix is then found by binary
+search: the interval of training suffixes that start with its window gives all
+places.  Where the shard has fewer suffixes than there are tests the same
+intervals are found from the other side: each of its suffixes is searched in
+the sorted tests.  The longest verbatim match is the longest common prefix of a
+document's suffix and its neighbours in the benchmark's own suffix array.
+
+The benchmark goes to the tasks in blocks of about BLOCK_BYTES, words counted
+by what they take in memory; documents pass through a few blocks at a time and
+carry what earlier ones found in them, so neither the driver nor a task holds
+the whole benchmark.  An item is never parted: one beyond that is a block of its
+own.
 
 Words: A-Z lower-cased, runs of digits, letters a-z and non-ASCII characters.
 A window is `window` consecutive words of an item; an item with fewer words,
@@ -23,18 +28,23 @@ are judged one by one; other columns are left out.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cartulary.llm.common import explode_texts
+from cartulary.llm import rolling
+from cartulary.llm.common import cut, explode_texts
 
 WINDOW = 10
-BLOCK_BYTES = 8 << 20
+#: Bytes of a block: its texts, and WORD_BYTES for each word.
+BLOCK_BYTES = 16 << 20
+WORD_BYTES = 16
+#: Blocks that a document passes through before it is written down.
+BLOCKS_AT_ONCE = 4
+#: Consecutive words that a place must share with the benchmark to be looked at.
+GRAM = 3
 
 _TABLE = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -65,115 +75,200 @@ def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def _prefixes(seq: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The length items from each of at as bytes that sort as the items do; items are 0 or more, padded by 0."""
+    out = np.zeros((len(at), length), ">u4")
+    for j in range(length):
+        inside = at + j < len(seq)
+        out[inside, j] = seq[at[inside] + j]
+    return out.view(f"S{4 * length}").ravel()
+
+
+def _gram_hashes(seq: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the size items from each of at."""
+    h = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        h = rolling.mixed(h ^ seq[at + j].astype(np.uint64))
+    return h
+
+
 class Tests:
-    """A block of items: vocabulary, test suffixes, distinct windows and the items that have them."""
+    """A block of items: vocabulary, their words in a row with breaks, the suffix array of these, and the items of each window."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int) -> None:
         self.window, self.vocab = window, {}
-        at: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        pairs = set()
+        texts: dict[bytes, set[str | None]] = {}
         for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            if ids:
-                length = min(window, len(ids))
-                for i in range(len(ids) - length + 1):
-                    at[tuple(ids[i : i + length])].add(item)
-                pairs.update((tuple(ids[i : i + length]), tuple(ids[i + 1 : i + 1 + length])) for i in range(len(ids) - length))
-        keys = sorted(at)
-        self.items = [_in_order(at[k]) for k in keys]
-        self.lengths = np.array([len(k) for k in keys], np.int64)
-        self.shortest = int(self.lengths.min()) if keys else 0
-        number = {k: i for i, k in enumerate(keys)}
-        #: Codes of two windows that follow each other in an item.
-        self.follow = np.array(sorted(number[a] * len(keys) + number[b] for a, b in pairs), np.int64)
-        self.suffixes = np.zeros((len(keys), window), np.int64)
-        for i, k in enumerate(keys):
-            self.suffixes[i, : len(k)] = k
-
-    def search(self, seq: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each test suffix, the interval of order whose suffixes start with it."""
-        padded = np.concatenate([seq, np.full(self.window, -1, np.int64)])
-        bounds = []
-        for upper in (False, True):
-            lo, hi = np.zeros(len(self.lengths), np.int64), np.full(len(self.lengths), len(order), np.int64)
-            while (open_ := lo < hi).any():
-                mid = (lo + hi) // 2
-                there = order[np.minimum(mid, len(order) - 1)]
-                less, equal = np.zeros(len(lo), bool), np.ones(len(lo), bool)
-                for j in range(self.window):
-                    inside = equal & (j < self.lengths)
-                    if not inside.any():
-                        break
-                    x, y = padded[there + j], self.suffixes[:, j]
-                    less |= inside & (x < y)
-                    equal &= ~inside | (x == y)
-                right = open_ & (less | (equal if upper else False))
-                lo, hi = np.where(right, mid + 1, lo), np.where(open_ & ~right, mid, hi)
-            bounds.append(lo)
-        return bounds[0], bounds[1]
-
-
-def _stretches(ids: np.ndarray, doc: np.ndarray, shortest: int) -> np.ndarray:
-    """Positions in runs of known words, within one document, of at least shortest words."""
-    n = len(ids)
-    known = ids > 0
-    begins = known & np.concatenate([[True], ~known[:-1] | (doc[1:] != doc[:-1])])
-    run = np.cumsum(begins)
-    sizes = np.bincount(run[known], minlength=run[-1] + 1 if n else 1)
-    return np.flatnonzero(known & (sizes[run] >= shortest)) if n else np.zeros(0, np.int64)
-
-
-def match_shard(texts: list[bytes | None], tests: Tests) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[list[str]]]:
+            texts.setdefault(b" ".join(words_of(text)), set()).add(item)
+        texts.pop(b"", None)
+        number = self.vocab.setdefault
+        parts, lengths = [], []
+        for text in texts:
+            parts.append(np.array([number(w, len(self.vocab) + 1) for w in text.split()] + [0], np.int32))
+            lengths.append(len(parts[-1]) - 1)
+        #: Word numbers from 1 on; 0 after each text.
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.ids = _in_order(set().union(*texts.values()) if texts else set())
+        place = {x: i for i, x in enumerate(self.ids)}
+        owners = [np.array(sorted(place[x] for x in own), np.int32) for own in texts.values()]
+        #: The items of text k are owner[owned[k] : owned[k + 1]].
+        self.owned = np.cumsum([0, *map(len, owners)])
+        self.owner = np.concatenate(owners) if owners else np.zeros(0, np.int32)
+        lengths = np.array(lengths, np.int64)
+        ends = np.cumsum(lengths + 1)
+        self.text = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
+        left = np.repeat(ends - 1, lengths + 1) - np.arange(len(self.words))  # words from here to the text's end
+        size = np.minimum(lengths, window)[self.text] if len(lengths) else np.zeros(0, np.int64)
+        longest = int(lengths.max()) if len(lengths) else 1
+        self.order = suffix_array(self.words.astype(np.int64), longest + 1).astype(np.int32)
+        #: For each length of windows their first words' positions, in order of the suffixes, and where each distinct one begins.
+        self.starts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(size).tolist():
+            at = self.order[(size == n)[self.order] & (left >= n)[self.order]]
+            keys = _prefixes(self.words, at, n)
+            self.starts[n] = at, np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(at))
+        #: For each length of windows, bits of the hashes of its items' grams.
+        self.known = {n: self._bits(np.flatnonzero((size == n) & (left >= min(GRAM, n))), min(GRAM, n)) for n in self.starts}
+
+    def _bits(self, at: np.ndarray, gram: int) -> np.ndarray:
+        bits = np.zeros(1 << max(10, int(len(at) * 2).bit_length()), np.uint8)
+        h = _gram_hashes(self.words, at, gram) % np.uint64(8 * len(bits))
+        np.bitwise_or.at(bits, h >> np.uint64(3), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8))
+        return bits
+
+    def keys(self, length: int) -> np.ndarray:
+        """The distinct windows of that length, sorted; made once in each worker."""
+        made = self.__dict__.setdefault("_keys", {})
+        if length not in made:
+            at, begins = self.starts[length]
+            made[length] = _prefixes(self.words, at[begins[:-1]], length)
+        return made[length]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_keys", "_hashes")}
+
+    def items_of(self, length: int, windows: np.ndarray) -> np.ndarray:
+        """Numbers of the items that have any of these windows."""
+        at, begins = self.starts[length]
+        texts = np.unique(self.text[np.concatenate([at[begins[i] : begins[i + 1]] for i in windows.tolist()])])
+        return np.unique(np.concatenate([self.owner[self.owned[k] : self.owned[k + 1]] for k in texts.tolist()]))
+
+    def stretches(self, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Positions in runs, within one document, of words whose every gram items of one length of windows have too, long enough for it."""
+        kept = np.zeros(len(ids), bool)
+        hashes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, bits in self.known.items():
+            g = min(GRAM, n)
+            if len(ids) < g:
+                continue
+            if g not in hashes:
+                end = len(ids) - g + 1
+                could = np.flatnonzero((ids[:end] > 0) & (ids[g - 1 :] > 0) & (doc[:end] == doc[g - 1 :]))
+                hashes[g] = could, _gram_hashes(ids, could, g)
+            at, h = hashes[g]
+            h = h % np.uint64(8 * len(bits))
+            at = at[(bits[h >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+            if len(at):
+                run = np.cumsum(np.concatenate([[0], (np.diff(at) != 1) | (doc[at[1:]] != doc[at[:-1]])]))
+                at = at[np.bincount(run)[run] >= n - g + 1]
+                for j in range(g):
+                    kept[at + j] = True
+        return np.flatnonzero(kept)
+
+    def search(self, seq: np.ndarray, order: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of order whose suffixes start with a window of that length, and which window it is."""
+        shard, tests = _prefixes(seq, order, length), self.keys(length)
+        if len(tests) <= len(shard):
+            lo, hi = np.searchsorted(shard, tests, "left"), np.searchsorted(shard, tests, "right")
+            which = np.flatnonzero(hi > lo)
+            sizes = (hi - lo)[which]
+            where = np.arange(sizes.sum()) + np.repeat(lo[which] - (np.cumsum(sizes) - sizes), sizes)
+            return where, np.repeat(which, sizes)
+        to = np.minimum(np.searchsorted(tests, shard, "left"), len(tests) - 1)
+        where = np.flatnonzero(tests[to] == shard)
+        return where, to[where]
+
+    def common_prefixes(self, seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of each suffix of seq from at the most words it shares with a suffix of the benchmark: with one of its two neighbours."""
+        made = self.__dict__.setdefault("_hashes", [])
+        if not made:
+            made.append(rolling.Windows(rolling.mixed(self.words.astype(np.uint64))))
+        mine, own = rolling.Windows(rolling.mixed(seq.astype(np.uint64))), made[0]
+
+        def shared(at: np.ndarray, to: np.ndarray) -> np.ndarray:
+            """Words that the suffixes from at and to have in common, by halving; breaks end both."""
+            lo, hi = np.zeros(len(at), np.int64), np.minimum(len(seq) - at, len(self.words) - to)
+            while (lo < hi).any():
+                mid = (lo + hi + 1) // 2
+                same = mine.at(at, mid) == own.at(to, mid)
+                lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+            return lo
+
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.order), np.int64)
+        most = np.zeros(len(at), np.int64)
+        while (open_ := lo < hi).any():
+            mid = np.minimum((lo + hi) // 2, len(self.order) - 1)
+            to = self.order[mid].astype(np.int64)
+            n = shared(at, to)
+            most = np.maximum(most, n)
+            a, b = seq[np.minimum(at + n, len(seq) - 1)], self.words[np.minimum(to + n, len(self.words) - 1)]
+            right = open_ & (b < np.where(at + n < len(seq), a, -1))
+            lo, hi = np.where(right, mid + 1, lo), np.where(open_ & ~right, mid, hi)
+        return most
+
+
+def match_shard(texts: list[bytes | None], tests: Tests) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[list[str | None]]]:
     """Of each text: words, longest match, flags of the words that are hit, items."""
     get = tests.vocab.get
     words = [words_of(t) for t in texts]
     counts = np.array([len(w) for w in words], np.int64)
     ids = np.fromiter((get(w, 0) for ws in words for w in ws), np.int64, int(counts.sum()))
     doc = np.repeat(np.arange(len(texts)), counts)
-    hit = np.zeros(len(ids), bool)
-    items: list[set[str]] = [set() for _ in texts]
+    steps = np.zeros(len(ids) + 1, np.int64)
+    items: list[list[np.ndarray]] = [[] for _ in texts]
     longest = np.zeros(len(texts), np.int64)
-    kept = _stretches(ids, doc, tests.shortest) if tests.shortest else np.zeros(0, np.int64)
+    kept = tests.stretches(ids, doc)
     if len(kept):
-        # A break after each stretch: -1 is no word.
-        gap = np.concatenate([np.diff(kept) > 1, [True]]) | np.concatenate([np.diff(doc[kept]) > 0, [True]])
+        # A break after each stretch.  It differs from the tests' breaks, so that no match goes over either.
+        gap = np.concatenate([(np.diff(kept) > 1) | (np.diff(doc[kept]) > 0), [True]])
         place = np.arange(len(kept)) + np.concatenate([[0], np.cumsum(gap[:-1])])
-        seq = np.full(place[-1] + 2, -1, np.int64)
+        seq = np.zeros(place[-1] + 2, np.int64)
         seq[place] = ids[kept]
         origin = np.full(len(seq), -1, np.int64)
         origin[place] = kept
         order = suffix_array(seq, tests.window)
-        lo, hi = tests.search(seq, order)
-        steps = np.zeros(len(ids) + 1, np.int64)
-        match = np.full(len(ids) + 1, -1, np.int64)
-        for i in np.flatnonzero(hi > lo):
-            found = origin[order[lo[i] : hi[i]]]
+        order = order[seq[order] > 0]
+        begin = []
+        for length in tests.starts:
+            where, which = tests.search(seq, order, length)
+            found = origin[order[where]]
             np.add.at(steps, found, 1)
-            np.add.at(steps, found + tests.lengths[i], -1)
-            if tests.lengths[i] == tests.window:
-                match[found] = i
-            np.maximum.at(longest, doc[found], tests.lengths[i])
-            for d in np.unique(doc[found]).tolist():
-                items[d].update(tests.items[i])
-        hit = np.cumsum(steps[:-1]) > 0
-        # Matches that go on: the next place has the window that comes next in an item.
-        at = np.flatnonzero((match[:-1] >= 0) & (match[1:] >= 0))
-        at = at[np.isin(match[at] * len(tests.items) + match[at + 1], tests.follow) & (doc[at] == doc[np.minimum(at + 1, len(doc) - 1)])]
-        if len(at):
-            run = np.cumsum(np.concatenate([[0], np.diff(at) != 1]))
-            np.maximum.at(longest, doc[at], tests.window + np.bincount(run)[run])
+            np.add.at(steps, found + length, -1)
+            np.maximum.at(longest, doc[found], length)
+            begin.append(order[where])
+            pairs = np.unique(doc[found] * (len(tests.starts[length][1]) + 1) + which)
+            owner, which = np.divmod(pairs, len(tests.starts[length][1]) + 1)
+            for d in np.unique(owner).tolist():
+                items[d].append(tests.items_of(length, which[owner == d]))
+        begin = np.unique(np.concatenate(begin))
+        breaks = np.where(seq > 0, seq, len(tests.vocab) + 1 + np.arange(len(seq)))
+        most = tests.common_prefixes(breaks, begin)
+        np.maximum.at(longest, doc[origin[begin]], np.where(most >= tests.window, most, 0))
+    hit = np.cumsum(steps[:-1]) > 0
     ends = np.cumsum(counts)
-    return counts, longest, [hit[e - c : e] for e, c in zip(ends, counts, strict=True)], [_in_order(x) for x in items]
+    named = [[tests.ids[i] for i in np.unique(np.concatenate(x)).tolist()] if x else [] for x in items]
+    return counts, longest, [hit[e - c : e] for e, c in zip(ends, counts, strict=True)], named
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int):
     """Blocks of items of about limit bytes, one after the other."""
-    rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{text}`").cast("binary").alias("text")).where("text is not null").distinct()
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    rows = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null").distinct()
+    words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[A-Z]+"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + WORD_BYTES * words.cast("bigint") + 64), F.lit(0))).first()[0]
     n = 1 + int(total) // limit
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r["item"], bytes(r.text)) for r in part.collect()]
+        yield k, n, [(r["item"], r.text.encode()) for r in part.collect()]
 
 
 _FOUND = "n_words bigint, n_hit bigint, longest bigint, spans array<array<bigint>>, items array<string>"
@@ -187,15 +282,16 @@ def _spans(hit: np.ndarray) -> list[list[int]]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The columns keep and a struct `__found`, for each row.
 
-    __found: n_words; n_hit, the words in occurring windows; longest, the words
-    of the longest verbatim match; spans, start and length of each stretch of
-    hit words; items, the sorted ids of the items with occurring windows.
+    __found: n_words; n_hit, the words in occurring windows; longest, the most
+    words in a row, a window at least, that are also found in a row in one item;
+    spans, start and length of each stretch of hit words; items, the
+    sorted ids of the items with occurring windows.
     """
     fields = StructType.fromDDL(_FOUND)
     now = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text}`").cast("binary").alias("__body"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
     schema = StructType([now.schema["kept"], now.schema["__body"], *fields])
     sc = docs.sparkSession.sparkContext
-    for block in _blocks(benchmark, item_id, item_text, block_bytes):
+    for k, n, block in _blocks(benchmark, item_id, item_text, block_bytes):
         tests = sc.broadcast(Tests(block, window))
 
         def work(texts, ids, tests=tests):
@@ -209,8 +305,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
                 out["n_hit"].append(int(hit.sum()))
                 out["longest"].append(max(most, most_had or 0))
                 out["spans"].append(_spans(hit))
-                out["items"].append(_in_order({*own, *(had or [])}))
+                out["items"].append(_in_order({*own, *had}) if had else own)
             return {"kept": ids[0], "__body": pa.array(texts, pa.binary()), **out}
 
         now = explode_texts(now, work, schema, ["kept", "longest", "spans", "items"], "__body")
+        if (k + 1) % BLOCKS_AT_ONCE == 0 and k + 1 < n:
+            now = cut(now)
     return now.select("kept.*", F.struct(*[f.name for f in fields]).alias("__found"))

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 import regex
 
 from cartulary.llm import contamination
@@ -52,6 +55,28 @@ def test_against_brute_force(spark):
             assert sum(n for _, n in r.spans) == r.n_hit
 
 
+def test_longest_match_lies_in_one_item():
+    w = [f"w{i}" for i in range(13)]
+    tests = contamination.Tests([("1", " ".join(w[1:12]).encode()), ("2", " ".join(w[2:13]).encode())], 10)
+    counts, longest, hits, items = contamination.match_shard([" ".join(w).encode(), b"w3 w4", None], tests)
+    assert counts.tolist() == [13, 2, 0] and longest.tolist() == [11, 0, 0] and hits[0].sum() == 12 and items == [["1", "2"], [], []]
+
+
+@pytest.mark.parametrize("window", [10, 3, 1])
+def test_random_texts_from_either_side(window):
+    """Few words and many repeats; shards of few and of many suffixes, so that both directions of the search are met."""
+    rng = random.Random(window)
+    for round_ in range(12):
+        vocabulary = [f"v{i}" for i in range(3 + 4 * (round_ % 3))]
+        text = lambda n: " ".join(rng.choice([*vocabulary, "x" * rng.randrange(1, 3)]) for _ in range(n))
+        items = [(str(i % 5), text(rng.randrange(0, 25))) for i in range(rng.choice([2, 12]))]
+        docs = [(i, text(rng.choice([0, 5, 30, 90]))) for i in range(rng.choice([1, 8]))]
+        if round_ % 2:
+            docs.append((99, "y " + items[0][1] + " y " + items[-1][1]))
+        got = contamination.match_shard([t.encode() for _, t in docs], contamination.Tests([(i, t.encode()) for i, t in items], window))
+        assert sorted([(d, int(n), int(h.sum()), int(most), own) for (d, _), n, most, h, own in zip(docs, *got, strict=True)], key=repr) == brute(docs, items, window)
+
+
 def test_suffix_array_by_sorting():
     import numpy as np
 
@@ -83,4 +108,4 @@ def test_items_without_id_equal_the_sql(spark, tmp_path):
         (tmp_path / f"{t}.parquet").symlink_to(next((tmp_path / ("b" if t == "benchmark" else "d")).glob("*.parquet")))
     assert compare(spark, queries.QUERIES["op3_decontamination"], queries.ORACLES["op3_decontamination"], str(tmp_path)) == 4
     blocks = list(contamination._blocks(spark.createDataFrame(bench, "item_id bigint, text string"), "item_id", "text", 1 << 10))
-    assert len(blocks) == 1 and len(blocks[0]) == 4
+    assert len(blocks) == 1 and len(blocks[0][2]) == 4
