@@ -1,50 +1,67 @@
 """WARC archives in seekable Zstandard bundles.
 
-A record is a Zstandard frame of its own.  Frames of consecutive records make a
-bundle of about BUNDLE_BYTES; a skippable frame at its end is the seek table
-(compressed and plain size of each frame, after the seekable format's layout:
-frame count, descriptor and magic number last), and another one before it, itself
-compressed, maps the records' identifiers to frame number and offset in the
-frame.  A bundle is a file, so one record is read by its footer, its
-identifier's entry and one frame.
-
-Spark's own text writer puts the files into whatever file system the folder is
-in: each bundle is a row, a file holds one row, and the line separator is the
-seek table's magic number, which has to stand last anyway.
+Consecutive records make an independent Zstandard frame of about FRAME_BYTES
+(before compression), frames make a bundle of up to BUNDLE_BYTES.  A skippable frame at
+a bundle's end is the seek table (compressed and plain size of each frame, after
+the seekable format's layout: frame count, descriptor and magic number last).
+Before it another skippable frame, itself compressed, maps the records'
+identifiers to frame number and offset in the frame.  One record is read by
+ranges: the footer, the index and one frame; the rest of the bundle is not
+touched.
+
+Tasks stream bundles into the folder, whichever file system it is in, under
+names of their own for each attempt.  A table beside them, which Spark commits,
+lists the bundles that count, so nothing of a lost attempt is ever read.
 
 Payloads are the UTF-8 bytes of the html.  Of records with equal payloads of at
 least LEAST_REVISIT bytes, the one with the largest page_id is a response and
 the others revisit it (headers only; length and digest of the full payload stay
 in the headers).  Cases: a null html is an empty payload; smaller payloads are
 all responses; rows that share page_id and payload are all responses; a null
-page_id is stored as an empty identifier, is a response and is no one's
-original; a null url is left out of the record.  Other columns are left out.
+page_id is stored as an empty identifier with a flag in the index, is a response
+and is no one's original; a null url is left out of the record.  A record is
+never parted: one beyond FRAME_BYTES is a frame of its own.  Other columns are
+left out.
 """
 
 from __future__ import annotations
 
 import struct
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import ensure_checkpoint_dir
+from cartulary.llm.common import cut, ensure_checkpoint_dir
 
 LEAST_REVISIT = 1000
-BUNDLE_BYTES = 4 << 20
+FRAME_BYTES = 256 << 10
+BUNDLE_BYTES = 512 << 20
 LEVEL = 3
+#: Bytes from a bundle's end that are read first; they mostly hold the seek table.
+TAIL_BYTES = 16 << 10
+#: Bytes of payload in a batch of read records, about.
+OUT_BYTES = 4 << 20
 
 # Fixed values of the Zstandard seekable format.
 SKIPPABLE_TABLE = 0x184D2A5E
 SKIPPABLE_INDEX = 0x184D2A5D
 SEEKABLE_MAGIC = 0x8F92EAB1
-MAGIC_BYTES = struct.pack("<I", SEEKABLE_MAGIC)
 
-RECORD = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, target_uri string, frame bigint, payload binary"
+#: An index entry: whether there is no identifier, the identifier, frame, offset in the frame.
+_ENTRY = struct.Struct("<?qII")
+_SIZES = struct.Struct("<II")
+_FOOTER = struct.Struct("<IBI")
+
+RECORD = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, target_uri string, frame bigint, offset bigint, payload binary"
+_MANIFEST = "bundle string, records bigint, frames bigint, bytes bigint"
+_KINDS = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
@@ -62,66 +79,121 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, dige
 
 
 def parse(data: bytes) -> dict:
-    """The fields of a record."""
+    """The fields of a record; payload is None for a revisit."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     name = fields["WARC-Record-ID"][len("<urn:page:") : -1]
     to = fields.get("WARC-Refers-To")
     return {
         "page_id": int(name) if name else None, "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
-        "record_type": fields["WARC-Type"], "refers_to": int(to[len("<urn:page:") : -1]) if to else None, "target_uri": fields.get("WARC-Target-URI"), "payload": rest[: int(fields["Content-Length"])],
+        "record_type": fields["WARC-Type"], "refers_to": int(to[len("<urn:page:") : -1]) if to else None, "target_uri": fields.get("WARC-Target-URI"),
+        "payload": None if to else rest[: int(fields["Content-Length"])],
     }
 
 
-def _skippable(magic: int, data: bytes) -> bytes:
-    return struct.pack("<II", magic, len(data)) + data
-
-
-def bundle(records: list[tuple[int | None, bytes]], level: int = LEVEL) -> bytes:
-    """A bundle without the four bytes of the magic number at its end."""
-    packer = zstandard.ZstdCompressor(level=level)
-    frames = [packer.compress(data) for _, data in records]
-    index = b"".join(struct.pack("<qII", -1 if i is None else i, k, 0) for k, (i, _) in enumerate(records))
-    packed = packer.compress(index)
-    sizes = [(len(f), len(d)) for f, (_, d) in zip(frames, records, strict=True)] + [(8 + len(packed), 0)]
-    table = b"".join(struct.pack("<II", *s) for s in sizes) + struct.pack("<IB", len(sizes), 0)
-    footer = _skippable(SKIPPABLE_TABLE, table + MAGIC_BYTES)
-    return b"".join(frames) + _skippable(SKIPPABLE_INDEX, packed) + footer[: -len(MAGIC_BYTES)]
-
-
-class Reader:
-    """Random access to a whole bundle, magic number included."""
-
-    def __init__(self, data: bytes) -> None:
-        n, descriptor, magic = struct.unpack("<IBI", data[-9:])
+class Writer:
+    """A bundle that goes to a stream frame by frame; only its index is held."""
+
+    def __init__(self, to: BinaryIO, frame_bytes: int = FRAME_BYTES, level: int = LEVEL) -> None:
+        self.to, self.frame_bytes = to, frame_bytes
+        self.packer = zstandard.ZstdCompressor(level=level)
+        self.held: list[bytes] = []
+        self.size = self.bytes = self.records = 0
+        self.index = bytearray()
+        self.sizes: list[tuple[int, int]] = []
+
+    def add(self, page_id: int | None, data: bytes) -> None:
+        if self.held and self.size + len(data) > self.frame_bytes:
+            self._close_frame()
+        self.index += _ENTRY.pack(page_id is None, page_id or 0, len(self.sizes), self.size)
+        self.held.append(data)
+        self.size += len(data)
+        self.records += 1
+
+    def _put(self, data: bytes, plain: int | None = None) -> None:
+        self.to.write(data)
+        self.bytes += len(data)
+        if plain is not None:
+            self.sizes.append((len(data), plain))
+
+    def _close_frame(self) -> None:
+        self._put(self.packer.compress(b"".join(self.held)), self.size)
+        self.held, self.size = [], 0
+
+    def finish(self) -> None:
+        if self.held:
+            self._close_frame()
+        packed = self.packer.compress(bytes(self.index))
+        self._put(_SIZES.pack(SKIPPABLE_INDEX, len(packed)) + packed, 0)
+        table = b"".join(_SIZES.pack(*s) for s in self.sizes) + _FOOTER.pack(len(self.sizes), 0, SEEKABLE_MAGIC)
+        self._put(_SIZES.pack(SKIPPABLE_TABLE, len(table)) + table)
+
+
+class Bundle:
+    """Random access by ranges to a bundle in an open file; bytes_read counts what was read."""
+
+    def __init__(self, file: pa.NativeFile | BinaryIO) -> None:
+        self.file, self.bytes_read = file, 0
+        self.end = file.seek(0, 2)
+        tail = self._range(max(0, self.end - TAIL_BYTES), self.end)
+        n, descriptor, magic = _FOOTER.unpack(tail[-_FOOTER.size :])
         if magic != SEEKABLE_MAGIC or descriptor:
             raise ValueError("no seek table at the end")
-        sizes = list(struct.iter_unpack("<II", data[-9 - 8 * n : -9]))
-        self.data, self.starts = memoryview(data), [0]
-        for packed, _ in sizes:
+        table = _SIZES.size * n + _FOOTER.size
+        if table > len(tail):
+            tail = self._range(self.end - table, self.end)
+        #: Where each frame begins, and the end of the last one, which is the index.
+        self.starts = [0]
+        for packed, _ in _SIZES.iter_unpack(tail[-table : -_FOOTER.size]):
             self.starts.append(self.starts[-1] + packed)
-        unpack = zstandard.ZstdDecompressor()
-        index = unpack.decompress(self.data[self.starts[n - 1] + 8 : self.starts[n]])
-        self.entries = list(struct.iter_unpack("<qII", index))
-        self._unpack = unpack
-
-    def at(self, entry: tuple[int, int, int]) -> bytes:
-        """The record of an index entry: one frame is decompressed."""
-        _, frame, offset = entry
-        return self._unpack.decompress(self.data[self.starts[frame] : self.starts[frame + 1]])[offset:]
+        self.unpack = zstandard.ZstdDecompressor()
+        index = self.unpack.decompress(self._range(self.starts[n - 1] + _SIZES.size, self.starts[n]))
+        #: (page_id, frame, offset) of each record, in the order in which they stand.
+        self.entries = [(None if missing else i, frame, offset) for missing, i, frame, offset in _ENTRY.iter_unpack(index)]
+
+    def _range(self, begin: int, end: int) -> bytes:
+        self.file.seek(begin)
+        data = self.file.read(end - begin)
+        self.bytes_read += len(data)
+        return bytes(data)
+
+    def frame(self, number: int) -> bytes:
+        return self.unpack.decompress(self._range(self.starts[number], self.starts[number + 1]))
+
+    def records(self, wanted: list[tuple[int, int]] | None = None) -> Iterator[tuple[int, int, bytes]]:
+        """(frame, offset, record) of the wanted (frame, offset), of all by default; a frame is read once."""
+        offsets = defaultdict(list)
+        for _, frame, offset in self.entries:
+            offsets[frame].append(offset)
+        chosen = defaultdict(set)
+        for frame, offset in wanted or ():
+            chosen[frame].add(offset)
+        for frame in sorted(offsets if wanted is None else chosen):
+            data, begins = self.frame(frame), offsets[frame]
+            for begin, end in zip(begins, [*begins[1:], len(data)], strict=True):
+                if wanted is None or begin in chosen[frame]:
+                    yield frame, begin, data[begin:end]
 
     def get(self, page_id: int) -> list[bytes]:
-        return [self.at(e) for e in self.entries if e[0] == page_id]
+        return [x for _, _, x in self.records([(f, o) for i, f, o in self.entries if i == page_id])]
+
+
+def _open(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, digest, refers_to of the records that revisit another; pages: page_id, digest, size."""
     large = pages.where((F.col("size") >= least) & F.col("page_id").isNotNull())
     first = large.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("lo")).where("lo < refers_to").drop("lo")
-    return large.join(first, ["digest", "size"]).where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    # Written apart, so that the join's sides are plain shuffles, of which Spark can split a hot payload's.
+    return large.join(cut(first), ["digest", "size"]).where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
-def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISIT, bundle_bytes: int = BUNDLE_BYTES) -> None:
+def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_REVISIT, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> None:
     """Write the records of pages into bundles under path, which must not exist."""
     payload = F.coalesce(F.col(f"`{html}`").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(f"`{page_id}`").cast("bigint").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), payload.alias("payload"))
@@ -130,82 +202,121 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
     joined = rows.join(again, ["page_id", "digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        system, folder = _open(path)
+        system.create_dir(f"{folder}/bundles", recursive=True)
+        now: Writer | None = None
+        name = ""
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([bundle(held)], pa.binary())], names=["bundle"])
+        def done() -> pa.RecordBatch:
+            now.finish()
+            now.to.close()
+            cols = [[name], [now.records], [len(now.sizes) - 1], [now.bytes]]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=[x.split()[0] for x in _MANIFEST.split(", ")])
 
         for batch in batches:
             for r in zip(*(batch.column(n) for n in ("page_id", "url", "payload", "size", "digest", "refers_to")), strict=True):
+                if now is None:
+                    name = f"bundles/{uuid.uuid4().hex}.warc.zst"
+                    now = Writer(system.open_output_stream(f"{folder}/{name}", compression=None), frame_bytes)
                 values = [x.as_py() for x in r]
-                data = record(*values)
-                held.append((values[0], data))
-                size += len(data)
-                if size >= bundle_bytes:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
+                now.add(values[0], record(*values))
+                if now.bytes >= bundle_bytes:
+                    yield done()
+                    now = None
+        if now is not None:
+            yield done()
 
-    bundles = joined.mapInArrow(run, "bundle binary").select(F.col("bundle").cast("string").alias("value"))
-    bundles.write.option("encoding", "ISO-8859-1").option("lineSep", MAGIC_BYTES.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
+    joined.mapInArrow(run, _MANIFEST).write.parquet(f"{path}/manifest")
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """bundle (relative to path), records, frames, bytes of each bundle that counts."""
+    return spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every record under path (RECORD); payload is null for revisits, frame is its number in the bundle."""
+def _dealt(bundles: DataFrame) -> DataFrame:
+    """A bundle or so to a partition: the table of them is small and would be one."""
+    return bundles.repartition(max(1, bundles.count()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.strip().split(" ") for x in RECORD.split(",")]
-        kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-        for batch in batches:
-            for content in batch.column("content"):
-                reader = Reader(content.as_py())
-                rows = [{**parse(reader.at(e)), "frame": e[1]} for e in reader.entries]
-                for r in rows:
-                    if r["record_type"] == "revisit":
-                        r["payload"] = None
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds[t]) for n, t in names], names=[n for n, _ in names])
 
-    return _files(spark, path).select("content").mapInArrow(run, RECORD)
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names = [x.strip().split(" ") for x in schema.split(",")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[t]) for c, (_, t) in zip(columns, names, strict=True)], names=[n for n, _ in names])
 
 
-def fetch(spark: SparkSession, path: str, page_ids: DataFrame) -> DataFrame:
-    """The records of the given page_ids (a column page_id), found by their index entries, one frame each."""
-    entries = locate(spark, path).join(page_ids.select("page_id").distinct(), "page_id")
+def _over_bundles(path: str, work, schema: str):
+    """For mapInArrow: the rows that work makes of each bundle (and the row's other values), in batches of about OUT_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = _open(path)
         for batch in batches:
-            for content, frames in zip(batch.column("content"), batch.column("frames"), strict=True):
-                reader, want = Reader(content.as_py()), set(frames.as_py())
-                got = [reader.at(e) for e in reader.entries if e[1] in want]
-                yield pa.RecordBatch.from_arrays([pa.array([parse(x)["page_id"] for x in got], pa.int64()), pa.array(got, pa.binary())], names=["page_id", "record"])
+            for name, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with system.open_input_file(f"{folder}/{name}") as file:
+                    rows, size = [], 0
+                    for row, weight in work(Bundle(file), name, *more):
+                        rows.append(row)
+                        size += weight
+                        if size >= OUT_BYTES:
+                            yield _batch(rows, schema)
+                            rows, size = [], 0
+                    yield _batch(rows, schema)
+
+    return run
 
-    wanted = entries.groupBy("path").agg(F.collect_set("frame").alias("frames"))
-    return _files(spark, path).join(wanted, "path").select("content", "frames").mapInArrow(run, "page_id bigint, record binary")
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Every record under path (RECORD); payload is null for revisits, frame and offset are its place in the bundle."""
+    order = [x.strip().split(" ")[0] for x in RECORD.split(",")]
+
+    def work(bundle: Bundle, name: str):
+        for frame, offset, data in bundle.records():
+            found = {**parse(data), "frame": frame, "offset": offset}
+            yield tuple(found[n] for n in order), len(data) + 200
+
+    return _dealt(manifest(spark, path).select("bundle")).mapInArrow(_over_bundles(path, work, RECORD), RECORD)
+
+
+_PLACE = "bundle string, page_id bigint, frame bigint, offset bigint"
 
 
 def locate(spark: SparkSession, path: str) -> DataFrame:
-    """path, page_id, frame, offset (in the frame) of every record, by the bundles' footers."""
+    """bundle, page_id, frame, offset (in the frame) of every record, read from the bundles' ends alone."""
+
+    def work(bundle: Bundle, name: str):
+        for page_id, frame, offset in bundle.entries:
+            yield (name, page_id, frame, offset), 64
+
+    return _dealt(manifest(spark, path).select("bundle")).mapInArrow(_over_bundles(path, work, _PLACE), _PLACE)
+
+
+_FETCHED = "page_id bigint, record binary, bundle_bytes_read bigint"
+
+
+def fetch(spark: SparkSession, path: str, page_ids: DataFrame) -> DataFrame:
+    """The records of the given page_ids (a column page_id), by their index entries and frames; bundle_bytes_read is what that took of the bundle."""
+    places = locate(spark, path).join(page_ids.select("page_id").distinct(), "page_id")
+    wanted = places.groupBy("bundle").agg(F.collect_set(F.struct("frame", "offset")).alias("places"))  # no more than a bundle's records
+
+    def work(bundle: Bundle, name: str, places: list[dict]):
+        found = list(bundle.records([(p["frame"], p["offset"]) for p in places]))
+        for _, _, data in found:
+            yield (parse(data)["page_id"], data, bundle.bytes_read), len(data)
+
+    return wanted.mapInArrow(_over_bundles(path, work, _FETCHED), _FETCHED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                e = Reader(content.as_py()).entries
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at.as_py()] * len(e)), pa.array([x[0] for x in e], pa.int64()), pa.array([x[1] for x in e], pa.int64()), pa.array([x[2] for x in e], pa.int64())],
-                    names=["path", "page_id", "frame", "offset"],
-                )
 
-    return _files(spark, path).select("path", "content").mapInArrow(run, "path string, page_id bigint, frame bigint, offset bigint")
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an archive."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
-    """Archive pages in the shared folder and read the archives back."""
+def round_trip(pages: DataFrame, columns: tuple[str, ...] = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) -> DataFrame:
+    """Archive pages in the shared folder, read these columns of the archive back and remove it."""
     spark = pages.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path)
-    return read(spark, path)
+    found = cut(read(spark, path).select(*columns))
+    remove(spark, path)
+    return found
