@@ -3,13 +3,14 @@
 Texts split at line feeds; lines without a word are skipped.  Of each window of
 `window` consecutive lines the one with the smallest hash (the rightmost of
 equals) is selected, so two texts that share `window` lines in a row select the
-same one of them: its hash is a guaranteed fingerprint.  Fingerprints that are
-selected in two places or more are joined with their positions, and the
-matches extended both ways: each window that a selected line stands for is
-compared by 128 bits with the windows at the other positions.  A line goes if a
-window over it also starts earlier, in a document with a smaller doc_id or
-before it in the same document.  So of each repeated run of `window` lines or
-more the first one stays and the later ones are deleted.
+same one of them: its hash is a guaranteed fingerprint.  Only selected lines are
+dealt out (about 2 in `window` + 1), each with the hashes of the windows that it
+stands for, which reach from before it to after it.  Lines whose fingerprint is
+selected in two places or more are joined, and the matches extended both ways
+through those windows, compared by 128 bits.  A line goes if a window over it
+also starts earlier, in a document with a smaller doc_id or before it in the
+same document.  So of each repeated run of `window` lines or more the first one
+stays and the later ones are deleted.
 
 Lines are compared with white space at both ends stripped.  Cases: a null text
 has no lines; texts of fewer lines than the window lose nothing.  Rows that
@@ -46,37 +47,45 @@ def selected(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.arange(len(views)) + window - 1 - views.argmin(axis=1)
 
 
-def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, tkey, start, mark, w0, w1: each window of lines, its fingerprint and 128 bits of its lines."""
+def selections(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, tkey, mark, start, w0, w1: each selected line's hash, the first window that it stands for, and 128 bits of each of these windows."""
 
     def work(texts, ids):
         doc_ids, tkeys = (x.to_numpy(zero_copy_only=False) for x in ids)
-        parts = [[np.zeros(0, np.int64)] for _ in range(5)]
+        owner, mark, start, sizes, w0, w1 = ([np.zeros(0, np.int64)] for _ in range(6))
         for i, t in enumerate(texts):
             lines, at = split_lines(t)
             if len(at) >= window:
                 hashes = rolling.word_hashes([lines[k].strip(_BLANK) for k in at])
-                starts = np.arange(len(at) - window + 1)
-                made = (np.full(len(starts), i), starts, hashes[selected(hashes, window)].view(np.int64), *(rolling.Windows(hashes, k).at(starts, window).view(np.int64) for k in (0, 1)))
-                for p, x in zip(parts, made, strict=True):
-                    p.append(x)
-        owner, start, mark, w0, w1 = map(np.concatenate, parts)
-        return {"doc_id": doc_ids[owner], "tkey": tkeys[owner], "start": start, "mark": mark, "w0": w0, "w1": w1}
-
-    return explode_texts(docs, work, "doc_id bigint, tkey bigint, start bigint, mark bigint, w0 bigint, w1 bigint", ["doc_id", "tkey"])
+                chosen = selected(hashes, window)  # of each window; those of one line follow each other
+                begins = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+                starts = np.arange(len(chosen))
+                owner.append(np.full(len(begins), i))
+                mark.append(hashes[chosen[begins]].view(np.int64))
+                start.append(begins)
+                sizes.append(np.diff(np.append(begins, len(chosen))))
+                w0.append(rolling.Windows(hashes, 0).at(starts, window).view(np.int64))
+                w1.append(rolling.Windows(hashes, 1).at(starts, window).view(np.int64))
+        owner = np.concatenate(owner)
+        ends = pa.array(np.cumsum(np.concatenate([[0], *sizes])), pa.int32())
+        lists = {n: pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for n, x in (("w0", w0), ("w1", w1))}
+        return {"doc_id": doc_ids[owner], "tkey": tkeys[owner], "mark": np.concatenate(mark), "start": np.concatenate(start), **lists}
+
+    return explode_texts(docs, work, "doc_id bigint, tkey bigint, mark bigint, start bigint, w0 array<bigint>, w1 array<bigint>", ["doc_id", "tkey"])
 
 
 def later_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, tkey, starts: the windows that also start earlier; starts count lines with a word."""
-    found = windows(docs, window)
-    # A run of windows with one fingerprint at one place is one selected line.
-    marks = found.groupBy("mark").agg(F.min(F.struct("doc_id", "tkey", "start")).alias("lo"), F.max(F.struct("doc_id", "tkey", "start")).alias("hi")).where("lo < hi").select("mark")
+    found = cut(selections(docs, window))  # texts are gone through once
+    here = F.xxhash64("doc_id", "tkey", "start")
+    marks = found.groupBy("mark").agg(F.min(here).alias("lo"), F.max(here).alias("hi")).where("lo < hi").select("mark")
     # Written apart, so that the joins' sides are plain shuffles, of which Spark can split a hot key's.
     marks = cut(marks)
-    candidates = cut(found.join(marks, "mark"))
+    shared = found.join(marks, "mark").select("doc_id", "tkey", "start", F.posexplode(F.arrays_zip("w0", "w1")))
+    shared = cut(shared.select("doc_id", "tkey", (F.col("start") + F.col("pos")).alias("start"), "col.w0", "col.w1"))
     place = F.struct("doc_id", "tkey", "start")
-    first = cut(candidates.groupBy("mark", "w0", "w1").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").drop("hi"))
-    later = candidates.join(first, ["mark", "w0", "w1"]).where(place > F.col("lo"))
+    first = cut(shared.groupBy("w0", "w1").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").drop("hi"))
+    later = shared.join(first, ["w0", "w1"]).where(place > F.col("lo"))
     return later.groupBy("doc_id", "tkey").agg(F.collect_set("start").alias("starts"))
 
 

@@ -47,6 +47,16 @@ def test_equal_windows_select_the_same_line():
         assert x.tolist() == y.tolist()
 
 
+def test_rows_fall_with_the_density(spark):
+    """Of lines that are all different about 2 in window + 1 are dealt out, and each window just once."""
+    text = "\n".join(f"line {i * 7919 % 5003}" for i in range(5000))
+    docs = spark.createDataFrame([(1, 5, text)], "doc_id bigint, tkey bigint, text string")
+    for window in (1, 3, 7):
+        got = lines.selections(docs, window).collect()
+        assert abs(len(got) / 5000 * (window + 1) / 2 - 1) < 0.1
+        assert sorted(r.start + k for r in got for k in range(len(r.w0))) == list(range(5000 - window + 1))
+
+
 def test_empty_table(empty):
     assert lines.remove_lines(empty).count() == 0
 
