@@ -7,17 +7,20 @@ and its lines are hashed alike, and passages are joined to them: first the
 whole passage, then its paragraphs, then its lines.  In the same conversation
 the latest earlier message wins; failing that, the first message of all with
 that text, if its conversation has a smaller conv_id.  The direct parent is
-what the first passage of the lowest level that is linked quotes.  Following
-parents to their start gives each message its root; sorted by (root_conv_id,
-root_turn, conv_id, turn) the messages make conversations in which a reply
-comes after what it quotes, without the quotes.
-
-Parents are always earlier, so there are no cycles.  Only hashes that some
-passage has are joined, and no conversation is gathered in a task.  Cases: a
-null text is a message with no lines and a null body; rows that share conv_id
-and turn are one message for linking, and each comes back; a row with a null
-conv_id or turn is neither linked nor quoted.  A passage that quotes nothing
-known is cut from the text and leaves no link.  Other columns are left out.
+what the first passage of the lowest level that is linked quotes.  A message
+without a parent belongs with the first message of its conv_id.  Following
+both to their start gives each message its root; the messages of a root are a
+conversation, and `position` is a message's place in it, by (conv_id, turn): a
+reply comes after what it quotes, and the quotes are cut from the texts.
+
+What a message belongs to is always earlier, so there are no cycles.  Only
+hashes that some passage has are joined, no conversation is gathered in a task,
+and positions are counted over ranges, so a hot conversation is parted.  Cases:
+a null text is a message with no lines and a null body; rows that share conv_id
+and turn are one message with one position, and each comes back; a row with a
+null conv_id or turn is neither linked nor quoted, its own root, and has no
+position.  A passage that quotes nothing known is cut from the text and leaves
+no link.  Other columns are left out.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from pyspark.sql import functions as F
 
 from cartulary.llm.common import cut, explode_texts
 
+#: Turns of a conversation in which the latest message with a text is sought at once.
+TURNS = 4096
 _QUOTE = re.compile(r"^[ \t]*((?:>[ \t]?)+)(.*)$", re.S)
 #: A line before a quote that names its author goes with the quote.  Fixed values: the verbs of common mail programs.
 _AUTHOR = re.compile(r"\b(?:wrote|schrieb|a écrit|escribió):\s*$", re.I)
@@ -122,15 +127,11 @@ def link(messages: DataFrame) -> DataFrame:
     quotes = cut(quoted(messages))
     if quotes.isEmpty():
         return quotes.select("conv_id", "turn", "passage", "level", F.col("conv_id").alias("to_conv"), F.col("turn").alias("to_turn"))
-    known = cut(originals(messages).join(quotes.select("hash").distinct(), "hash", "left_semi"))
-    # The latest earlier message of the same conversation.
-    here = known.select("conv_id", "hash").distinct()
-    keys = quotes.join(here, ["conv_id", "hash"], "left_semi").select("conv_id", "hash", "turn", F.lit(0).alias("own"))
-    both = keys.distinct().unionAll(known.join(keys.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").select("conv_id", "hash", "turn", F.lit(1).alias("own")).distinct())
-    before = W.partitionBy("conv_id", "hash").orderBy("turn", "own").rowsBetween(W.unboundedPreceding, -1)
-    same = both.withColumn("to_turn", F.last(F.when(F.col("own") == 1, F.col("turn")), ignorenulls=True).over(before)).where("own = 0 and to_turn is not null").select("conv_id", "turn", "hash", "to_turn")
-    first = known.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    found = quotes.join(same, ["conv_id", "turn", "hash"], "left").join(first, "hash", "left")
+    # Aggregates are written apart: the joins' sides are plain shuffles then, of which Spark can split a hot text's.
+    asked = cut(quotes.select("hash").distinct())
+    known = cut(originals(messages).join(asked, "hash", "left_semi"))
+    first = cut(known.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first")))
+    found = quotes.join(_latest_before(quotes, known), ["conv_id", "turn", "hash"], "left").join(first, "hash", "left")
     to = F.when(F.col("to_turn").isNotNull(), F.struct(F.lit(0).alias("far"), F.col("conv_id").alias("to_conv"), F.col("to_turn").alias("to_turn"))).when(
         F.col("first.conv_id") < F.col("conv_id"), F.struct(F.lit(1).alias("far"), F.col("first.conv_id").alias("to_conv"), F.col("first.turn").alias("to_turn"))
     )
@@ -138,25 +139,62 @@ def link(messages: DataFrame) -> DataFrame:
     return best.select("conv_id", "turn", "passage", "level", F.col("b.to_conv").alias("to_conv"), F.col("b.to_turn").alias("to_turn"))
 
 
-def roots(parents: DataFrame) -> DataFrame:
-    """conv_id, turn, root_conv_id, root_turn for each message with a parent, by pointer jumping."""
-    now = cut(parents.select("conv_id", "turn", F.col("to_conv").alias("root_conv_id"), F.col("to_turn").alias("root_turn")))
-    while not now.isEmpty():
-        up = now.select(F.col("conv_id").alias("root_conv_id"), F.col("turn").alias("root_turn"), F.col("root_conv_id").alias("c"), F.col("root_turn").alias("t"))
-        nxt = cut(now.join(up, ["root_conv_id", "root_turn"], "left").select("conv_id", "turn", F.coalesce("c", "root_conv_id").alias("root_conv_id"), F.coalesce("t", "root_turn").alias("root_turn"), F.col("c").isNotNull().alias("moved")))
+def _latest_before(quotes: DataFrame, known: DataFrame) -> DataFrame:
+    """conv_id, turn, hash, to_turn: the latest earlier message of the same conversation that has the hash.
+
+    Sought within blocks of TURNS turns; what goes over from one block to the
+    next is one row a block, so a hot text of a long conversation is parted.
+    """
+    here = cut(known.select("conv_id", "hash").distinct())
+    keys = quotes.join(here, ["conv_id", "hash"], "left_semi").select("conv_id", "hash", "turn").distinct()
+    both = keys.withColumn("own", F.lit(0)).unionAll(known.select("conv_id", "hash", "turn").distinct().withColumn("own", F.lit(1)))
+    both = both.withColumn("block", F.floor(F.col("turn") / TURNS))
+    own = F.when(F.col("own") == 1, F.col("turn"))
+    ends = both.groupBy("conv_id", "hash", "block").agg(F.max(own).alias("end"))
+    over = W.partitionBy("conv_id", "hash").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    ends = cut(ends.select("conv_id", "hash", "block", F.max("end").over(over).alias("carried")))
+    before = W.partitionBy("conv_id", "hash", "block").orderBy("turn", "own").rowsBetween(W.unboundedPreceding, -1)
+    within = both.withColumn("inside", F.max(own).over(before)).where("own = 0")
+    return within.join(ends, ["conv_id", "hash", "block"]).select("conv_id", "turn", "hash", F.coalesce("inside", "carried").alias("to_turn")).where("to_turn is not null")
+
+
+def roots(messages: DataFrame, parents: DataFrame) -> DataFrame:
+    """conv_id, turn, to_conv, to_turn (its parent), root_conv_id, root_turn of each distinct message, by pointer jumping."""
+    heads = cut(messages.groupBy("conv_id").agg(F.min("turn").alias("head")))
+    up = messages.join(heads, "conv_id").join(parents, ["conv_id", "turn"], "left")
+    now = cut(up.select("conv_id", "turn", "to_conv", "to_turn", F.coalesce("to_conv", "conv_id").alias("root_conv_id"), F.coalesce("to_turn", "head").alias("root_turn")))
+    moved = not parents.isEmpty()
+    while moved:
+        further = now.select(F.col("conv_id").alias("root_conv_id"), F.col("turn").alias("root_turn"), F.col("root_conv_id").alias("c"), F.col("root_turn").alias("t"))
+        nxt = now.join(further, ["root_conv_id", "root_turn"]).withColumn("moved", ~((F.col("c") == F.col("root_conv_id")) & (F.col("t") == F.col("root_turn"))))
+        nxt = cut(nxt.select("conv_id", "turn", "to_conv", "to_turn", F.col("c").alias("root_conv_id"), F.col("t").alias("root_turn"), "moved"))
         moved = not nxt.where("moved").isEmpty()
         now = nxt.drop("moved")
-        if not moved:
-            break
     return now
 
 
+def with_positions(placed: DataFrame) -> DataFrame:
+    """placed with position, the number of a root's messages before it by (conv_id, turn); rows: distinct messages.
+
+    Ranges of the whole order number their own rows, and each range's rows of
+    a root are counted for the ranges after it.
+    """
+    root = ["root_conv_id", "root_turn"]
+    ranged = cut(placed.repartitionByRange(*root, "conv_id", "turn").withColumn("range", F.spark_partition_id()))
+    counts = ranged.groupBy(*root, "range").agg(F.count("*").alias("n"))
+    before = W.partitionBy(*root).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    starts = cut(counts.select(*root, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
+    inside = F.row_number().over(W.partitionBy(*root, "range").orderBy("conv_id", "turn")) - 1
+    return ranged.withColumn("inside", inside).join(starts, [*root, "range"]).withColumn("position", F.col("start") + F.col("inside")).drop("range", "start", "inside")
+
+
 def reply_order(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, turn, role, body, n_quotes, max_level, parent_conv_id, parent_turn, root_conv_id, root_turn, for each row."""
+    """conv_id, turn, role, body, n_quotes, max_level, parent_conv_id, parent_turn, root_conv_id, root_turn, position, for each row."""
     rows = messages.select(F.col(f"`{conv_id}`").cast("bigint").alias("conv_id"), F.col(f"`{turn}`").cast("bigint").alias("turn"), F.col(f"`{role}`").cast("string").alias("role"), F.col(f"`{text}`").alias("text"))
-    links = cut(link(rows.where("conv_id is not null and turn is not null and text is not null").select("conv_id", "turn", "text")))
-    parents = links.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "passage", "to_conv", "to_turn")).alias("p")).select("conv_id", "turn", "p.to_conv", "p.to_turn")
-    placed = parents.join(roots(parents), ["conv_id", "turn"])
+    valid = rows.where("conv_id is not null and turn is not null")
+    links = cut(link(valid.where("text is not null").select("conv_id", "turn", "text")))
+    parents = cut(links.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "passage", "to_conv", "to_turn")).alias("p")).select("conv_id", "turn", "p.to_conv", "p.to_turn"))
+    placed = with_positions(roots(valid.select("conv_id", "turn").distinct(), parents))
 
     def work(texts, ids):
         parsed = [(None, []) if t is None else parse(_string(t)) if b">" in t else (_string(t), []) for t in texts]
@@ -166,5 +204,5 @@ def reply_order(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     joined = clean.join(placed, ["conv_id", "turn"], "left")
     return joined.select(
         "conv_id", "turn", "role", "body", "n_quotes", "max_level", F.col("to_conv").alias("parent_conv_id"), F.col("to_turn").alias("parent_turn"),
-        F.coalesce("root_conv_id", "conv_id").alias("root_conv_id"), F.coalesce("root_turn", "turn").alias("root_turn"),
+        F.coalesce("root_conv_id", "conv_id").alias("root_conv_id"), F.coalesce("root_turn", "turn").alias("root_turn"), "position",
     )
