@@ -26,10 +26,12 @@ EDGES_PER_PARTITION = 200_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names; one of our own only where it names none."""
+    """The folder that the cluster names; one of our own only where a local session names none."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="cartulary-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
