@@ -1,10 +1,4 @@
-"""The registered game profiles: schemas of card and printing attributes, tokens, filter fields.
-
-Shapes are written as dictionaries of short words: `text`, `text!` (not empty),
-`int`, `int1` (from 1), `flag`; `?` after them admits null; `one` and `set`
-with the admitted values; `texts` (distinct) and `list` of a shape; a `~` after
-a name makes the field optional.
-"""
+"""The registered game profiles: schemas of card and printing attributes, tokens, filter fields."""
 
 from __future__ import annotations
 
@@ -17,120 +11,158 @@ from pyspark.sql import functions as F
 
 from cartulary.catalogue.profiles import validate
 
-# The vocabularies of the games.
-COLOURS = "red green blue purple black yellow white colourless"
-LAYOUTS = (
-    "normal token art_series transform saga adventure planar split modal_dfc emblem double_faced_token scheme mutate prepare "
-    "class meld leveler flip prototype vanguard host case augment reversible_card"
-)
-TWO_SIDED = "transform modal_dfc art_series double_faced_token reversible_card"
-SHARED_SIDE = "split flip adventure prepare"
-
-_FACE = {"role": "one front back", "name": "text!", "mana_cost": "text?", "type_line": "text?!", "colours": "set? W U B R G", "oracle_text": "text?", "power": "text?", "toughness": "text?"}
-_WEAKNESS = {"type": "text!", "value": "text!"}
-_SECTIONS = "one effect inherited_effect security_effect rule special_digivolution_condition dual_effect dual_rule link_condition link_effect"
-
-# The fields of each game's cards and printings.
-CARDS: dict[str, dict] = {
-    "magic": {"layout": "one " + LAYOUTS.replace("art_series ", ""), "type_line": "text!", "colour_identity": "set W U B R G", "faces": ["list", _FACE, 1, 5]},
-    "pokemon": {
-        "card_type": "one pokemon trainer energy", "trainer_type~": "text?", "effect_text~": "text?", "energy_kind~": "one basic special unknown",
-        "provided_energy~": {"state": "one fixed unknown", "units": ["list", "text!"]},
-        "hp": "int?", "types": "texts", "stage": "text?", "evolves_from": "text?",
-        "abilities": ["list", {"kind": "text?", "name": "text!", "text": "text?"}],
-        "attacks": ["list", {"name": "text!", "cost": ["list", "text"], "damage": "text?", "text": "text?"}],
-        "weaknesses": ["list", _WEAKNESS], "resistances": ["list", _WEAKNESS], "retreat_cost": "int?", "regulation_mark": "text?",
-    },
-    "riftbound": {
-        "card_types": "set spell battlefield unit gear legend rune", "supertypes": "set champion signature token", "domains": "set fury calm mind body chaos order colorless",
-        "energy": "int?", "power": "int?", "might": "int?", "might_bonus": "int?", "tags": "texts", "ability_text": "text?", "effect_text": "text?",
-    },
-    "one-piece": {
-        "card_type": "one leader character event stage don", "colours": "set " + COLOURS, "cost": "int?", "life": "int?", "battle_attributes": "texts", "power": "int?",
-        "counter": "int?", "traits": "texts", "block_icons": "texts", "effect_text": "text?", "trigger_text": "text?",
-    },
-    "fusion-world": {
-        "card_type": "one leader battle extra energy_marker", "colours": "set " + COLOURS, "cost": "int?",
-        "specified_cost": ["list", {"colour": "one red blue green yellow black", "count": "int1"}], "power": "int?", "combo_power": "int?", "traits": "texts",
-        "skills": ["list", {"kind": "one ordinary front back", "text": "text"}],
-        "leader_faces~": ["list", {"role": "one front back", "name": "text!", "power~": "int?", "traits": "texts", "skills": "text"}, 2, 2],
-    },
-    "digimon": {
-        "card_type": "one digi_egg digimon tamer option digimon_option", "colours": "set " + COLOURS, "level": "int?", "play_cost": "int?", "use_cost": "int?", "dp": "int?",
-        "form": "text?", "attribute": "text?", "traits": "texts",
-        "digivolution_requirements": ["list", {"index~": "int1", "from_level~": "int?", "colours~": "set " + COLOURS, "cost": "int", "raw_condition~": "text?"}],
-        "text_sections": ["list", {"kind": _SECTIONS, "text": "text"}], "dual_colours~": "set " + COLOURS, "dual_cost~": "int?", "link_dp~": "int?",
-    },
-    "gundam": {
-        "card_type": "one unit pilot command base resource ex_base ex_resource unit_token", "colours": "set " + COLOURS, "level": "int?", "cost": "int?", "block_icon": "text?",
-        "effect_text": "text?", "zone": "text?", "traits": "texts", "link_condition": "text?", "ap": "int?", "hp": "int?", "series_titles": "texts",
-    },
-}
-PRINTINGS: dict[str, dict] = {
-    "magic": {
-        "set_code": "text!", "collector_number": "text!", "finish": "one nonfoil foil etched", "layout": "one " + LAYOUTS,
-        "faces": ["list", {"role": "one front back", "name": "text!", "printed_rules_text": "text?"}, 1, 5], "artists": "texts", "reverse_face": "text?", "finish_image": "text?",
-    },
-    "pokemon": {"set_code": "text!", "collector_number": "text!", "finish": "text?", "edition": "text?", "size": "text?", "stamps": "texts", "artists": "texts", "reverse_face": "text?"},
-    "riftbound": {"public_code": "text?", "collector_number": "int?", "set_code": "text!", "orientation": "text?", "reverse_face": "text?", "finish": "text?", "artists": "texts"},
-    "one-piece": {"illustration_types~": "set comic animation original other"},
-    "fusion-world": {},
-    "digimon": {"alternative_art": "flag"},
-    "gundam": {"alternate_art": "flag"},
-}
-
-_CREATURE = {"types": [], "stage": None, "evolves_from": None, "abilities": [], "attacks": [], "weaknesses": [], "resistances": [], "retreat_cost": None}
-# What applies to each type of card.
-CASES = {
-    "pokemon": {
-        "field": "card_type",
-        "cases": {
-            "pokemon": {"absent": ["trainer_type", "effect_text", "energy_kind", "provided_energy"]},
-            "trainer": {"required": ["trainer_type", "effect_text"], "absent": ["energy_kind", "provided_energy"], "empty": _CREATURE},
-            "energy": {"required": ["energy_kind", "provided_energy", "effect_text"], "absent": ["trainer_type"], "empty": {"hp": None, **_CREATURE}},
-        },
-    },
-    "pokemon.provided_energy": {"field": "state", "cases": {"fixed": {"least": {"units": 1}}, "unknown": {"empty": {"units": []}}}},
+TEXT = {"kind": "string", "min_length": 0}
+NAME = {"kind": "string", "min_length": 1}
+COUNT = {"kind": "integer", "minimum": 0}
+POSITIVE = {"kind": "integer", "minimum": 1}
+FLAG = {"kind": "boolean"}
+TEXTS = {"kind": "array", "unique": True, "items": {"kind": "string"}}
+
+
+def one_of(values: list[str]) -> dict:
+    return {"kind": "enum", "values": values}
+
+
+def some_of(values: list[str]) -> dict:
+    return {"kind": "array", "unique": True, "items": one_of(values)}
+
+
+def rows_of(items: dict, **bounds: int) -> dict:
+    return {"kind": "array", "items": items, **bounds}
+
+
+def maybe(shape: dict) -> dict:
+    """May be null."""
+    return {**shape, "nullable": True}
+
+
+def optional(shape: dict) -> dict:
+    """May be left out."""
+    return {**shape, "required": False}
+
+
+def record(when: dict | None = None, **fields: dict) -> dict:
+    return {"kind": "object", "fields": {k: {"required": True, **v} for k, v in fields.items()}} | ({"when": when} if when else {})
+
+
+# The vocabularies of the games, and the fields of their cards and printings.
+COLOURS = ["red", "green", "blue", "purple", "black", "yellow", "white", "colourless"]
+MANA = ["W", "U", "B", "R", "G"]
+ROLES = ["front", "back"]
+#: Layout: the least and the most faces, and whether the second one is on the back.
+LAYOUTS = {
+    "normal": (1, 1, False),
+    "token": (1, 1, False),
+    "art_series": (2, 2, True),
+    "transform": (2, 2, True),
+    "saga": (1, 1, False),
+    "adventure": (2, 2, False),
+    "planar": (1, 1, False),
+    "split": (2, 5, False),
+    "modal_dfc": (2, 2, True),
+    "emblem": (1, 1, False),
+    "double_faced_token": (2, 2, True),
+    "scheme": (1, 1, False),
+    "mutate": (1, 1, False),
+    "prepare": (2, 2, False),
+    "class": (1, 1, False),
+    "meld": (1, 1, False),
+    "leveler": (1, 1, False),
+    "flip": (2, 2, False),
+    "prototype": (1, 1, False),
+    "vanguard": (1, 1, False),
+    "host": (1, 1, False),
+    "case": (1, 1, False),
+    "augment": (1, 1, False),
+    "reversible_card": (2, 2, True),
 }
 
-
-def schema(shape: Any, path: str = "") -> dict:
-    """The profile schema of a shape."""
-    if isinstance(shape, dict):
-        fields = {}
-        for name, sub in shape.items():
-            bare = name.rstrip("~")
-            fields[bare] = {**schema(sub, f"{path}.{bare}"), "required": bare == name}
-        return {"kind": "object", "fields": fields} | ({"when": CASES[path]} if path in CASES else {})
-    if isinstance(shape, list):
-        _, items, *bounds = shape
-        return {"kind": "array", "items": schema(items)} | dict(zip(("min_items", "max_items"), bounds))
-    word, *values = shape.split(" ")
-    nullable = {"nullable": True} if "?" in word else {}
-    match word.strip("?!"):
-        case "text":
-            made = {"kind": "string", "min_length": int("!" in word)}
-        case "texts":
-            made = {"kind": "array", "unique": True, "items": {"kind": "string"}}
-        case "int" | "int1" as kind:
-            made = {"kind": "integer", "minimum": int(kind == "int1")}
-        case "flag":
-            made = {"kind": "boolean"}
-        case "one":
-            made = {"kind": "enum", "values": values}
-        case "set":
-            made = {"kind": "array", "unique": True, "items": {"kind": "enum", "values": values}}
-        case other:
-            raise ValueError(f"no shape {other}")
-    return made | nullable
+MAGIC_FACE = record(
+    role=one_of(ROLES), name=NAME, mana_cost=maybe(TEXT), type_line=maybe(NAME), colours=maybe(some_of(MANA)),
+    oracle_text=maybe(TEXT), power=maybe(TEXT), toughness=maybe(TEXT),
+)
+MAGIC_CARD = record(layout=one_of([x for x in LAYOUTS if x != "art_series"]), type_line=NAME, colour_identity=some_of(MANA), faces=rows_of(MAGIC_FACE, min_items=1, max_items=5))
+MAGIC_PRINTED_FACE = record(role=one_of(ROLES), name=NAME, printed_rules_text=maybe(TEXT))
+MAGIC_PRINTING = record(
+    set_code=NAME, collector_number=NAME, finish=one_of(["nonfoil", "foil", "etched"]), layout=one_of(list(LAYOUTS)),
+    faces=rows_of(MAGIC_PRINTED_FACE, min_items=1, max_items=5), artists=TEXTS, reverse_face=maybe(TEXT), finish_image=maybe(TEXT),
+)
+
+NO_CREATURE = {"types": [], "stage": None, "evolves_from": None, "abilities": [], "attacks": [], "weaknesses": [], "resistances": [], "retreat_cost": None}
+#: What applies to each type of card.
+POKEMON_CASES = {
+    "field": "card_type",
+    "cases": {
+        "pokemon": {"absent": ["trainer_type", "effect_text", "energy_kind", "provided_energy"]},
+        "trainer": {"required": ["trainer_type", "effect_text"], "absent": ["energy_kind", "provided_energy"], "empty": NO_CREATURE},
+        "energy": {"required": ["energy_kind", "provided_energy", "effect_text"], "absent": ["trainer_type"], "empty": {"hp": None, **NO_CREATURE}},
+    },
+}
+ENERGY_CASES = {"field": "state", "cases": {"fixed": {"least": {"units": 1}}, "unknown": {"empty": {"units": []}}}}
+POKEMON_EFFECT = record(type=NAME, value=NAME)
+POKEMON_CARD = record(
+    when=POKEMON_CASES,
+    card_type=one_of(["pokemon", "trainer", "energy"]), trainer_type=optional(maybe(TEXT)), effect_text=optional(maybe(TEXT)),
+    energy_kind=optional(one_of(["basic", "special", "unknown"])),
+    provided_energy=optional(record(when=ENERGY_CASES, state=one_of(["fixed", "unknown"]), units=rows_of(NAME))),
+    hp=maybe(COUNT), types=TEXTS, stage=maybe(TEXT), evolves_from=maybe(TEXT),
+    abilities=rows_of(record(kind=maybe(TEXT), name=NAME, text=maybe(TEXT))),
+    attacks=rows_of(record(name=NAME, cost=rows_of(TEXT), damage=maybe(TEXT), text=maybe(TEXT))),
+    weaknesses=rows_of(POKEMON_EFFECT), resistances=rows_of(POKEMON_EFFECT), retreat_cost=maybe(COUNT), regulation_mark=maybe(TEXT),
+)
+POKEMON_PRINTING = record(set_code=NAME, collector_number=NAME, finish=maybe(TEXT), edition=maybe(TEXT), size=maybe(TEXT), stamps=TEXTS, artists=TEXTS, reverse_face=maybe(TEXT))
+
+RIFTBOUND_CARD = record(
+    card_types=some_of(["spell", "battlefield", "unit", "gear", "legend", "rune"]), supertypes=some_of(["champion", "signature", "token"]),
+    domains=some_of(["fury", "calm", "mind", "body", "chaos", "order", "colorless"]),
+    energy=maybe(COUNT), power=maybe(COUNT), might=maybe(COUNT), might_bonus=maybe(COUNT), tags=TEXTS, ability_text=maybe(TEXT), effect_text=maybe(TEXT),
+)
+RIFTBOUND_PRINTING = record(public_code=maybe(TEXT), collector_number=maybe(COUNT), set_code=NAME, orientation=maybe(TEXT), reverse_face=maybe(TEXT), finish=maybe(TEXT), artists=TEXTS)
+
+ONE_PIECE_CARD = record(
+    card_type=one_of(["leader", "character", "event", "stage", "don"]), colours=some_of(COLOURS), cost=maybe(COUNT), life=maybe(COUNT), battle_attributes=TEXTS,
+    power=maybe(COUNT), counter=maybe(COUNT), traits=TEXTS, block_icons=TEXTS, effect_text=maybe(TEXT), trigger_text=maybe(TEXT),
+)
+ONE_PIECE_PRINTING = record(illustration_types=optional(some_of(["comic", "animation", "original", "other"])))
+
+FUSION_WORLD_LEADER = record(role=one_of(ROLES), name=NAME, power=optional(maybe(COUNT)), traits=TEXTS, skills=TEXT)
+FUSION_WORLD_CARD = record(
+    card_type=one_of(["leader", "battle", "extra", "energy_marker"]), colours=some_of(COLOURS), cost=maybe(COUNT),
+    specified_cost=rows_of(record(colour=one_of(["red", "blue", "green", "yellow", "black"]), count=POSITIVE)), power=maybe(COUNT), combo_power=maybe(COUNT), traits=TEXTS,
+    skills=rows_of(record(kind=one_of(["ordinary", "front", "back"]), text=TEXT)),
+    leader_faces=optional(rows_of(FUSION_WORLD_LEADER, min_items=2, max_items=2)),
+)
+
+DIGIMON_SECTIONS = ["effect", "inherited_effect", "security_effect", "rule", "special_digivolution_condition", "dual_effect", "dual_rule", "link_condition", "link_effect"]
+DIGIMON_EVOLUTION = record(index=optional(POSITIVE), from_level=optional(maybe(COUNT)), colours=optional(some_of(COLOURS)), cost=COUNT, raw_condition=optional(maybe(TEXT)))
+DIGIMON_CARD = record(
+    card_type=one_of(["digi_egg", "digimon", "tamer", "option", "digimon_option"]), colours=some_of(COLOURS), level=maybe(COUNT), play_cost=maybe(COUNT), use_cost=maybe(COUNT),
+    dp=maybe(COUNT), form=maybe(TEXT), attribute=maybe(TEXT), traits=TEXTS, digivolution_requirements=rows_of(DIGIMON_EVOLUTION),
+    text_sections=rows_of(record(kind=one_of(DIGIMON_SECTIONS), text=TEXT)), dual_colours=optional(some_of(COLOURS)), dual_cost=optional(maybe(COUNT)), link_dp=optional(maybe(COUNT)),
+)
+
+GUNDAM_CARD = record(
+    card_type=one_of(["unit", "pilot", "command", "base", "resource", "ex_base", "ex_resource", "unit_token"]), colours=some_of(COLOURS), level=maybe(COUNT), cost=maybe(COUNT),
+    block_icon=maybe(TEXT), effect_text=maybe(TEXT), zone=maybe(TEXT), traits=TEXTS, link_condition=maybe(TEXT), ap=maybe(COUNT), hp=maybe(COUNT), series_titles=TEXTS,
+)
+
+PROFILES: dict[str, dict] = {
+    "magic": {"id": "magic@1", "card": MAGIC_CARD, "printing": MAGIC_PRINTING},
+    "pokemon": {"id": "pokemon@1", "card": POKEMON_CARD, "printing": POKEMON_PRINTING},
+    "riftbound": {"id": "riftbound@1", "card": RIFTBOUND_CARD, "printing": RIFTBOUND_PRINTING},
+    "one-piece": {"id": "one-piece@1", "card": ONE_PIECE_CARD, "printing": ONE_PIECE_PRINTING},
+    "fusion-world": {"id": "fusion-world@1", "card": FUSION_WORLD_CARD, "printing": record()},
+    "digimon": {"id": "digimon@1", "card": DIGIMON_CARD, "printing": record(alternative_art=FLAG)},
+    "gundam": {"id": "gundam@1", "card": GUNDAM_CARD, "printing": record(alternate_art=FLAG)},
+}
 
 
 def face_roles(layout: str, n: int) -> list[str] | None:
     """The roles of n faces of a layout, None if it can't have so many."""
-    if layout in TWO_SIDED.split():
-        return ["front", "back"] if n == 2 else None
-    most = 5 if layout == "split" else 2 if layout in SHARED_SIDE.split() else 1
-    return ["front"] * n if (1 if most == 1 else 2) <= n <= most else None
+    least, most, turned = LAYOUTS.get(layout, (1, 1, False))
+    if not least <= n <= most:
+        return None
+    return ROLES if turned else ["front"] * n
 
 
 def _magic(card: dict) -> bool:
@@ -155,7 +187,6 @@ def _fusion_world(card: dict) -> bool:
 
 
 HOOKS: dict[str, Callable[[dict], bool]] = {"magic": _magic, "riftbound": _riftbound, "one-piece": _one_piece, "fusion-world": _fusion_world}
-PROFILES = {game: {"id": f"{game}@1", "card": schema(CARDS[game], game), "printing": schema(PRINTINGS[game])} for game in CARDS}
 
 
 def admit(game: str, entity: str, attributes: Any) -> tuple[Any, list[str], list[str]]:

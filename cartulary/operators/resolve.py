@@ -12,18 +12,21 @@ from pyspark.sql import functions as F
 def resolve_facts(df: DataFrame, keys: Sequence[str], value: str, rank: str) -> DataFrame:
     """A fact for each key: n_values, value (of the best rank), conflict (two values at that rank), disagreements.
 
-    Two aggregations that combine before the shuffle: first the distinct values
-    with their best rank, then the best of them.
+    A null is no value: it neither wins nor conflicts, and a key with nulls
+    alone has none.  Two aggregations that combine before the shuffle: first
+    the distinct values with their best rank, then the best of them.
     """
     values = df.groupBy(*keys, value).agg(F.min(rank).alias("__rank"))
+    known = F.col(value).isNotNull()
     best = values.groupBy(*keys).agg(
-        F.count("*").alias("n_values"),
-        F.min(F.struct("__rank", value)).alias("__lo"),
-        F.min("__rank").alias("__best"),
+        F.count(value).alias("n_values"),
+        F.min(F.when(known, F.struct("__rank", value))).alias("__lo"),
         # The largest value at the best rank: ranks are negated so that the best one is the greatest.
-        F.max(F.struct((-F.col("__rank")).alias("r"), F.col(value).alias("v"))).alias("__hi"),
+        F.max(F.when(known, F.struct((-F.col("__rank")).alias("r"), F.col(value).alias("v")))).alias("__hi"),
     )
-    return best.select(*keys, "n_values", F.col(f"__lo.{value}").alias("value"), (F.col(f"__lo.{value}") != F.col("__hi.v")).alias("conflict"), (F.col("n_values") - 1).alias("disagreements"))
+    conflict = F.coalesce(F.col(f"__lo.{value}") != F.col("__hi.v"), F.lit(False))
+    others = F.greatest(F.col("n_values") - 1, F.lit(0))
+    return best.select(*keys, "n_values", F.col(f"__lo.{value}").alias("value"), conflict.alias("conflict"), others.alias("disagreements"))
 
 
 def disagreeing(df: DataFrame, keys: Sequence[str], facts: Sequence[str]) -> DataFrame:

@@ -10,12 +10,13 @@ from cartulary.plans.registry import Tables, named
 
 
 @named("""
-WITH v AS (SELECT l_orderkey, l_shipmode AS value, min(l_rank) AS rank FROM (SELECT l_orderkey, l_returnflag AS l_shipmode, CAST(l_linenumber AS BIGINT) // 3 AS l_rank FROM lineitem) GROUP BY 1, 2),
-b AS (SELECT l_orderkey, count(*) AS n_values, min(rank) AS best FROM v GROUP BY 1)
-SELECT b.l_orderkey, n_values, min(value) AS value, count(*) > 1 AS conflict, n_values - 1 AS disagreements FROM b JOIN v ON v.l_orderkey = b.l_orderkey AND v.rank = b.best GROUP BY 1, 2
+WITH v AS (SELECT l_orderkey, nullif(l_returnflag, 'N') AS value, min(CAST(l_linenumber AS BIGINT) // 3) AS rank FROM lineitem GROUP BY 1, 2),
+b AS (SELECT l_orderkey, count(value) AS n_values, min(rank) FILTER (WHERE value IS NOT NULL) AS best FROM v GROUP BY 1)
+SELECT b.l_orderkey, n_values, min(value) AS value, count(value) > 1 AS conflict, greatest(n_values - 1, 0) AS disagreements
+FROM b LEFT JOIN v ON v.l_orderkey = b.l_orderkey AND v.rank = b.best AND v.value IS NOT NULL GROUP BY 1, 2
 """)
 def q_fact_resolution(t: Tables) -> DataFrame:
-    facts = t.lineitem.select("l_orderkey", F.col("l_returnflag").alias("value"), F.expr("l_linenumber div 3").alias("rank"))
+    facts = t.lineitem.select("l_orderkey", F.expr("nullif(l_returnflag, 'N')").alias("value"), F.expr("l_linenumber div 3").alias("rank"))
     return resolve.resolve_facts(facts, ["l_orderkey"], "value", "rank")
 
 
