@@ -2,33 +2,65 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words of seasons and of undecided dates.
+# Words of seasons and of undecided dates, and what marks a date as open to change.
 SEASONS = ("spring", "summer", "autumn", "fall", "winter")
-UNDECIDED = ("tba", "tbd", "unknown", "to be announced")
-TENTATIVE = r"\((?:tentative|subject to change)\)|subject to change|tentative"
+UNDECIDED = ("", "-", "tba", "tbd", "to be announced", "to be determined", "unknown", "not announced")
+TENTATIVE = r"(?i)\(\s*(?:tentative|subject to change)\s*\)|subject to change|tentative"
+#: Shapes of whole days and of months, and Spark's patterns of them; words in any case, commas left out.
+DAYS = {r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd", r"^[A-Za-z]+ \d{1,2} \d{4}$": "MMMM d yyyy", r"^\d{1,2} [A-Za-z]+ \d{4}$": "d MMMM yyyy"}
+MONTHS = {r"^\d{4}-\d{2}$": "yyyy-MM", rf"^(?i)(?!{'|'.join(SEASONS)})[a-z]+ \d{{4}}$": "MMMM yyyy"}
+
+# A day, its words in either order, with what follows it.
+_DAY = r"^(\d{4}-\d{2}-\d{2}|[A-Za-z]+\s+\d{1,2},?\s+\d{4}|\d{1,2}\s+[A-Za-z]+\s+\d{4})(?:\s+(\S.*))?$"
+_MONTH = r"^(\d{4}-\d{2}|[A-Za-z]+,?\s+\d{4})$"
+
+
+def _parsed(text: Column, patterns: dict[str, str]) -> Column:
+    """The date that the pattern of its shape reads; null for no shape, and for days that no calendar has."""
+    plain = F.regexp_replace(F.regexp_replace(text, ",", ""), r"\s+", " ")
+    # A pattern that fails costs an exception, so only that of the shape is tried.
+    return F.coalesce(*[F.when(plain.rlike(shape), F.try_to_date(plain, p)) for shape, p in patterns.items()])
 
 
 def partial_date(raw: Column) -> Column:
-    """struct(precision, value, tentative); precision is invalid, with a null value, for what is none of them or no calendar day."""
-    lower = F.lower(F.trim(raw))
-    tentative = lower.rlike(TENTATIVE)
-    text = F.trim(F.regexp_replace(lower, TENTATIVE, ""))
-    day = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})$", 1)
-    month = F.regexp_extract(text, r"^(\d{4}-(?:0[1-9]|1[0-2]))$", 1)
-    quarter = F.regexp_extract(text, r"^q([1-4]) (\d{4})$", 1)
-    season = F.regexp_extract(text, rf"^({'|'.join(SEASONS)}) (\d{{4}})$", 1)
-    year = F.regexp_extract(text, r"^(\d{4})$", 1)
-    of_year = F.regexp_extract(text, r"(\d{4})$", 1)
-    valid = (day != "") & F.try_to_date(day, "yyyy-MM-dd").isNotNull()
-    undecided = text.isin(*UNDECIDED)
-
-    def pick(a, b, c, d, e, f, other) -> Column:
-        return F.when(valid, a).when(month != "", b).when(quarter != "", c).when(season != "", d).when(year != "", e).when(undecided, f).otherwise(other)
-
-    none = F.lit(None).cast("string")
-    precision = pick(*map(F.lit, ("day", "month", "quarter", "season", "year", "unknown", "invalid")))
-    value = pick(day, month, F.concat(of_year, F.lit("-Q"), quarter), F.concat(of_year, F.lit("-"), F.when(season == "fall", "autumn").otherwise(season)), year, none, none)
-    return F.struct(precision.alias("precision"), value.alias("value"), F.coalesce(tentative, F.lit(False)).alias("tentative"))
+    """struct(precision, value, tentative, qualifier) of a publisher's words.
+
+    Read are: a day (ISO, `September 30, 2022`, `30 September 2022`), with any
+    words after it kept as qualifier; a month (ISO, `September 2025`, with or
+    without a comma); a quarter (`Q3 2024`, `2024 Q3`, `2024-Q3`); a season
+    (`Winter 2026`, with or without a comma); a year; an undecided date.  A
+    marker like `(Subject to change)` makes the date tentative.  precision is
+    invalid, with a null value, for what is none of these, no calendar day, or
+    undecided and tentative; null for null.
+    """
+    given = F.trim(raw)
+    tentative = given.rlike(TENTATIVE)
+    text = F.trim(F.regexp_replace(given, TENTATIVE, ""))
+    lower = F.lower(text)
+    day = _parsed(F.regexp_extract(text, _DAY, 1), DAYS)
+    month = _parsed(F.regexp_extract(text, _MONTH, 1), MONTHS)
+    qualifier = F.nullif(F.regexp_extract(text, _DAY, 2), F.lit(""))
+    first, second = (F.regexp_extract(lower, r"^q([1-4])\s+(\d{4})$", i) for i in (1, 2))
+    year_first, number = (F.regexp_extract(lower, r"^(\d{4})[\s-]+q([1-4])$", i) for i in (1, 2))
+    season, of_year = (F.regexp_extract(lower, rf"^({'|'.join(SEASONS)}),?\s+(\d{{4}})$", i) for i in (1, 2))
+    autumn = F.when(season == "fall", "autumn").otherwise(season)
+    cases = [
+        (lower.isin(*UNDECIDED) & ~tentative, "unknown", F.lit(None).cast("string")),
+        (day.isNotNull(), "day", F.date_format(day, "yyyy-MM-dd")),
+        (month.isNotNull(), "month", F.date_format(month, "yyyy-MM")),
+        (first != "", "quarter", F.concat(second, F.lit("-Q"), first)),
+        (number != "", "quarter", F.concat(year_first, F.lit("-Q"), number)),
+        (season != "", "season", F.concat(of_year, F.lit("-"), autumn)),
+        (lower.rlike(r"^\d{4}$"), "year", lower),
+    ]
+    found = reduce(lambda w, c: w.when(c[0], F.struct(F.lit(c[1]).alias("p"), c[2].alias("v"))), cases[1:], F.when(cases[0][0], F.struct(F.lit(cases[0][1]).alias("p"), cases[0][2].alias("v"))))
+    precision = F.when(raw.isNotNull(), F.coalesce(found["p"], F.lit("invalid")))
+    return F.struct(
+        precision.alias("precision"), found["v"].alias("value"), F.coalesce(tentative, F.lit(False)).alias("tentative"),
+        F.when(found["p"] == "day", qualifier).alias("qualifier"),
+    )

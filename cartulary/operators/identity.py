@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.operators.lineage import written
+
 MOST_STEPS = 32
 
 
 def follow(redirects: DataFrame, source: str, target: str, most: int = MOST_STEPS) -> DataFrame:
     """source, final, steps for each redirect; fails on a cycle or a chain of more than `most` steps.
 
-    redirects: one target for each source.  The pointers are doubled, so a
-    chain of n steps takes log n joins.
+    redirects: one target for each source.  The pointers are doubled: a chain
+    of n steps takes log n rounds, each a join of what the last one has written
+    with itself, until nothing moves.
     """
-    doublings = most.bit_length()
-    now = redirects.select(F.col(source).alias("a"), F.col(target).alias("b"), F.lit(1).alias("n"))
-    for _ in range(doublings):
-        nxt = now.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("n").alias("m"))
-        now = now.join(nxt, "b", "left").select("a", F.coalesce("c", "b").alias("b"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
+    now, moved = written(redirects.select(F.col(source).alias("a"), F.col(target).alias("b"), F.lit(1).alias("n"))), True
+    for _ in range(most.bit_length()):
+        further = now.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("n").alias("m"))
+        nxt = now.join(further, "b", "left")
+        now = written(nxt.select("a", F.coalesce("c", "b").alias("b"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.col("c").isNotNull().alias("moved")))
+        moved = not now.where("moved").isEmpty()
+        now = now.drop("moved")
+        if not moved:
+            break
     bad = F.raise_error(F.concat(F.lit("redirect cycle or chain too long at "), F.col("a").cast("string"))).cast("int")
     return now.select(F.col("a").alias(source), F.col("b").alias("final"), F.when(F.col("n") <= most, F.col("n")).otherwise(bad).alias("steps"))
 

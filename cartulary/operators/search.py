@@ -21,11 +21,28 @@ def contains_any(fields: Sequence[Column], query: str) -> Column:
 
 
 def chunks(df: DataFrame, text: Column, length: int = CHUNK, stride: int = STRIDE) -> DataFrame:
-    """A row for each chunk of text: chunk (from 0) and chunk_text; the last one reaches the end."""
+    """A row for each chunk of text: chunk (from 0) and chunk_text; the last one reaches the end; none for a null text.
+
+    The text is cut into pieces of a stride in one pass, and a chunk is put
+    together from the pieces that it covers, so the work is linear in the text.
+    """
     if not 0 < stride <= length:
         raise ValueError("chunks must overlap or touch")
-    last = F.greatest(F.ceil((F.char_length(text) - length) / stride), F.lit(0))
-    return df.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")))).withColumn("chunk_text", F.substring(text, (F.col("chunk") * stride + 1).cast("int"), F.lit(length)))
+    whole, rest = divmod(length, stride)
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{stride}}}"), F.lit(0))
+    last = F.greatest(F.ceil((F.char_length(text) - length) / stride), F.lit(0)).cast("bigint")
+
+    def chunk(i: Column) -> Column:
+        first = (i + 1).cast("int")
+        parts = [F.array_join(F.slice("__pieces", first, whole), "")]
+        if rest:
+            parts.append(F.coalesce(F.substring(F.get("__pieces", (i + whole).cast("int")), 1, rest), F.lit("")))
+        return F.concat(*parts)
+
+    at = df.withColumns({"__pieces": pieces, "__last": last})
+    made = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("__last")), chunk)
+    rows = at.select(*df.columns, F.posexplode(made).alias("chunk", "chunk_text"))
+    return rows.withColumn("chunk", F.col("chunk").cast("bigint"))
 
 
 def prefix_and(text: Column, prefixes: Sequence[str]) -> Column:

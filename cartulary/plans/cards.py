@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartulary.operators import keyset, publish, search
@@ -202,11 +203,9 @@ SELECT p_partkey, p_name, n_printings, products FROM part JOIN (
 """)
 def q_representation(t: Tables) -> DataFrame:
     """Cards with their first 20 products (a page's bound) and the printings in them."""
-    cards = t.part.select("p_partkey", "p_name")
-    lines = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), "l_orderkey").join(cards, "p_partkey")
-    each = lines.groupBy("p_partkey", "p_name", "l_orderkey").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window as W
-
+    each = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey"), "l_orderkey").agg(F.count("*").alias("n"))
+    # Each task keeps its own first 20 of a card before they are dealt out.
     firsts = each.withColumn("k", F.row_number().over(W.partitionBy("p_partkey").orderBy("l_orderkey"))).where("k <= 20")
     ids = F.transform(F.array_sort(F.collect_list("l_orderkey")), lambda x: x.cast("string"))
-    return firsts.groupBy("p_partkey", "p_name").agg(F.sum("n").alias("n_printings"), F.array_join(ids, ",").alias("products"))
+    pages = firsts.groupBy("p_partkey").agg(F.sum("n").alias("n_printings"), F.array_join(ids, ",").alias("products"))
+    return t.part.select("p_partkey", "p_name").join(pages, "p_partkey")

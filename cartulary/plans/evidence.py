@@ -103,21 +103,28 @@ def q_html_records(t: Tables) -> DataFrame:
 
 
 @named("""
-WITH x AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m')
-    WHEN 2 THEN 'Q' || quarter(o_orderdate) || ' ' || year(o_orderdate) WHEN 3 THEN CAST(year(o_orderdate) AS VARCHAR) || ' (tentative)' ELSE 'TBA' END AS raw,
-    o_orderdate AS d FROM orders)
-SELECT o_orderkey, raw, CASE o_orderkey % 5 WHEN 0 THEN 'day' WHEN 1 THEN 'month' WHEN 2 THEN 'quarter' WHEN 3 THEN 'year' ELSE 'unknown' END AS precision,
-  CASE o_orderkey % 5 WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN strftime(d, '%Y-%m') WHEN 2 THEN year(d) || '-Q' || quarter(d) WHEN 3 THEN CAST(year(d) AS VARCHAR) END AS value,
-  o_orderkey % 5 = 3 AS tentative FROM x
+WITH d AS (SELECT o_orderkey, o_orderkey % 17 AS k, o_orderdate AS d, CAST(year(o_orderdate) AS VARCHAR) AS y FROM orders),
+x AS (SELECT *, CASE k WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN strftime(d, '%Y-%m') WHEN 2 THEN 'Q' || quarter(d) || ' ' || y WHEN 3 THEN y || ' (tentative)' WHEN 4 THEN 'TBA'
+    WHEN 5 THEN strftime(d, '%B %-d, %Y') WHEN 6 THEN strftime(d, '%-d %B %Y') WHEN 7 THEN strftime(d, '%B, %Y') WHEN 8 THEN upper(strftime(d, '%B %Y')) WHEN 9 THEN 'Winter, ' || y
+    WHEN 10 THEN 'fall ' || y WHEN 11 THEN y || ' Q' || quarter(d) WHEN 12 THEN strftime(d, '%B %-d, %Y') || ' (Subject to change)' WHEN 13 THEN strftime(d, '%B %-d %Y') || '  Pre-Sale at the Fair -Day 1-'
+    WHEN 14 THEN '-' WHEN 15 THEN 'To be determined' ELSE y || '-02-30' END AS raw FROM d)
+SELECT o_orderkey, raw,
+  CASE WHEN k IN (0, 5, 6, 12, 13) THEN 'day' WHEN k IN (1, 7, 8) THEN 'month' WHEN k IN (2, 11) THEN 'quarter' WHEN k = 3 THEN 'year' WHEN k IN (9, 10) THEN 'season' WHEN k = 16 THEN 'invalid' ELSE 'unknown' END AS precision,
+  CASE WHEN k IN (0, 5, 6, 12, 13) THEN strftime(d, '%Y-%m-%d') WHEN k IN (1, 7, 8) THEN strftime(d, '%Y-%m') WHEN k IN (2, 11) THEN y || '-Q' || quarter(d) WHEN k = 3 THEN y
+    WHEN k = 9 THEN y || '-winter' WHEN k = 10 THEN y || '-autumn' END AS value,
+  k IN (3, 12) AS tentative, CASE WHEN k = 13 THEN 'Pre-Sale at the Fair -Day 1-' END AS qualifier FROM x
 """)
 def q_release_date(t: Tables) -> DataFrame:
-    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 5
-    raw = (
-        F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "yyyy-MM"))
-        .when(k == 2, F.concat(F.lit("Q"), F.quarter(d), F.lit(" "), F.year(d))).when(k == 3, F.concat(F.year(d), F.lit(" (tentative)"))).otherwise("TBA")
-    )
-    rows = t.orders.select("o_orderkey", raw.alias("raw"))
-    return rows.select("o_orderkey", "raw", dates.partial_date(F.col("raw")).alias("p")).select("o_orderkey", "raw", "p.precision", "p.value", "p.tentative")
+    """Dates in each form that publishers use, told apart and read."""
+    d, year = F.col("o_orderdate"), F.date_format("o_orderdate", "yyyy")
+    forms = [
+        F.date_format(d, "yyyy-MM-dd"), F.date_format(d, "yyyy-MM"), F.concat(F.lit("Q"), F.quarter(d), F.lit(" "), year), F.concat(year, F.lit(" (tentative)")), F.lit("TBA"),
+        F.date_format(d, "MMMM d, yyyy"), F.date_format(d, "d MMMM yyyy"), F.date_format(d, "MMMM, yyyy"), F.upper(F.date_format(d, "MMMM yyyy")), F.concat(F.lit("Winter, "), year),
+        F.concat(F.lit("fall "), year), F.concat(year, F.lit(" Q"), F.quarter(d)), F.date_format(d, "MMMM d, yyyy '(Subject to change)'"), F.date_format(d, "MMMM d yyyy'  Pre-Sale at the Fair -Day 1-'"),
+        F.lit("-"), F.lit("To be determined"), F.concat(year, F.lit("-02-30")),
+    ]
+    rows = t.orders.select("o_orderkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % len(forms) + 1).cast("int")).alias("raw"))
+    return rows.select("o_orderkey", "raw", dates.partial_date(F.col("raw")).alias("p")).select("o_orderkey", "raw", "p.*")
 
 
 @named("""

@@ -110,6 +110,15 @@ def test_partial_dates(spark):
         "fall 2025": ("season", "2025-autumn", False), "2026": ("year", "2026", False), "TBA": ("unknown", None, False), "2026 (tentative)": ("year", "2026", True), "2024-05-01 subject to change": ("day", "2024-05-01", True), "soon": ("invalid", None, False),
     }
     df = spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", dates.partial_date(F.col("raw")).alias("p"))
+    assert {r.raw: tuple(r.p)[:3] for r in df.collect()} == cases
+    cases = {
+        "September 30, 2022": ("day", "2022-09-30", False, None), "30 September 2022": ("day", "2022-09-30", False, None), "september 3 2022": ("day", "2022-09-03", False, None),
+        "September, 2025": ("month", "2025-09", False, None), "MAY 2025": ("month", "2025-05", False, None), "Winter, 2026": ("season", "2026-winter", False, None), "2024 Q3": ("quarter", "2024-Q3", False, None), "2024-q1": ("quarter", "2024-Q1", False, None),
+        "September 30, 2022 (Subject to change)": ("day", "2022-09-30", True, None), "March 8, 2025 Pre-Sale -at a Fair-": ("day", "2025-03-08", False, "Pre-Sale -at a Fair-"), "2025-03-08 early": ("day", "2025-03-08", False, "early"),
+        "-": ("unknown", None, False, None), "To be determined": ("unknown", None, False, None), "  ": ("unknown", None, False, None), "TBD (subject to change)": ("invalid", None, True, None), None: (None, None, False, None),
+        "February 30, 2022": ("invalid", None, False, None), "Sept 3, 2022": ("invalid", None, False, None), "2022-13": ("invalid", None, False, None), "Q5 2022": ("invalid", None, False, None), "May 2022 early": ("invalid", None, False, None),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", dates.partial_date(F.col("raw")).alias("p"))
     assert {r.raw: tuple(r.p) for r in df.collect()} == cases
 
 
