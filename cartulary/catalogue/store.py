@@ -1,20 +1,25 @@
 """Published revisions: immutable batches, compositions, revision-pinned reads.
 
 Layout under a root: `entities/<kind>/batch=<id>/…` holds the rows of one
-game's publication and never changes; `compositions/` has, for each revision,
-a row for each game with its batch; `revisions/` is the append-only log of
-revisions.  A revision exists once its log row does, which is written last, so
-readers see all of it or nothing.  A publisher names the revision it has built
-upon; if another one has been published meanwhile it is refused.
+game's publication and never changes; `revisions/<sequence>.json` is one record
+of the log, with the composition (each game's batch) in it.  A revision exists
+once its record does, which is written last, so readers see all of it or
+nothing.  A record's file is created only if it is not there, so of two
+publishers that build upon one revision the file system lets one through; the
+other one is refused, and its batch is never referred to.  (The folder has to
+be in a file system that creates files exclusively, as HDFS does.)
 """
 
 from __future__ import annotations
 
 import hashlib
+import time
+import uuid
 from collections.abc import Mapping, Sequence
+from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +27,9 @@ from cartulary.catalogue.profiles import attribute_filter, leaves
 from cartulary.functions.canon import canonical, decode_cursor, encode_cursor, search_form
 from cartulary.operators import keyset, search
 
-_LOG = "revision string, parent string, sequence bigint, published_at timestamp, game string"
-_COMPOSITION = "revision string, game string, batch string"
+_LOG = "revision string, parent string, sequence bigint, published_at timestamp, game string, composition map<string, string>"
+#: Age in milliseconds from which a record without content is that of a publisher that died.
+STALE_MS = 3_600_000
 
 #: Order of each kind's pages; nulls last.
 ORDERS = {"cards": ["game", "identity_kind", "identity_value", "id"], "printings": ["card_id", "id"], "products": ["game", "official_code", "name", "id"]}
@@ -34,48 +40,88 @@ class Conflict(Exception):
     """Another revision was published meanwhile, or blocking diagnostics are left."""
 
 
-class Catalogue:
+class Files:
+    """The few calls to Hadoop's file system that Spark's readers and writers don't cover."""
+
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+        self.jvm = spark._jvm
+        self.fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str) -> Any:
+        return self.jvm.org.apache.hadoop.fs.Path(name)
 
-    def _table(self, name: str, schema: str) -> DataFrame:
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self._path(name))
+
+    def list(self, name: str) -> dict[str, tuple[int, int]]:
+        """Name, size and time of change of a folder's files; none if it is not there."""
+        found = self.fs.listStatus(self._path(name)) if self.exists(name) else []
+        return {x.getPath().getName(): (x.getLen(), x.getModificationTime()) for x in found}
+
+    def create(self, name: str, content: str) -> bool:
+        """Write a file that is not there yet; False if it is."""
+        try:
+            stream = self.fs.create(self._path(name), False)
+        except Py4JJavaError as e:
+            if self.exists(name):
+                return False
+            raise e
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+            stream.write(bytearray(content.encode()))
+        finally:
+            stream.close()
+        return True
+
+
+class Catalogue:
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self.files = Files(spark, self.root)
 
     def revisions(self) -> DataFrame:
-        return self._table("revisions", _LOG)
+        """The log; empty before the first publication."""
+        path = f"{self.root}/revisions"
+        if not self.files.exists(path):
+            return self.spark.createDataFrame([], _LOG)
+        return self.spark.read.schema(_LOG).option("mode", "FAILFAST").json(path)
 
     def current(self) -> str | None:
         row = self.revisions().agg(F.max_by("revision", "sequence").alias("r")).first()
         return row["r"]
 
     def composition(self, revision: str) -> dict[str, str]:
-        """Game to batch: a row for each supported game."""
-        return {r.game: r.batch for r in self._table("compositions", _COMPOSITION).where(F.col("revision") == revision).collect()}
+        """Game to batch: an entry for each supported game."""
+        row = self.revisions().where(F.col("revision") == revision).select("composition").first()
+        return dict(row["composition"]) if row else {}
+
+    def _next(self) -> int:
+        """The number of the next record; refused while another one is being written."""
+        found = {int(n.split(".")[0]): x for n, x in self.files.list(f"{self.root}/revisions").items() if n.endswith(".json") and not n.startswith(".")}
+        now = time.time() * 1000
+        if any(not size and now - at < STALE_MS for size, at in found.values()):
+            raise Conflict("another revision is being published")
+        return max(found, default=0) + 1
 
     def publish(self, game: str, expected: str | None, diagnostics: DataFrame | None = None, **kinds: DataFrame) -> str:
         """Publish one game's entities upon the revision expected; the other games stay as they are there."""
         if diagnostics is not None and not diagnostics.isEmpty():
             raise Conflict("the candidate has blocking diagnostics")
+        # The number is taken before the look at what is current: whoever publishes in between takes it too.
+        number = self._next()
         if self.current() != expected:
             raise Conflict("another revision has been published")
-        log = self.revisions().agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("s")).first()
-        revision = "revision_" + hashlib.sha256(canonical([expected, game, log["s"] + 1]).encode()).hexdigest()[:32]
-        batch = f"{game}_{log['s'] + 1}_{revision[9:17]}"
+        revision = "revision_" + hashlib.sha256(canonical([expected, game, number]).encode()).hexdigest()[:32]
+        batch = f"{game}_{number}_{uuid.uuid4().hex[:8]}"
         for kind, df in kinds.items():
             order = [c for c in ORDERS[kind] if c in df.columns]
             shaped = df.withColumn("search_text", F.array(*[search_form(F.col(c)) for c in SEARCHED[kind] if c in df.columns])) if SEARCHED[kind] else df
             # Sorted within files by the order of pages, so that a keyset reads few row groups.
             shaped.sortWithinPartitions(*order).write.mode("errorifexists").parquet(f"{self.root}/entities/{kind}/batch={batch}")
         before = self.composition(expected) if expected else {}
-        rows = [(revision, g, b) for g, b in sorted({**before, game: batch}.items())]
-        self.spark.createDataFrame(rows, _COMPOSITION).coalesce(1).write.mode("append").parquet(f"{self.root}/compositions")
-        if self.current() != expected:
+        published = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+        entry = {"revision": revision, "parent": expected, "sequence": number, "published_at": published, "game": game, "composition": {**before, game: batch}}
+        if not self.files.create(f"{self.root}/revisions/{number:012d}.json", canonical(entry) + "\n"):
             raise Conflict("another revision has been published")
-        entry = self.spark.createDataFrame([(revision, expected, log["s"] + 1, None, game)], _LOG).withColumn("published_at", F.current_timestamp())
-        entry.coalesce(1).write.mode("append").parquet(f"{self.root}/revisions")
         return revision
 
     def at(self, revision: str | None = None) -> Snapshot:
@@ -98,8 +144,11 @@ class Snapshot:
         batches = [b for g, b in self.batches.items() if game in (None, g)]
         if not batches:
             raise KeyError(f"no game {game}")
-        found = self.catalogue.spark.read.option("mergeSchema", "true").parquet(f"{self.catalogue.root}/entities/{kind}")
-        return found.where(F.col("batch").isin(*batches)).drop("batch")
+        folders = [f"{self.catalogue.root}/entities/{kind}/batch={b}" for b in sorted(batches)]
+        there = [x for x in folders if self.catalogue.files.exists(x)]
+        if not there:
+            raise KeyError(f"no {kind} in {self.revision}")
+        return self.catalogue.spark.read.option("mergeSchema", "true").parquet(*there)
 
     def get(self, kind: str, entity_id: str) -> dict[str, Any] | None:
         row = self.entities(kind).where(F.col("id") == entity_id).first()

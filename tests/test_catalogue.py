@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cartulary.catalogue import export, reconcile
+from cartulary.catalogue import export, reconcile, store
 from cartulary.catalogue.store import Catalogue, Conflict
 from tests.test_operators import PROFILE
 
@@ -41,6 +41,53 @@ def test_a_stale_publisher_is_refused(spark, catalogue):
         catalogue.publish("g3", catalogue.third, diagnostics=spark.range(1), cards=cards(spark, "g3", 1))
 
 
+def test_two_publishers_interleave(spark, tmp_path):
+    """One that is overtaken between its look and its record, by a publisher of another game, is refused and leaves no trace in reads."""
+    c = Catalogue(spark, str(tmp_path))
+    base = c.publish("g1", None, cards=cards(spark, "g1", 3))
+    other = Catalogue(spark, str(tmp_path))
+
+    class Overtaken(Catalogue):
+        def composition(self, revision):
+            found = super().composition(revision)
+            self.won = other.publish("g2", base, cards=cards(spark, "g2", 4))
+            return found
+
+    late = Overtaken(spark, str(tmp_path))
+    with pytest.raises(Conflict):
+        late.publish("g3", base, cards=cards(spark, "g3", 5))
+    assert c.current() == late.won and c.revisions().count() == 2 and c.at().games() == ["g1", "g2"]
+    assert c.at().entities("cards").count() == 7
+    assert c.publish("g3", late.won, cards=cards(spark, "g3", 5)) == c.current() and c.at().games() == ["g1", "g2", "g3"]
+
+
+def test_a_record_that_is_being_written(spark, tmp_path, monkeypatch):
+    c = Catalogue(spark, f"file:{tmp_path}")
+    assert c.current() is None
+    first = c.publish("g1", None, cards=cards(spark, "g1", 2))
+    (tmp_path / "revisions" / "000000000002.json").write_text("")
+    with pytest.raises(Conflict):
+        c.publish("g1", first, cards=cards(spark, "g1", 3))
+    monkeypatch.setattr(store, "STALE_MS", -1)  # its publisher died
+    second = c.publish("g1", first, cards=cards(spark, "g1", 3))
+    assert c.current() == second and c.at().entities("cards").count() == 3 and c.at(first).entities("cards").count() == 2
+
+
+def test_an_unreadable_log_is_no_empty_catalogue(spark, tmp_path):
+    c = Catalogue(spark, str(tmp_path))
+    c.publish("g1", None, cards=cards(spark, "g1", 2))
+    (tmp_path / "revisions" / "000000000002.json").write_text("{broken")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        c.current()
+
+
+def test_only_pinned_batches_are_read(catalogue):
+    files = catalogue.at().entities("cards").inputFiles()
+    assert {f.split("batch=")[1].split("/")[0] for f in files} == set(catalogue.at().batches.values())
+    with pytest.raises(KeyError):
+        catalogue.at().entities("products", "g2")
+
+
 def test_pages_walk_the_whole_collection(catalogue):
     query = catalogue.at(catalogue.second).find("cards")
     rows, cursor = query.page(40)
