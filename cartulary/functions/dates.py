@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ MONTHS = {r"^\d{4}-\d{2}$": "yyyy-MM", rf"^(?i)(?!{'|'.join(SEASONS)})[a-z]+ \d{
 
 # A day, its words in either order, with what follows it.
 _DAY = r"^(\d{4}-\d{2}-\d{2}|[A-Za-z]+\s+\d{1,2},?\s+\d{4}|\d{1,2}\s+[A-Za-z]+\s+\d{4})(?:\s+(\S.*))?$"
+_QUARTER, _YEAR_QUARTER = r"^q[1-4]\s+\d{4}$", r"^\d{4}[\s-]+q[1-4]$"
 _MONTH = r"^(\d{4}-\d{2}|[A-Za-z]+,?\s+\d{4})$"
 
 
@@ -39,28 +40,43 @@ def partial_date(raw: Column) -> Column:
     undecided and tentative; null for null.
     """
     given = F.trim(raw)
-    tentative = given.rlike(TENTATIVE)
-    text = F.trim(F.regexp_replace(given, TENTATIVE, ""))
-    lower = F.lower(text)
-    day = _parsed(F.regexp_extract(text, _DAY, 1), DAYS)
-    month = _parsed(F.regexp_extract(text, _MONTH, 1), MONTHS)
-    qualifier = F.nullif(F.regexp_extract(text, _DAY, 2), F.lit(""))
-    first, second = (F.regexp_extract(lower, r"^q([1-4])\s+(\d{4})$", i) for i in (1, 2))
-    year_first, number = (F.regexp_extract(lower, r"^(\d{4})[\s-]+q([1-4])$", i) for i in (1, 2))
-    season, of_year = (F.regexp_extract(lower, rf"^({'|'.join(SEASONS)}),?\s+(\d{{4}})$", i) for i in (1, 2))
-    autumn = F.when(season == "fall", "autumn").otherwise(season)
-    cases = [
-        (lower.isin(*UNDECIDED) & ~tentative, "unknown", F.lit(None).cast("string")),
-        (day.isNotNull(), "day", F.date_format(day, "yyyy-MM-dd")),
-        (month.isNotNull(), "month", F.date_format(month, "yyyy-MM")),
-        (first != "", "quarter", F.concat(second, F.lit("-Q"), first)),
-        (number != "", "quarter", F.concat(year_first, F.lit("-Q"), number)),
-        (season != "", "season", F.concat(of_year, F.lit("-"), autumn)),
-        (lower.rlike(r"^\d{4}$"), "year", lower),
-    ]
-    found = reduce(lambda w, c: w.when(c[0], F.struct(F.lit(c[1]).alias("p"), c[2].alias("v"))), cases[1:], F.when(cases[0][0], F.struct(F.lit(cases[0][1]).alias("p"), cases[0][2].alias("v"))))
-    precision = F.when(raw.isNotNull(), F.coalesce(found["p"], F.lit("invalid")))
-    return F.struct(
-        precision.alias("precision"), found["v"].alias("value"), F.coalesce(tentative, F.lit(False)).alias("tentative"),
-        F.when(found["p"] == "day", qualifier).alias("qualifier"),
-    )
+    read = F.struct(given.rlike(TENTATIVE).alias("tentative"), F.trim(F.regexp_replace(given, TENTATIVE, "")).alias("text"))
+    none = F.lit(None).cast("string")
+    nothing = F.struct(none.alias("precision"), none.alias("value"), F.lit(False).alias("tentative"), none.alias("qualifier"))
+    return F.when(raw.isNull(), nothing).otherwise(_once(read, _of_text))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out just once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _of_text(read: Column) -> Column:
+    text, lower = read["text"], F.lower(read["text"])
+    parsed = F.struct(_parsed(F.regexp_extract(text, _DAY, 1), DAYS).alias("day"), _parsed(F.regexp_extract(text, _MONTH, 1), MONTHS).alias("month"), lower.alias("lower"))
+
+    def find(x: Column) -> Column:
+        lower = x["lower"]
+        quarter, season = rf"{_QUARTER}|{_YEAR_QUARTER}", rf"^({'|'.join(SEASONS)}),?\s+(\d{{4}})$"
+        of_quarter = F.concat(F.regexp_extract(lower, r"\d{4}", 0), F.lit("-Q"), F.regexp_extract(lower, "q([1-4])", 1))
+        of_season = F.concat(F.regexp_extract(lower, season, 2), F.lit("-"), F.regexp_replace(F.regexp_extract(lower, season, 1), "^fall$", "autumn"))
+        none = F.lit(None).cast("string")
+
+        def found(precision: str, value: Column) -> Column:
+            return F.struct(F.lit(precision).alias("p"), value.alias("v"))
+
+        return (
+            F.when(lower.isin(*UNDECIDED), F.when(read["tentative"], found("invalid", none)).otherwise(found("unknown", none)))
+            .when(x["day"].isNotNull(), found("day", F.date_format(x["day"], "yyyy-MM-dd")))
+            .when(x["month"].isNotNull(), found("month", F.date_format(x["month"], "yyyy-MM")))
+            .when(lower.rlike(r"^\d{4}$"), found("year", lower))
+            .when(lower.rlike(quarter), found("quarter", of_quarter))
+            .when(lower.rlike(season), found("season", of_season))
+            .otherwise(found("invalid", none))
+        )
+
+    def result(f: Column) -> Column:
+        qualifier = F.when(f["p"] == "day", F.nullif(F.regexp_extract(text, _DAY, 2), F.lit("")))
+        return F.struct(f["p"].alias("precision"), f["v"].alias("value"), read["tentative"].alias("tentative"), qualifier.alias("qualifier"))
+
+    return _once(parsed, lambda x: _once(find(x), result))
