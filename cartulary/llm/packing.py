@@ -14,7 +14,7 @@ the id END.  The tokenised corpus is written once to the shared checkpoint
 folder, because range partitioning reads its input twice.
 
 Cases: a null or empty text is the id END alone.  Rows that share a doc_id are
-packed one by one; a null doc_id sorts first among its key.  Other columns are
+packed one by one, in order of a hash of their ids; a null doc_id sorts first among its key.  Other columns are
 left out.  An empty table gives no pieces.
 """
 
@@ -252,6 +252,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id",
         raise ValueError("length must be a power of two")
     keyed, size = with_keys(cut(tokenise(docs, [doc_id], vocabulary, pattern, text)))
     parts = 1 + size // PARTITION_BYTES
-    ranged = keyed.select(doc_id, "ids", "key").repartitionByRange(parts, "key", doc_id).sortWithinPartitions("key", doc_id)
+    # Rows that share an id are told apart by their ids of tokens, so a task that runs again packs them as before.
+    ranged = keyed.select(doc_id, "ids", "key").repartitionByRange(parts, "key", doc_id).sortWithinPartitions("key", doc_id, F.xxhash64("ids"))
     kind = docs.schema[doc_id].dataType.simpleString()
     return ranged.mapInArrow(_pack(doc_id, length), f"{doc_id} {kind}, {PIECE}")

@@ -6,8 +6,9 @@ upper quartile plus FENCE times the distance of the quartiles (a least distance
 is set for each ratio, so that a group of alike texts doesn't lose any).  The
 quartiles come from quantile sketches that merge: they are built for each group
 in each task, merged after the shuffle, and so a hot group costs no more than a
-few kilobytes a task.  Groups of fewer than LEAST_GROUP texts that pass the
-base rules use their language's thresholds, and small languages those of all.
+few kilobytes a task.  A group's quartiles are averaged with its language's,
+which count as PRIOR texts, and these with those of all texts in the same way:
+a small group leans on its language, and no size makes a jump.
 
 Cases: a null text has no words and fails the base rules, as does every text
 of fewer than 50 words.  Null lang and source are groups like any other.  With
@@ -25,7 +26,8 @@ from cartulary.llm.common import cut, map_texts
 
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # in 100 words
-LEAST_GROUP = 200
+#: Texts that a group's language, and all texts for a language, count as.
+PRIOR = 200
 FENCE = 3.0
 ACCURACY = 10_000
 #: Ratio, the least distance of quartiles that counts, and whether low values fail too.
@@ -92,32 +94,34 @@ def _fences() -> list[Column]:
     return out
 
 
-def thresholds(good: DataFrame, least_group: int = LEAST_GROUP) -> tuple[DataFrame, DataFrame, DataFrame]:
+def thresholds(good: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """n and the quartiles q_* of the ratios: for each (lang, source), each lang, and all."""
     return good.groupBy("lang", "source").agg(*_fences()), good.groupBy("lang").agg(*_fences()), good.agg(*_fences())
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least_group: int = LEAST_GROUP) -> DataFrame:
+def _blended(own: str, quartile: str, i: int, above: Column, prior: int) -> Column:
+    """The group's quartile and above, weighted by the group's texts and prior; above alone for a group of none."""
+    n = F.coalesce(F.col(f"{own}.n"), F.lit(0))
+    return (n * F.coalesce(F.col(f"{own}.{quartile}")[i], F.lit(0.0)) + prior * above) / (n + prior)
+
+
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", prior: int = PRIOR) -> DataFrame:
     """doc_id, the counts, base_failed, failed (names of the ratios beyond their fence), kept, for each row."""
     named = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in ((doc_id, "doc_id"), (lang, "lang"), (source, "source"), (text, "text"))])
     base = counts(named, ["doc_id", "lang", "source"])
     base = base.withColumn("base_failed", F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words"))
     base = cut(base.withColumns({n: F.expr(f"if(n_words = 0, 0D, {e})") for n, (e, _, _) in RATIOS.items()}))
-    groups, langs, every = thresholds(base.where("not base_failed"), least_group)
+    groups, langs, every = thresholds(base.where("not base_failed"))
     names = [f"q_{n}" for n in RATIOS]
-
-    def packed(df: DataFrame, alias: str) -> DataFrame:
-        rest = [c for c in df.columns if c != "n" and c not in names]
-        return df.select(*[F.col(c).alias(f"{alias}_{c}") for c in rest], F.when(F.col("n") >= (least_group if alias != "a" else 1), F.struct(*names)).alias(alias))
-
-    g, s, a = packed(groups, "g"), packed(langs, "s"), packed(every, "a").first()["a"]  # the last is one row
+    g = groups.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.struct("n", *names).alias("g"))
+    s = langs.select(F.col("lang").alias("s_lang"), F.struct("n", *names).alias("s"))
+    whole = every.first()  # one row
     joined = base.join(g, base["lang"].eqNullSafe(g["g_lang"]) & base["source"].eqNullSafe(g["g_source"]), "left")
     joined = joined.join(s, joined["lang"].eqNullSafe(s["s_lang"]), "left")
-    overall = F.struct(*[F.array(*map(F.lit, a[n])).alias(n) for n in names]) if a else F.lit(None).cast(dict(g.dtypes)["g"])
-    joined = joined.withColumn("q", F.coalesce("g", "s", overall))
     failed = []
     for name, (_, least, both) in RATIOS.items():
-        lo, hi = F.col(f"q.q_{name}")[0], F.col(f"q.q_{name}")[1]
+        q = whole[f"q_{name}"] or [0.0, 0.0]  # without any good text, no text is kept whatever its ratios
+        lo, hi = (_blended("g", f"q_{name}", i, _blended("s", f"q_{name}", i, F.lit(q[i]), prior), prior) for i in (0, 1))
         reach = FENCE * F.greatest(hi - lo, F.lit(least))
         beyond = F.col(name) > hi + reach
         failed.append(F.when(beyond | (F.col(name) < lo - reach) if both else beyond, F.lit(name)))

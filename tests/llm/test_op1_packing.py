@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -18,6 +19,54 @@ def test_ids_equal_the_tokenizer():
         assert np.frombuffer(own.ids(t), "<u2").tolist() == coder.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_ids_equal_the_tokenizer_on_random_texts():
+    """Runs of blanks, line ends, digits, marks, joiners and letters of several scripts, in any order."""
+    rng = random.Random(8)
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = packing.Tokens(*vocabulary())
+    pieces = [" ", " ", " ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u200d", "\u0301", "a", "the", "Wörter", "ñandú", "'s", "'", "12", "3", "٣", ".", ",,", "#$", "日本", "ß", "🙂", "x1", "<|", "|>", "endoftext", "\x00", "\x85", "\u2028"]
+    for _ in range(20_000):
+        t = "".join(rng.choices(pieces, k=rng.randrange(1, 12)))
+        assert np.frombuffer(own.ids(t), "<u2").tolist() == coder.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def naive(rows, length):
+    """(doc_id, start, length, number of the sequence, offset): ids in the given order, cut at length and the rest at powers of two."""
+    flat = [(doc, i) for doc, ids in rows for i in range(len(ids))]
+    cuts, at = [], 0
+    while at < len(flat):
+        left = len(flat) - at
+        size = length if left >= length else 1 << (left.bit_length() - 1)
+        cuts.append((at, at + size))
+        at += size
+    out = []
+    for number, (a, b) in enumerate(cuts):
+        start = a
+        for i in range(a + 1, b + 1):
+            if i == b or flat[i][1] == 0:  # a piece ends with its sequence or its document
+                out.append((flat[start][0], flat[start][1], i - start, number, start - a))
+                start = i
+    return out
+
+
+def test_pieces_against_a_naive_packer(messy, monkeypatch):
+    monkeypatch.setattr(packing, "PARTITION_BYTES", 20_000)  # several partitions of the curve
+    rows = messy.where("doc_id is not null").dropDuplicates(["doc_id"])
+    coder = packing.Tokens(*vocabulary())
+    texts = {r.doc_id: np.append(np.frombuffer(coder.ids(r.text or ""), "<u2"), packing.END) for r in rows.select("doc_id", "text").collect()}
+    got = packing.pack(rows, *vocabulary(), length=128).toPandas()
+    got["part"] = got.sequence_id // (1 << 40)
+    assert got.part.nunique() > 2
+    last = None
+    for part, own in sorted(got.groupby("part"), key=lambda x: x[0]):
+        order = own[["key", "doc_id"]].drop_duplicates().sort_values(["key", "doc_id"])
+        assert last is None or last < tuple(order.iloc[0])  # partitions follow each other along the curve
+        last = tuple(order.iloc[-1])
+        want = naive([(d, texts[d]) for d in order.doc_id], 128)
+        have = own.assign(number=own.sequence_id - (int(part) << 40)).sort_values(["number", "offset"])
+        assert [tuple(r) for r in have[["doc_id", "start", "length", "number", "offset"]].itertuples(index=False)] == want
+
+
 def test_hilbert_is_a_path_through_every_cell():
     for bits, n in ((2, 3), (3, 2)):
         side = np.arange(1 << bits)
