@@ -9,6 +9,7 @@ its own.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -57,6 +58,20 @@ def cut(df: DataFrame) -> DataFrame:
             spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and its path: smaller than a checkpoint, for what is read more than once."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that an operator has made, once all that reads it is written."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def long_id(df: DataFrame, column: str, name: str = "doc_id"):
     """The column as a long of that name; itself if it is one, so that plans which share it stay the same."""
     if column == name and isinstance(df.schema[column].dataType, T.LongType):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.llm import rolling
-from cartulary.llm.common import cut, explode_texts, long_id
+from cartulary.llm.common import cut, discard, explode_texts, long_id, stored
 
 WINDOW = 50
 PERIOD = 31
@@ -66,12 +66,14 @@ def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _candidates(docs: DataFrame, copies: DataFrame, window: int) -> DataFrame:
     """doc_id, tkey, anchors: of the texts that are no exact copies, the anchors that another text has too."""
-    found = anchors(docs, window)
+    found, path = stored(anchors(docs, window))  # read twice; texts are gone through once
     shared = found.groupBy("anchor").agg(F.min("tkey").alias("lo"), F.max("tkey").alias("hi")).where("lo < hi").select("anchor")
     # Written apart, so that the join's sides are plain shuffles, of which Spark can split a hot anchor's.
     shared = cut(shared)
     per_doc = found.join(shared, "anchor").groupBy("doc_id", "tkey").agg(F.collect_set("anchor").alias("anchors"))
-    return cut(per_doc.join(copies, ["doc_id", "tkey"], "left_anti"))
+    candidates = cut(per_doc.join(copies, ["doc_id", "tkey"], "left_anti"))
+    discard(docs.sparkSession, path)
+    return candidates
 
 
 def full_windows(docs: DataFrame, candidates: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -108,10 +110,11 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     first = cut(first)  # for a hot text
     copies = cut(texts.join(first, "digest").where("lo < doc_id").select("doc_id", "tkey").distinct())
     candidates = _candidates(docs, copies, window)
-    full = full_windows(docs, candidates, window)
+    full, path = stored(full_windows(docs, candidates, window))
     least = full.groupBy("w0", "w1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w0", "w1", "lo")
     least = cut(least)  # as above, for a hot window
-    starts = full.join(least, ["w0", "w1"]).where("lo < doc_id").groupBy("doc_id", "tkey").agg(F.collect_set("start").alias("starts"))
+    starts = cut(full.join(least, ["w0", "w1"]).where("lo < doc_id").groupBy("doc_id", "tkey").agg(F.collect_set("start").alias("starts")))
+    discard(docs.sparkSession, path)
     whole = copies.select("doc_id", "tkey", F.lit(True).alias("whole"), F.lit(None).cast("array<bigint>").alias("starts"))
     return starts.select("doc_id", "tkey", F.lit(False).alias("whole"), "starts").unionAll(whole)
 

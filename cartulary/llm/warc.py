@@ -38,7 +38,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import cut, ensure_checkpoint_dir
+from cartulary.llm.common import cut, discard, ensure_checkpoint_dir
 
 LEAST_REVISIT = 1000
 FRAME_BYTES = 256 << 10
@@ -306,17 +306,11 @@ def fetch(spark: SparkSession, path: str, page_ids: DataFrame) -> DataFrame:
     return wanted.mapInArrow(_over_bundles(path, work, _FETCHED), _FETCHED)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete an archive."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def round_trip(pages: DataFrame, columns: tuple[str, ...] = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) -> DataFrame:
     """Archive pages in the shared folder, read these columns of the archive back and remove it."""
     spark = pages.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path)
     found = cut(read(spark, path).select(*columns))
-    remove(spark, path)
+    discard(spark, path)
     return found

@@ -38,7 +38,7 @@ def test_round_trip(spark, tmp_path, frame, bundle):
     places = {(r.bundle, r.frame, r.offset): r.page_id for r in warc.locate(spark, path).collect()}
     assert len(places) == len(rows) and sum(r.records for r in warc.manifest(spark, path).collect()) == len(rows)
     assert any(offset for _, _, offset in places) == (frame > 500)  # records share frames
-    warc.remove(spark, path)
+    common.discard(spark, path)
     assert not (tmp_path / "out").exists()
 
 
