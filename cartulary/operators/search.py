@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A chunk's length and the stride between chunks, in code points.
 CHUNK = 12 * 1024
 STRIDE = 3073
+#: Spark's collation without case and diacritics.
+FOLDED = "UNICODE_CI_AI"
 
 
 def contains_any(fields: Sequence[Column], query: str) -> Column:
@@ -46,10 +48,10 @@ def chunks(df: DataFrame, text: Column, length: int = CHUNK, stride: int = STRID
 
 
 def prefix_and(text: Column, prefixes: Sequence[str]) -> Column:
-    """Whether each prefix starts some token of text (letters and digits, lower case)."""
-    tokens = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    """Whether each prefix starts some token of text (letters, digits and their marks); case and diacritics don't count."""
+    tokens = F.split(text, r"[^\p{L}\p{N}\p{M}]+")
 
     def some(prefix: str) -> Column:
-        return F.exists(tokens, lambda t: F.startswith(t, F.lit(prefix.lower())))
+        return F.exists(tokens, lambda t: F.startswith(F.collate(t, FOLDED), F.collate(F.lit(prefix), FOLDED)))
 
     return reduce(lambda a, b: a & b, map(some, prefixes))

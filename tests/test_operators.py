@@ -279,3 +279,9 @@ def test_folds_hold_no_key_whole(spark):
     assert chain["hot"] == (2000, None) and parts["hot"] == (2000, len(body) - 1998, hashlib.sha256(body).hexdigest())
     assert chain["k3"] == (1, hashlib.sha256("part 3 é".encode()).hexdigest()) and len(chain) == len(parts) == len(paced) == 1001
     assert paced["hot"][0] == 2000
+
+
+def test_prefixes_without_case_and_diacritics(spark):
+    rows = spark.createDataFrame([(0, "Pokémon Élite Box"), (1, "POKEMON elite"), (2, "Pokémon set"), (3, "spoke, mon"), (4, None), (5, "")], "i int, t string")
+    found = lambda *p: [r.i for r in rows.where(search.prefix_and(F.col("t"), p)).orderBy("i").collect()]
+    assert found("poke") == found("POKÉ") == [0, 1, 2] and found("pok", "elit") == [0, 1] and found("mon") == [3]
