@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 from typing import Any
+from urllib.parse import parse_qsl, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,7 +31,8 @@ class Adapter:
     lineage: str
     version: str
     surface: str
-    parse: Callable[[str], list[dict]]
+    parse: Callable[..., list[dict]]
+    with_url: bool = False
 
 
 class Registry:
@@ -39,12 +41,14 @@ class Registry:
     def __init__(self) -> None:
         self._found: dict[tuple[str, str], dict[str, Adapter]] = {}
 
-    def register(self, lineage: str, version: str, surface: str):
-        def add(parse: Callable[[str], list[dict]]) -> Callable[[str], list[dict]]:
+    def register(self, lineage: str, version: str, surface: str, with_url: bool = False):
+        """with_url: the parser also takes the page's URL, which identifies what the page shows."""
+
+        def add(parse: Callable[..., list[dict]]) -> Callable[..., list[dict]]:
             versions = self._found.setdefault((lineage, surface), {})
             if version in versions:
                 raise ValueError(f"{lineage} {surface} {version} is registered already")
-            versions[version] = Adapter(lineage, version, surface, parse)
+            versions[version] = Adapter(lineage, version, surface, parse, with_url)
             return parse
 
         return add
@@ -58,9 +62,10 @@ class Registry:
 
 
 def observe(snapshots: DataFrame, registry: Registry, versions: dict[tuple[str, str], str] | None = None) -> DataFrame:
-    """RECORD rows of snapshots (snapshot_id, lineage, surface, body as text): canonical records in page order.
+    """RECORD rows of snapshots (snapshot_id, lineage, surface, body as text, and perhaps url): canonical records in page order.
 
-    A page without records gives one row with a null record and no failure.
+    A page without records gives one row with a null record and no failure.  A
+    parser that needs a page's URL fails on pages without one.
     """
     chosen = dict(versions or {})
     known = {(lineage, surface): registry.get(lineage, surface, chosen.get((lineage, surface))) for lineage, surface, _ in registry.table()}
@@ -68,7 +73,7 @@ def observe(snapshots: DataFrame, registry: Registry, versions: dict[tuple[str,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[tuple[Any, ...]] = []
-            for sid, lineage, surface, body in zip(batch.snapshot_id, batch.lineage, batch.surface, batch.body, strict=True):
+            for sid, lineage, surface, body, url in zip(batch.snapshot_id, batch.lineage, batch.surface, batch.body, batch.url, strict=True):
                 adapter = known.get((lineage, surface))
                 head = (sid, lineage, adapter.version if adapter else None)
                 try:
@@ -76,7 +81,9 @@ def observe(snapshots: DataFrame, registry: Registry, versions: dict[tuple[str,
                         raise ValueError("no adapter")
                     if len(body or "") > MOST_TEXT:
                         raise ValueError("text too long")
-                    made = adapter.parse(body or "")
+                    if adapter.with_url and not url:
+                        raise ValueError("no url")
+                    made = adapter.parse(body or "", url) if adapter.with_url else adapter.parse(body or "")
                     if len(made) > MOST_RECORDS:
                         raise ValueError("too many records")
                     rows += [(*head, i, canonical(r), None) for i, r in enumerate(made)] or [(*head, None, None, None)]
@@ -84,7 +91,8 @@ def observe(snapshots: DataFrame, registry: Registry, versions: dict[tuple[str,
                     rows.append((*head, None, None, f"{type(e).__name__}: {e}"[:300]))
             yield pd.DataFrame(rows, columns=["snapshot_id", "lineage", "adapter", "ordinal", "record", "failure"]).astype({"ordinal": "Int64"})
 
-    return snapshots.select("snapshot_id", "lineage", "surface", "body").mapInPandas(run, RECORD)
+    url = F.col("url") if "url" in snapshots.columns else F.lit(None)
+    return snapshots.select("snapshot_id", "lineage", "surface", "body", url.cast("string").alias("url")).mapInPandas(run, RECORD)
 
 
 class _Tree(HTMLParser):
@@ -176,6 +184,28 @@ def only(source: str | dict, tag: str | None = None, **attributes: str) -> dict:
     return found
 
 
+def sole(source: str | dict, tag: str | None = None, **attributes: str) -> dict:
+    """The one element that matches; ValueError if there is none or more than one."""
+    found = list(elements(source, tag, **attributes))
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} of {tag or 'element'} {attributes}")
+    return found[0]
+
+
+def without(node: dict, cls: str) -> dict:
+    """A node without the elements of a class below it."""
+    kept = [c if isinstance(c, str) else without(c, cls) for c in node["children"] if isinstance(c, str) or cls not in c["attributes"].get("class", "").split()]
+    return {**node, "children": kept}
+
+
+def query_of(url: str) -> dict[str, str]:
+    """The query of a URL; ValueError if a name comes twice."""
+    pairs = parse_qsl(urlsplit(url).query, keep_blank_values=True)
+    if len(dict(pairs)) < len(pairs):
+        raise ValueError("a name twice in the query")
+    return dict(pairs)
+
+
 def links(html: str, pattern: str) -> list[str]:
     """The distinct hrefs that match, in document order."""
     return list(dict.fromkeys(h for n in elements(html, "a") if re.search(pattern, h := n["attributes"].get("href", ""))))
@@ -210,6 +240,20 @@ def flight_rows(html: str) -> dict[str, Any]:
     return {k: resolve(v, (k,)) for k, v in rows.items()}
 
 
+def payload_members(html: str, *names: str) -> dict[str, Any]:
+    """The first object of a page's server-rendered payload that has all of these members; ValueError if there is none."""
+    stack = list(reversed(flight_rows(html).values()))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, dict):
+            if all(n in x for n in names):
+                return x
+            stack += reversed(list(x.values()))
+        elif isinstance(x, list):
+            stack += reversed(x)
+    raise ValueError(f"no {names} in the payload")
+
+
 def json_records(path: str, fields: dict[str, str]) -> Callable[[str], list[dict]]:
     """A parser for JSON pages: the members of the array at a dotted path, with fields by dotted paths."""
 
