@@ -61,13 +61,13 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > k, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, for each row."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to carry, and fp, the fingerprint as a signed long, for each row."""
 
     def work(texts: list[bytes | None]) -> dict:
         return {"fp": np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)}
 
-    return map_texts(docs, work, [("fp", "bigint")], [doc_id], text)
+    return map_texts(docs, work, [("fp", "bigint")], [doc_id, *carry], text)
 
 
 def _cells(fps: DataFrame) -> DataFrame:
@@ -194,11 +194,15 @@ def links(fps: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
     return near.unionAll(keyed.join(heads, "key").where("u < v").select("u", "v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable by links of two bits or fewer)."""
-    rows = cut(fingerprints(docs, doc_id, text, shingle).withColumnRenamed(doc_id, "doc_id"))
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, cell_limit: int = CELL_LIMIT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable by links of two bits or fewer).
+
+    With columns to carry they follow, after root, which only the rows of one component share.
+    """
+    rows = cut(fingerprints(docs, doc_id, text, shingle, carry).withColumnRenamed(doc_id, "doc_id"))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     linked = classes.join(components(links(classes.select("fp"), cell_limit)).withColumnRenamed("node", "fp"), "fp", "left")
     linked = cut(linked.select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     of = cut(linked.groupBy("root").agg(F.min("rep").alias("component_id")))  # as in components, for a large one
-    return rows.join(linked.join(of, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    extra = ["root", *carry] if carry else []
+    return rows.join(linked.join(of, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "fp", "component_id", *extra)

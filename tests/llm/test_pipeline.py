@@ -1,5 +1,6 @@
 """The pipeline against the same decisions by loops, over a folder of awkward documents."""
 
+import hashlib
 import importlib.util
 
 import pytest
@@ -21,6 +22,31 @@ def folder(spark, messy, tmp_path_factory):
     return str(path)
 
 
+def one_of_each_group(rows):
+    """Of each group of near-duplicates the row that stays, by loops."""
+    groups: dict = {}
+    for i, _, c in op5.component_of([(i, op5.fingerprint(r.text)) for i, r in enumerate(rows)]):
+        groups.setdefault(c, []).append(rows[i])
+
+    def order(r):
+        digest = "none" if r.text is None else hashlib.md5(r.text.encode()).hexdigest()
+        return r.doc_id is None, r.doc_id or 0, f"{r.doc_id}:{digest}"
+
+    return [min(g, key=order) for g in groups.values()]
+
+
+def test_near_duplicates_go_by_row(spark, messy, empty):
+    key = lambda r: repr(tuple(r))
+    alone = " ".join(f"x{i}" for i in range(40))
+    extra = spark.createDataFrame([(i, t, "en", "s0", 1, 0.5, "x", 7, "k") for i, t in [(None, alone), (None, alone), (902, " ".join(reversed(alone.split()))), (100, alone + " y"), (100, alone + " y")]], messy.schema)
+    rows = messy.unionAll(extra)
+    got, want = corpus_pipeline.drop_near_duplicates(spark, rows, ""), one_of_each_group(rows.collect())
+    assert got.columns == messy.columns and sorted(map(key, got.collect())) == sorted(map(key, want))
+    # A copy goes although another text has its doc_id, and one row of copies without an id stays.
+    assert len(want) == len({op5.fingerprint(r.text) for r in want}) and any(r.doc_id is None for r in want)
+    assert corpus_pipeline.drop_near_duplicates(spark, empty, "").count() == 0
+
+
 def test_stages(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns = docs.columns
@@ -43,9 +69,7 @@ def test_stages(spark, folder, tmp_path):
             want = [(d, t) for d, n, gone, t in op8.brute([(r.doc_id, tkeys[r.text], r.text) for r in before], lines.WINDOW) if not gone or gone < n]
             assert sorted([(r.doc_id, r.text) for r in after], key=repr) == sorted(want, key=repr)
         if k == 2:
-            groups = op5.component_of([(r.doc_id, op5.fingerprint(r.text)) for r in before])
-            gone = {d for d, _, c in groups if d is not None and d > c}
-            assert sorted(map(key, after)) == sorted(key(r) for r in before if r.doc_id not in gone)
+            assert sorted(map(key, after)) == sorted(map(key, one_of_each_group(before)))
         if k == 3:
             clean = [r for r in before if ITEM not in r.text]
             assert len(clean) < len(before) and sorted(map(key, after)) == sorted(map(key, clean))
