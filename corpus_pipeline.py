@@ -7,8 +7,9 @@ predecessor kept, and what it decides takes effect:
 1. language identification: documents that it rejects go;
 2. line deduplication: later repeated runs of lines go from the texts (n_chars
    follows), and documents of which no line with a word is left;
-3. SimHash near-duplicates: the document with the smallest doc_id of each group
-   stays (rows that share a doc_id are one document; a null doc_id stays);
+3. SimHash near-duplicates: one row of each group stays, that with the smallest
+   doc_id (null counts as the largest; of texts with the same doc_id that with
+   the smallest digest, of rows that repeat both any one);
 4. benchmark decontamination: documents with an occurring window go;
 5. packing of what is left.
 """
@@ -38,8 +39,17 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
-    return docs.join(groups.where("doc_id > component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce(F.md5("text"), F.lit("none")))
+    keyed = docs.withColumn("__row", row)
+    groups = simhash.near_duplicates(keyed, carry=("__row",))
+    counted = groups.groupBy("root", "__row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row", "n"))
+    kept = cut(counted.groupBy("root").agg(first.alias("row")).select("row.__row", "row.n"))
+    left = keyed.join(kept.where("n = 1"), "__row", "left_semi")
+    repeated = kept.where("n > 1")
+    if not repeated.isEmpty():  # else the texts need not be dealt out once more
+        left = left.unionAll(keyed.join(repeated, "__row", "left_semi").dropDuplicates(["__row"]))
+    return left.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
