@@ -78,12 +78,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Its SQL compares windows of three lines.
-    found = lines.remove_lines(table(spark, sf_dir, "documents"), ["doc_id", "text"], window=3)
+    found = lines.remove_lines(table(spark, sf_dir, "documents"), ["doc_id", "text"])
     return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-# Lines with a word, numbered; windows of three of them; a line goes if one over it was seen before.
+# Lines with a word, numbered; a line goes if an equal one comes before it.
 ORACLES["op8_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, u.i AS i, u.line AS line,
@@ -93,13 +92,10 @@ WITH lines AS (
   WHERE text IS NOT NULL),
 worded AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM lines WHERE body <> ''),
-windows AS (
-  SELECT doc_id, n, body AS a, lead(body, 1) OVER w AS b, lead(body, 2) OVER w AS c
-  FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
 ranked AS (
-  SELECT doc_id, n, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, n) AS seen FROM windows WHERE c IS NOT NULL),
+  SELECT doc_id, n, row_number() OVER (PARTITION BY body ORDER BY doc_id, n) AS seen FROM worded),
 gone AS (
-  SELECT DISTINCT doc_id, n + k AS n FROM ranked, (VALUES (0), (1), (2)) AS s(k) WHERE seen > 1),
+  SELECT doc_id, n FROM ranked WHERE seen > 1),
 marked AS (
   SELECT l.doc_id, l.i, l.line, w.n IS NOT NULL AS has_word, g.n IS NOT NULL AS removed
   FROM lines l LEFT JOIN worded w ON w.doc_id = l.doc_id AND w.i = l.i LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.n = w.n),
