@@ -72,6 +72,10 @@ class Files:
             stream.close()
         return True
 
+    def remove(self, name: str) -> None:
+        """Delete a folder with all that it holds, if it is there."""
+        self.fs.delete(self._path(name), True)
+
 
 class Catalogue:
     def __init__(self, spark: SparkSession, root: str) -> None:
