@@ -35,13 +35,37 @@ def _on(keys: Sequence[str], name: str) -> Column:
     return out
 
 
-def match_printings(observations: DataFrame, locators: DataFrame, printings: DataFrame, reviews: DataFrame) -> DataFrame:
+def corroborated(observations: DataFrame, printings: DataFrame, seen: DataFrame, members: DataFrame, claims: DataFrame) -> DataFrame:
+    """observation_id, kept_id, kept_last: the first and the last compatible printing that may stand for the observation.
+
+    seen: printing_id, lineage.  members: printing_id, product.  claims:
+    observation_id, product.  A printing that only other lineages have seen
+    counts if the observation claims one of its products; one that its own
+    lineage has seen, or none, counts anyway.
+    """
+    key = F.to_json(F.struct(*COMPATIBLE), {"ignoreNullFields": "false"})
+    known, asked = printings.select(key.alias("key"), "printing_id"), observations.select(key.alias("key"), "observation_id", "lineage")
+
+    def ends(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.groupBy("key", *keys).agg(F.min("printing_id").alias("lo"), F.max("printing_id").alias("hi"))
+
+    own = asked.join(ends(known.join(seen, "printing_id"), "lineage"), ["key", "lineage"])
+    unseen = asked.join(ends(known.join(seen, "printing_id", "left_anti")), "key")
+    shared = asked.join(claims, "observation_id").join(ends(known.join(members, "printing_id"), "product"), ["key", "product"])
+    found = [x.select("observation_id", "lo", "hi") for x in (own, unseen, shared)]
+    return found[0].unionAll(found[1]).unionAll(found[2]).groupBy("observation_id").agg(F.min("lo").alias("kept_id"), F.max("hi").alias("kept_last"))
+
+
+def match_printings(observations: DataFrame, locators: DataFrame, printings: DataFrame, reviews: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """observation_id, printing_id, decision, diagnostic.
 
     observations: observation_id, lineage, locator, variant, COMPATIBLE,
     artwork_explicit, novel (novelty is proven).  locators: lineage, locator,
     variant, printing_id, one row each.  printings: printing_id, lineage,
-    COMPATIBLE.  reviews: observation_id, printing_id.
+    COMPATIBLE.  reviews: observation_id, printing_id.  kept: the result of
+    corroborated(), for games in which products corroborate a match; there,
+    matches without such a product are insufficient if no other is left, and
+    evidence of other lineages alone is not looked for.
 
     In this order: a known locator (contradictory if its printing is not
     compatible), a review, equal evidence from another lineage only
@@ -62,6 +86,12 @@ def match_printings(observations: DataFrame, locators: DataFrame, printings: Dat
     rows = rows.join(exact, _on(COMPATIBLE, "exact"), "left").join(look, _on(APPEARANCE, "look"), "left").join(cross, _on(CROSS_SOURCE, "cross"), "left")
     other = F.when(F.col("cross_lo") != F.col("lineage"), F.col("cross_first.printing_id")).when(F.col("cross_hi") != F.col("lineage"), F.col("cross_last.printing_id"))
     n = F.coalesce("exact_n", F.lit(0))
+    alone = F.lit(False)
+    if kept is not None:
+        rows = rows.join(kept, "observation_id", "left")
+        alone, other = (n > 0) & F.col("kept_id").isNull(), F.lit(None).cast("string")
+        n = F.when(F.col("kept_id").isNull(), 0).when(F.col("kept_id") == F.col("kept_last"), 1).otherwise(2)
+    match = "exact_id" if kept is None else "kept_id"
     agrees = F.col("loc_facts").eqNullSafe(F.struct(*COMPATIBLE))
     new_id = F.concat(F.lit("printing_"), F.sha2(F.to_json(F.struct(*COMPATIBLE), {"ignoreNullFields": "false"}), 256))
     has = F.col("loc_id").isNotNull()
@@ -76,9 +106,10 @@ def match_printings(observations: DataFrame, locators: DataFrame, printings: Dat
         .when(has, row("loc_id", "located"))
         .when(F.col("review_id").isNotNull(), row("review_id", "reviewed"))
         .when((n == 0) & other.isNotNull(), row(other, "cross_source", insufficient))
-        .when((n > 0) & ~F.col("artwork_explicit"), row("exact_id", "inexplicit", insufficient))
-        .when(n > 1, row("exact_id", "ambiguous", "printing_match_ambiguous"))
-        .when(n == 1, row("exact_id", "matched"))
+        .when(alone, row("exact_id", "uncorroborated", insufficient))
+        .when((n > 0) & ~F.col("artwork_explicit"), row(match, "inexplicit", insufficient))
+        .when(n > 1, row(match, "ambiguous", "printing_match_ambiguous"))
+        .when(n == 1, row(match, "matched"))
         .when(F.col("look_n") > 0, row(new_id, "allocated", contradictory))
         .when(~F.col("novel"), row(new_id, "allocated", insufficient))
         .otherwise(row(new_id, "allocated"))

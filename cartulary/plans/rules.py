@@ -46,6 +46,33 @@ def q_match_printings(t: Tables) -> DataFrame:
     return found.select("observation_id", "decision", "diagnostic")
 
 
+@named("""
+WITH a AS (SELECT DISTINCT l_orderkey AS k, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_returnflag || '-' || l_linestatus AS id, l_orderkey % 3 AS lineage, l_partkey % 50 AS card_id,
+    l_suppkey % 3 AS artwork, l_linenumber AS printed_digest, l_returnflag AS rarity, nullif(l_linestatus, 'O') AS treatment, (l_orderkey // 8) % 40 AS product FROM lineitem),
+p AS (SELECT * FROM a WHERE k % 2 = 0), o AS (SELECT * FROM a WHERE k % 2 = 1),
+c AS (SELECT o.id, count(p.id) AS n, min(p.id) AS first_id, count(p.id) FILTER (WHERE kept) AS n_kept, min(p.id) FILTER (WHERE kept) AS kept_id FROM o LEFT JOIN (SELECT *, true AS there FROM p) p
+    ON p.card_id = o.card_id AND p.artwork = o.artwork AND p.printed_digest = o.printed_digest AND p.rarity = o.rarity AND p.treatment IS NOT DISTINCT FROM o.treatment,
+    LATERAL (SELECT p.k % 16 = 0 OR p.lineage = o.lineage OR p.product = o.product AS kept) AS s GROUP BY 1),
+l AS (SELECT DISTINCT card_id, artwork, treatment FROM p)
+SELECT o.id AS observation_id, CASE WHEN n > 0 AND n_kept = 0 THEN first_id WHEN n > 0 THEN kept_id END AS printing_id,
+  CASE WHEN n > 0 AND n_kept = 0 THEN 'uncorroborated' WHEN n_kept > 0 AND o.k % 7 = 0 THEN 'inexplicit' WHEN n_kept > 1 THEN 'ambiguous' WHEN n_kept = 1 THEN 'matched' ELSE 'allocated' END AS decision,
+  CASE WHEN n > 0 AND n_kept = 0 THEN 'printing_match_insufficient_evidence' WHEN n_kept > 0 AND o.k % 7 = 0 THEN 'printing_match_insufficient_evidence' WHEN n_kept > 1 THEN 'printing_match_ambiguous' WHEN n_kept = 1 THEN NULL
+    WHEN l.card_id IS NOT NULL THEN 'printing_match_contradictory' END AS diagnostic
+FROM o JOIN c ON c.id = o.id LEFT JOIN l ON l.card_id = o.card_id AND l.artwork = o.artwork AND l.treatment IS NOT DISTINCT FROM o.treatment
+""")
+def q_corroborated_match(t: Tables) -> DataFrame:
+    """Printings of another lineage match only where a product is shared."""
+    rows = _printings(t).withColumns({"card_id": F.col("card_id") % 50, "artwork": F.element_at(F.split("id", "-"), 4).cast("bigint") % 3, "product": F.expr("(l_orderkey div 8) % 40")})
+    prior = rows.where("l_orderkey % 2 = 0").withColumnRenamed("id", "printing_id")
+    k = F.col("l_orderkey")
+    asked = rows.where(k % 2 == 1).withColumns({"observation_id": F.col("id"), "locator": F.lit(None).cast("string"), "variant": F.lit("base"), "artwork_explicit": k % 7 != 0, "novel": F.lit(True)})
+    seen = prior.where(k % 16 != 0).select("printing_id", "lineage")
+    kept = reconcile.corroborated(asked, prior, seen, prior.select("printing_id", "product"), asked.select("observation_id", "product"))
+    locators = prior.select("lineage", F.lit(None).cast("string").alias("locator"), F.lit("base").alias("variant"), "printing_id").where("locator is not null")
+    found = reconcile.match_printings(asked, locators, prior, asked.select("observation_id", F.lit("x").alias("printing_id")).where("false"), kept)
+    return found.select("observation_id", F.when(F.col("decision") != "allocated", F.col("printing_id")).alias("printing_id"), "decision", "diagnostic")
+
+
 @named("""
 WITH o AS (SELECT event_id AS observation_id, event_type AS kind, CAST(user_id % 40 AS VARCHAR) AS value FROM events),
 k AS (SELECT event_type AS kind, CAST(user_id % 40 AS VARCHAR) AS value, min(event_id) AS first FROM events WHERE event_id % 2 = 0 AND user_id % 3 = 0 GROUP BY 1, 2)
