@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartulary.functions.canon import canonical, canonical_json
+from cartulary.operators import ordered
 
 # Bounds of a record, a component and an export.
 MOST_RECORD = 512 << 10
@@ -37,9 +38,16 @@ def components(rows: DataFrame, most: int = MOST_COMPONENT) -> DataFrame:
 
 
 def manifest(rows: DataFrame) -> DataFrame:
-    """component, n_records, n_bytes, sha256 of the bytes that are written."""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "line"))), lambda x: F.concat(x["line"], F.lit("\n"))), "")
-    return rows.groupBy("component").agg(F.count("*").alias("n_records"), F.sum("bytes").cast("bigint").alias("n_bytes"), F.sha2(body, 256).alias("sha256"))
+    """component, n_records, n_bytes, sha256 of the bytes that are written; fed line by line, so a component is never held whole."""
+
+    def step(s, line):
+        n, size, digest = s
+        body = line.encode() + b"\n"
+        digest.update(body)
+        return n + 1, size + len(body), digest
+
+    end = lambda s: (*s[:2], s[2].hexdigest())
+    return ordered.fold(rows, ["component"], ["key", "line"], ["line"], lambda: (0, 0, hashlib.sha256()), step, end, "n_records bigint, n_bytes bigint, sha256 string")
 
 
 def write(rows: DataFrame, path: str, revision: str, most: int = MOST_EXPORT) -> dict[str, Any]:

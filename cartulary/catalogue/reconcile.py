@@ -43,7 +43,7 @@ def corroborated(observations: DataFrame, printings: DataFrame, seen: DataFrame,
     counts if the observation claims one of its products; one that its own
     lineage has seen, or none, counts anyway.
     """
-    key = F.to_json(F.struct(*COMPATIBLE), {"ignoreNullFields": "false"})
+    key = F.struct(*COMPATIBLE)  # null fields of structs are alike
     known, asked = printings.select(key.alias("key"), "printing_id"), observations.select(key.alias("key"), "observation_id", "lineage")
 
     def ends(rows: DataFrame, *keys: str) -> DataFrame:
