@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary.llm import contamination, language, lines, packing, quality, quotes, rules, simhash, substrings, warc
+from cartulary.llm import contamination, language, lines, nearest, packing, quality, quotes, resampling, rules, simhash, substrings, trie, warc
 from cartulary.llm.common import is_held_out
 
 QUERIES: dict = {}
@@ -157,3 +157,93 @@ SELECT page_id, strlen(p.body) AS payload_bytes, sha1(p.body) AS payload_digest,
   CASE WHEN last > page_id THEN last END AS refers_to
 FROM p LEFT JOIN last ON last.body = p.body
 """
+
+
+@query
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.rebuilt(trie.conversations(table(spark, sf_dir, "conversations"))))
+
+
+@query
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_nearest"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+# The usual table of crc32, and the checksum of a text by it.
+CRC32 = """
+crc_table AS (
+  SELECT list(e ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(CAST(n AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, _: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)) AS e FROM range(256) AS r(n)))"""
+
+
+def crc32(octets: str) -> str:
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda c, o: xor(c >> 8, t[1 + (xor(c, o) & 255)])), 4294967295)"
+
+
+# Prefixes of the rebuilt conversations by the text of their turns' digests; each node adds to all that it starts with.
+ORACLES["op12_prefix_trie"] = rf"""
+WITH {CRC32.strip()},
+turns AS (
+  SELECT conv_id, turn, md5(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, list({{'d': d, 'words': words}} ORDER BY turn NULLS FIRST, d) AS turns FROM turns GROUP BY 1),
+headed AS (SELECT conv_id, turns, conv_id - conv_id % 20 AS first, {crc32("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))")} % 4 AS h FROM convs, crc_table),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(CASE WHEN a.h > 0 THEN coalesce(b.turns[1 : a.h], []) ELSE [] END, a.turns[a.h + 1 :]) AS turns
+  FROM headed a LEFT JOIN convs b ON b.conv_id = a.first),
+prefixes AS (
+  SELECT conv_id, u.d AS depth, len(turns) AS length, array_to_string(list_transform(turns[1 : u.d], lambda x: x.d), '') AS path,
+         CASE WHEN u.d > 0 THEN turns[u.d].words ELSE 0 END AS words
+  FROM rebuilt, LATERAL (SELECT unnest(range(0, len(turns) + 1)) AS d) AS u),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE length = depth), '') AS ends
+  FROM prefixes GROUP BY 1, 2),
+kids AS (SELECT substr(path, 1, 32 * (depth - 1)) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+counted AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.path = n.path),
+above AS (
+  SELECT substr(path, 1, 32 * u.d) AS path, sum((n_convs - 1) * words) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves
+  FROM counted, LATERAL (SELECT unnest(range(0, depth + 1)) AS d) AS u GROUP BY 1)
+SELECT c.conv_id, CAST(c.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, a.leaves AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, sha256(c.ends) AS ends_sha256
+FROM counted c JOIN above a ON a.path = c.path LEFT JOIN nodes p ON c.depth > 0 AND p.path = substr(c.path, 1, 32 * (c.depth - 1))
+"""
+
+ORACLES["op13_resampling"] = rf"""
+WITH {CRC32.strip()},
+folded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+wanted AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+here AS (SELECT doc_id, unnest(w) AS word FROM folded),
+known AS (
+  SELECT word, {crc32("list_transform(range(0, strlen(word)), lambda i: CAST(('0x' || substr(hex(encode(word)), CAST(1 + 2 * i AS BIGINT), 2)) AS BIGINT))")} % 10000 AS bucket
+  FROM (SELECT word FROM here UNION SELECT word FROM wanted), crc_table),
+source AS (SELECT bucket, count(*) AS n FROM here JOIN known USING (word) GROUP BY 1),
+target AS (SELECT bucket, count(*) AS n FROM wanted JOIN known USING (word) GROUP BY 1),
+totals AS (SELECT CAST((SELECT count(*) FROM here) AS DOUBLE) AS s, CAST((SELECT count(*) FROM wanted) AS DOUBLE) AS t),
+gains AS (
+  SELECT b.bucket, CAST(floor(1000 * ln((coalesce(y.n, 0) + 1.0::DOUBLE) * (totals.s + 10000) / ((coalesce(x.n, 0) + 1.0::DOUBLE) * (totals.t + 10000)))) AS BIGINT) AS gain
+  FROM range(10000) AS b(bucket) LEFT JOIN source x ON x.bucket = b.bucket LEFT JOIN target y ON y.bucket = b.bucket, totals),
+weighed AS (SELECT doc_id, sum(gain) AS weight FROM here JOIN known USING (word) JOIN gains USING (bucket) GROUP BY 1),
+scored AS (
+  SELECT f.doc_id, len(f.w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || CAST(f.doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM folded f LEFT JOIN weighed g ON g.doc_id = f.doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM ranked
+"""
