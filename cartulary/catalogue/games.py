@@ -158,8 +158,8 @@ PROFILES: dict[str, dict] = {
 
 
 def face_roles(layout: str, n: int) -> list[str] | None:
-    """The roles of n faces of a layout, None if it can't have so many."""
-    least, most, turned = LAYOUTS.get(layout, (1, 1, False))
+    """The roles of n faces of a layout, None if it can't have so many or is not known."""
+    least, most, turned = LAYOUTS.get(layout, (0, -1, False))
     if not least <= n <= most:
         return None
     return ROLES if turned else ["front"] * n

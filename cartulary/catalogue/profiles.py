@@ -70,6 +70,8 @@ def validate(value: Any, schema: dict, path: str = "$") -> tuple[Any, list[str],
                     bad += b
                     if not (w and v is None):
                         made[k] = v
+                    elif sub.get("required") and not b:  # nothing is left of what must be there
+                        bad.append(f"unknown_value:{path}.{k}")
                 elif sub.get("required"):
                     bad.append(f"missing_field:{path}.{k}")
             if rule := schema.get("when"):

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cartulary.functions.canon import formatting_form
+from cartulary.operators.graph import reachable
 from cartulary.operators.identity import follow
 
 #: Fields that make two printings compatible, nulls alike.
@@ -256,6 +257,19 @@ def unreachable(objects: DataFrame, key: str, *references: DataFrame) -> DataFra
     return objects.join(held.where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
+def retained(objects: DataFrame, key: str, context: DataFrame, child: str, parent: str, *references: DataFrame) -> DataFrame:
+    """objects with retained: a reference (its first column) names the object, or it is a parent, over any number of steps, of one that is named.
+
+    context: child, parent; an object may have many parents, and cycles may occur.
+    """
+    held = None
+    for r in references:
+        one = r.select(F.col(r.columns[0]).alias("node"))
+        held = one if held is None else held.unionAll(one)
+    found = reachable(held, context, child, parent).select(F.col("node").alias(key), F.lit(True).alias("__found"))
+    return objects.join(found, key, "left").withColumn("retained", F.coalesce("__found", F.lit(False))).drop("__found")
+
+
 def text_parts(df: DataFrame, key: str, text: str, length: int = 32_768) -> DataFrame:
     """key, ordinal, part of texts longer than length code points; joined in order they are the text."""
     long = df.where(F.char_length(text) > length)

@@ -4,7 +4,8 @@ Layout under a root: `entities/<kind>/batch=<id>/…` holds the rows of one
 game's publication and never changes; `revisions/<sequence>.json` is one record
 of the log, with the composition (each game's batch) in it.  A revision exists
 once its record does, which is written last, so readers see all of it or
-nothing.  A record's file is created only if it is not there, so of two
+nothing.  Beside a batch stand its indexes (see indexes); their folders are
+written before the record too.  A record's file is created only if it is not there, so of two
 publishers that build upon one revision the file system lets one through; the
 other one is refused, and its batch is never referred to.  (The folder has to
 be in a file system that creates files exclusively, as HDFS does.)
@@ -13,6 +14,7 @@ be in a file system that creates files exclusively, as HDFS does.)
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 import uuid
 from collections.abc import Mapping, Sequence
@@ -22,12 +24,14 @@ from typing import Any
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from cartulary.catalogue.indexes import GRAM, BatchIndex
 from cartulary.catalogue.profiles import attribute_filter, leaves
-from cartulary.functions.canon import canonical, decode_cursor, encode_cursor, search_form
+from cartulary.functions.canon import canonical, decode_cursor, encode_cursor, search_form, search_text
 from cartulary.operators import keyset, search
 
-_LOG = "revision string, parent string, sequence bigint, published_at timestamp, game string, composition map<string, string>"
+_LOG = "revision string, parent string, sequence bigint, published_at timestamp, game string, composition map<string, string>, schemas map<string, string>"
 #: Age in milliseconds from which a record without content is that of a publisher that died.
 STALE_MS = 3_600_000
 
@@ -72,6 +76,18 @@ class Files:
             stream.close()
         return True
 
+    def size(self, name: str) -> int:
+        """Bytes of a folder's files."""
+        return self.fs.getContentSummary(self._path(name)).getLength()
+
+    def read(self, name: str) -> str:
+        """The content of a small file."""
+        stream = self.fs.open(self._path(name))
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
     def remove(self, name: str) -> None:
         """Delete a folder with all that it holds, if it is there."""
         self.fs.delete(self._path(name), True)
@@ -89,14 +105,35 @@ class Catalogue:
             return self.spark.createDataFrame([], _LOG)
         return self.spark.read.schema(_LOG).option("mode", "FAILFAST").json(path)
 
+    def _last(self) -> dict | None:
+        """The newest record that is whole: read by its name, however long the log is."""
+        found = sorted((n for n, (size, _) in self.files.list(f"{self.root}/revisions").items() if n.endswith(".json") and not n.startswith(".") and size), reverse=True)
+        if not found:
+            return None
+        try:
+            return json.loads(self.files.read(f"{self.root}/revisions/{found[0]}"))
+        except ValueError as e:
+            raise ValueError(f"malformed record {found[0]}") from e
+
     def current(self) -> str | None:
-        row = self.revisions().agg(F.max_by("revision", "sequence").alias("r")).first()
-        return row["r"]
+        last = self._last()
+        return last and last["revision"]
+
+    def record(self, revision: str) -> dict | None:
+        """A revision's record: the newest one by name, an older one out of the log."""
+        last = self._last()
+        if last is None or last["revision"] == revision:
+            return last
+        row = self.revisions().where(F.col("revision") == revision).first()
+        return row and row.asDict(recursive=True)
 
     def composition(self, revision: str) -> dict[str, str]:
         """Game to batch: an entry for each supported game."""
-        row = self.revisions().where(F.col("revision") == revision).select("composition").first()
-        return dict(row["composition"]) if row else {}
+        found = self.record(revision)
+        return dict(found["composition"]) if found else {}
+
+    def index(self, kind: str, batch: str) -> BatchIndex:
+        return BatchIndex(self.spark, self.files, f"{self.root}/entities/{kind}/batch={batch}", f"{self.root}/indexes/{kind}/batch={batch}")
 
     def _next(self) -> int:
         """The number of the next record; refused while another one is being written."""
@@ -116,59 +153,100 @@ class Catalogue:
             raise Conflict("another revision has been published")
         revision = "revision_" + hashlib.sha256(canonical([expected, game, number]).encode()).hexdigest()[:32]
         batch = f"{game}_{number}_{uuid.uuid4().hex[:8]}"
+        schemas: dict[str, str] = {}
         for kind, df in kinds.items():
             order = [c for c in ORDERS[kind] if c in df.columns]
             shaped = df.withColumn("search_text", F.array(*[search_form(F.col(c)) for c in SEARCHED[kind] if c in df.columns])) if SEARCHED[kind] else df
-            # Sorted within files by the order of pages, so that a keyset reads few row groups.
-            shaped.sortWithinPartitions(*order).write.mode("errorifexists").parquet(f"{self.root}/entities/{kind}/batch={batch}")
-        before = self.composition(expected) if expected else {}
+            # Sorted within files by the order of pages, so that a keyset reads few row groups; ids have a Bloom filter.
+            ranged = shaped.sortWithinPartitions(*order).write.mode("errorifexists").option("parquet.bloom.filter.enabled#id", "true")
+            ranged.parquet(f"{self.root}/entities/{kind}/batch={batch}")
+            schemas[f"{kind}/{batch}"] = shaped.schema.json()
+            self.index(kind, batch).write(bool(SEARCHED[kind]))
+        last = (self.record(expected) if expected else None) or {"composition": {}, "schemas": {}}
+        composition = {**last["composition"], game: batch}
+        kept = {k: v for k, v in (last.get("schemas") or {}).items() if k.split("/")[1] in composition.values()}
         published = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
-        entry = {"revision": revision, "parent": expected, "sequence": number, "published_at": published, "game": game, "composition": {**before, game: batch}}
+        entry = {"revision": revision, "parent": expected, "sequence": number, "published_at": published, "game": game, "composition": composition, "schemas": {**kept, **schemas}}
         if not self.files.create(f"{self.root}/revisions/{number:012d}.json", canonical(entry) + "\n"):
             raise Conflict("another revision has been published")
         return revision
 
     def at(self, revision: str | None = None) -> Snapshot:
         """A revision pinned for reading: the one named, else the current one."""
-        pinned = revision or self.current()
-        batches = self.composition(pinned) if pinned else {}
-        if not batches:
+        found = self.record(revision) if revision else self._last()
+        if not found:
             raise KeyError(f"no revision {revision}")
-        return Snapshot(self, pinned, batches)
+        return Snapshot(self, found["revision"], found["composition"], found.get("schemas") or {})
 
 
 class Snapshot:
     """Reads of one revision."""
 
-    def __init__(self, catalogue: Catalogue, revision: str, batches: Mapping[str, str]) -> None:
-        self.catalogue, self.revision, self.batches = catalogue, revision, dict(batches)
+    def __init__(self, catalogue: Catalogue, revision: str, batches: Mapping[str, str], schemas: Mapping[str, str]) -> None:
+        self.catalogue, self.revision, self.batches, self.schemas = catalogue, revision, dict(batches), dict(schemas)
 
-    def entities(self, kind: str, game: str | None = None) -> DataFrame:
-        """All rows of a kind, or those of one game: only its batches' folders are read."""
-        batches = [b for g, b in self.batches.items() if game in (None, g)]
+    def _batches(self, kind: str, game: str | None) -> list[str]:
+        """The batches that hold the kind: its folder is named in the record, nothing is listed."""
+        batches = [b for g, b in sorted(self.batches.items()) if game in (None, g)]
         if not batches:
             raise KeyError(f"no game {game}")
-        folders = [f"{self.catalogue.root}/entities/{kind}/batch={b}" for b in sorted(batches)]
-        there = [x for x in folders if self.catalogue.files.exists(x)]
+        there = [b for b in batches if f"{kind}/{b}" in self.schemas]
         if not there:
             raise KeyError(f"no {kind} in {self.revision}")
-        return self.catalogue.spark.read.option("mergeSchema", "true").parquet(*there)
+        return there
+
+    def _schema(self, kind: str, batches: Sequence[str]) -> StructType:
+        """The columns of all batches, as the record has them: no footer is read for it."""
+        fields: dict = {}
+        for b in batches:
+            for f in StructType.fromJson(json.loads(self.schemas[f"{kind}/{b}"])).fields:
+                fields.setdefault(f.name, f)
+        return StructType(list(fields.values()))
+
+    def _read(self, kind: str, batches: Sequence[str], files: Sequence[str] | None = None) -> DataFrame:
+        """The batches' rows; files (batch/file) restricts what is read."""
+        root = f"{self.catalogue.root}/entities/{kind}"
+        paths = [f"{root}/batch={b}" for b in batches] if files is None else [f"{root}/batch={x}" for x in files]
+        schema = self._schema(kind, batches)
+        return self.catalogue.spark.read.schema(schema).parquet(*paths) if paths else self.catalogue.spark.createDataFrame([], schema)
+
+    def entities(self, kind: str, game: str | None = None) -> DataFrame:
+        """All rows of a kind, or those of one game: only its batches' folders are read."""
+        return self._read(kind, self._batches(kind, game))
 
     def get(self, kind: str, entity_id: str) -> dict[str, Any] | None:
-        row = self.entities(kind).where(F.col("id") == entity_id).first()
+        """One entity: its file by the index, there the row groups that may hold the id."""
+        batches = self._batches(kind, None)
+        files = [f"{b}/{f}" for b in batches for f in self.catalogue.index(kind, b).file_of(entity_id)]
+        row = self._read(kind, batches, files).where(F.col("id") == entity_id).first() if files else None
         return None if row is None else row.asDict(recursive=True)
 
+    def search(self, kind: str, q: str, game: str | None = None) -> DataFrame:
+        """The entities of which a searched text has q in it, by the form that is compared.
+
+        Of GRAM code points or more: those that have all its grams, by the
+        postings, are read from their files alone, and looked through.  The list
+        of files is as long as the batch has files at most.  Shorter ones scan.
+        """
+        form, batches = search_text(q.strip()), self._batches(kind, game)
+        if not form:
+            raise ValueError("an empty search")
+        held = F.exists("search_text", lambda x: F.contains(x, F.lit(form)))
+        if len(form) < GRAM:
+            return self._read(kind, batches).where(held)
+        found = None
+        for b in batches:
+            one = self.catalogue.index(kind, b).candidates(form).withColumn("file", F.concat(F.lit(f"{b}/"), "file"))
+            found = one if found is None else found.unionAll(one)
+        files = [r["file"] for r in found.select("file").distinct().collect()]
+        return self._read(kind, batches, sorted(files)).join(found.select("id").distinct(), "id", "left_semi").where(held)
+
     def games(self) -> list[str]:
         return sorted(self.batches)
 
     def find(self, kind: str, game: str | None = None, q: str | None = None, attributes: Mapping[str, str] | None = None, profile: dict | None = None, **equal: Any) -> Query:
         """A filtered collection; q is a substring of a searched field (for products, of code and name)."""
-        df = self.entities(kind, game)
-        if q is not None:
-            form = self.catalogue.spark.range(1).select(search_form(F.lit(q.strip())).alias("q")).first()["q"]
-            if not form:
-                raise ValueError("an empty search")
-            df = df.where(F.exists("search_text", lambda x: F.contains(x, F.lit(form))))
+        df = self.entities(kind, game) if q is None else self.search(kind, q, game)
         for name, value in equal.items():
             df = df.where(F.col(name) == value)
         for name, value in (attributes or {}).items():

@@ -40,12 +40,14 @@ def canonical_json(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else canonical(json.loads(t)))
 
 
+def search_text(text: str) -> str:
+    """The search form of one text."""
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).lower())
+
+
 @F.pandas_udf(T.StringType())
 def _search_form(text: pd.Series) -> pd.Series:
-    def one(t):
-        return None if t is None else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).lower())
-
-    return text.map(one)
+    return text.map(lambda t: None if t is None else search_text(t))
 
 
 @F.pandas_udf(T.StringType())

@@ -40,4 +40,4 @@ def named(sql: str | None = None):
     return add
 
 
-from cartulary.plans import assembly, cards, control, evidence, publish, reconcile, records, revisions, rules  # noqa: E402, F401
+from cartulary.plans import assembly, cards, control, evidence, graphs, publish, reconcile, records, revisions, rules  # noqa: E402, F401

@@ -74,3 +74,53 @@ def q_attribute_values(t: Tables) -> DataFrame:
     found = written(values[0].unionAll(values[1]))
     catalogue.files.remove(catalogue.root)
     return found
+
+
+def _published(t: Tables) -> Catalogue:
+    """The documents as one game's cards, in a catalogue in the shared folder."""
+    spark = t.documents.sparkSession
+    catalogue = Catalogue(spark, f"{checkpoint_dir(spark)}/catalogue-{uuid.uuid4().hex}")
+    cards = t.documents.select(F.concat(F.lit("card_"), "doc_id").alias("id"), F.lit("prose").alias("game"), F.col("source").alias("name"), F.col("text").alias("rules_text"))
+    catalogue.publish("prose", None, cards=cards)
+    return catalogue
+
+
+@named("""
+SELECT 'en de' AS q, 'card_' || doc_id AS id FROM documents WHERE contains(lower(text), 'en de') OR contains(lower(source), 'en de')
+UNION ALL SELECT 'tion of th', 'card_' || doc_id FROM documents WHERE contains(lower(text), 'tion of th')
+UNION ALL SELECT 'zu', 'card_' || doc_id FROM documents WHERE contains(lower(text), 'zu')
+UNION ALL SELECT 'zzqzz', 'card_' || doc_id FROM documents WHERE contains(lower(text), 'zzqzz')
+""")
+def q_indexed_search(t: Tables) -> DataFrame:
+    """Searches over the postings of a published batch; one of two code points scans."""
+    catalogue = _published(t)
+    found = None
+    for q in ("en de", "Tion of th", "zu", "zzqzz"):
+        one = catalogue.at().search("cards", q).select(F.lit(q.lower()).alias("q"), "id")
+        found = one if found is None else found.unionAll(one)
+    found = written(found)
+    catalogue.files.remove(catalogue.root)
+    return found
+
+
+@named(r"""
+WITH c AS (SELECT doc_id, string_split(lower(text), '') AS c FROM documents WHERE length(text) >= 3),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM c)
+SELECT gram, count(DISTINCT doc_id) AS n_cards FROM g GROUP BY 1
+""")
+def q_repaired_postings(t: Tables) -> DataFrame:
+    """The postings after one bucket has been lost and another one emptied, and both were made again."""
+    catalogue = _published(t)
+    spark = t.documents.sparkSession
+    index = catalogue.index("cards", catalogue.at().batches["prose"])
+    buckets = [r["bucket"] for r in index.read("grams").select("bucket").distinct().orderBy("bucket").limit(2).collect()]
+    catalogue.files.remove(f"{index.folder}/grams/bucket={buckets[0]}")
+    spark.createDataFrame([], "key string, id string, file string").write.mode("overwrite").parquet(f"{index.folder}/grams/bucket={buckets[1]}")
+    while index.repair(most=1):
+        pass
+    # Source names are searched too, and are no part of the texts.
+    texts = t.documents.where("text is not null").select(F.concat(F.lit("card_"), "doc_id").alias("id"), F.lower("text").alias("body"))
+    rows = index.read("grams").join(texts, "id").where(F.contains("body", F.col("key")))
+    found = written(rows.groupBy(F.col("key").alias("gram")).agg(F.count("*").alias("n_cards")))
+    catalogue.files.remove(catalogue.root)
+    return found

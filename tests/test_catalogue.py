@@ -48,8 +48,8 @@ def test_two_publishers_interleave(spark, tmp_path):
     other = Catalogue(spark, str(tmp_path))
 
     class Overtaken(Catalogue):
-        def composition(self, revision):
-            found = super().composition(revision)
+        def record(self, revision):
+            found = super().record(revision)
             self.won = other.publish("g2", base, cards=cards(spark, "g2", 4))
             return found
 

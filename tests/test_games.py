@@ -18,7 +18,9 @@ def test_faces_and_layouts():
     assert not none and not warnings and value["faces"][0]["colours"] == ["U", "W"]
     assert bad("magic", card | {"layout": "transform"}) == ["profile_rule:$"]
     assert not bad("magic", card | {"layout": "transform", "faces": [FACE, FACE | {"role": "back"}]})
-    assert games.admit("magic", "card", card | {"layout": "art_series"})[1] == ["unknown_value:$.layout"]
+    for layout in ("art_series", "unknown_layout"):
+        assert "unknown_value:$.layout" in bad("magic", card | {"layout": layout})
+    assert games.face_roles("unknown_layout", 1) is None
     assert games.face_roles("split", 5) == ["front"] * 5 and games.face_roles("split", 1) is None and games.face_roles("flip", 3) is None
 
 

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from cartulary.catalogue import games
-from cartulary.sources import adapters, corrections, digimon, fusion_world, limitless, pokemon_pages, riftbound
+from cartulary.sources import adapters, corrections, digimon, fusion_world, pokemon_pages
 
 
 def fails(parse, *pages):
@@ -103,100 +103,6 @@ def test_a_product_index():
     fails(fusion_world.product_index, sections, anchors + sections.replace('id="comingsoon"', 'id="later"'), anchors + sections.replace("RELEASE", "OUT"))
 
 
-# --- records, articles and catalogues of one game
-
-
-def rift(**other):
-    made = {
-        "id": "aaa-007a-100", "publicCode": "AAA-007a/100", "collectorNumber": 7, "name": "Walker", "set": {"value": {"id": "AAA"}}, "cardType": {"type": [{"id": "unit"}]}, "domain": {"values": [{"id": "fury"}]},
-        "rarity": {"value": {"label": "Rare"}}, "cardImage": {"url": "https://x.test/1.png"}, "illustrator": {"values": [{"label": "A. B."}]}, "energy": {"value": {"id": 3}}, "tags": {"tags": ["Bird"]},
-        "text": {"richText": {"type": "html", "body": "<p>Draw 1.<br />Rest &amp; go.</p>"}},
-    }
-    return {**made, **other}
-
-
-def window(cards):
-    return json.dumps({"metadata": {"totalItems": len(cards), "from": 0, "totalPages": 1, "limit": 200}, "data": cards})
-
-
-def test_publisher_records():
-    one, two = riftbound.inventory(window([rift(), rift(id="x-1")]))
-    a = one["card"]["attributes"]
-    assert (a["energy"], a["might"], a["tags"], a["ability_text"], one["identity_qualified"], two["identity_qualified"]) == (3, None, ["Bird"], "Draw 1.\nRest & go.", True, False)
-    admitted("riftbound", one)
-    fails(riftbound.inventory, window([rift(), rift()]), window([rift(energy={"value": {"id": -1}})]), window([rift(name=" ")]), window([]))
-
-
-def article(title, body):
-    document = {"props": {"pageProps": {"page": {"blades": [{"type": "articleMasthead", "title": title, "publishDate": "2026-02-03T10:00:00.000Z"}, {"type": "articleRichText", "richText": {"type": "html", "body": body}}]}}}}
-    return f'<html><script id="__NEXT_DATA__">{json.dumps(document)}</script></html>'
-
-
-def test_articles():
-    body = "<h2>Intro</h2><h2>Set 5: Glow</h2><p>3-Letter Code: GLO</p><p>Release: May 8, 2026</p><h2>Set 6: Dusk</h2><p>Arriving Q3 2026.</p><h3>Second Box</h3><p>More soon.</p>"
-    got = riftbound.announced_products(article("Products", body))
-    assert [(x["name"], x["code"], x["date"], x["status"]) for x in got] == [
-        ("Glow", "GLO", {"precision": "day", "value": "2026-05-08"}, "announced"),
-        ("Dusk", None, {"precision": "quarter", "value": "2026-Q3"}, "announced"),
-        ("Second Box", None, {"precision": "unknown", "value": None}, None),
-    ]
-    body = "<p>Hello.</p><h2>Walker</h2><h5>[NEW TEXT]</h5><p>Draw 1.</p><p>Rest.</p><p>Note: both.</p><h5>[OLD TEXT]</h5><p>Draw 2.</p>"
-    (got,) = riftbound.corrections(article("Card Errata", body))
-    assert (got["name"], got["after"], got["before"], got["published_on"]) == ("Walker", "Draw 1.\nRest.", "Draw 2.", "2026-02-03")
-    fails(riftbound.corrections, article("News", body), article("Card Errata", body + body), article("Card Errata", body.replace("[NEW", "[OLD")), article("Card Errata", "<h2>Walker</h2><p>Draw.</p>"), "<html></html>")
-    fails(riftbound.announced_products, article("Products", "<p>x</p>"))
-
-
-def test_catalogues_of_others():
-    card = {"id": "openrift-7", "riftboundId": "r7", "imageSourceUrl": "https://x.test/7.png", "name": "Walker", "text": "Draw.", "setCode": "PR", "number": "7", "raw": {"id": "openrift-7", "riftbound_id": "r7", "media": {"image_url": "https://x.test/7.png"}, "openrift": {"cardId": "c", "printingId": "7"}}}
-    page = lambda cards, total, at=1: json.dumps({"cards": cards, "pagination": {"page": at, "pageSize": 1, "total": total, "hasMore": at < total}})
-    assert [(x["locator"], len(x["review"])) for x in riftbound.database_page(page([card], 3))] == [("openrift-7", 3)] and len(riftbound.database_page(page([card], 3, 3))) == 1
-    fails(riftbound.database_page, page([], 0), page([card], 0), page([{**card, "riftboundId": "r8"}], 3), page([{**card, "id": "openrift-8"}], 3))
-
-    pushed = lambda value: f"<script>self.__next_f.push([1,{json.dumps('1:' + json.dumps(value))}])</script>"
-    variant = {"id": "v1", "variantNumber": "AAA-001", "rarity": "Rare", "variantType": "Standard", "variantTypes": None, "variantLabel": "Base", "foilMode": "none", "imageUrl": "https://x.test/1.png", "set": {"name": "Glow", "prefix": "GLO"}, "card": {"id": "c1", "name": "Walker", "type": "unit", "energy": 2, "colors": [{"name": "Fury"}]}}
-    grid = lambda rows, at: pushed(["$", "div", None, {"children": [["$", "a", None, {"variants": rows}], ["$", "b", None, {"currentPage": at, "totalPages": 2, "hasNext": at < 2, "hasPrevious": at > 1}]]}]) + "<span>1,240</span><span>cards</span>"
-    (got,) = riftbound.gallery_page(grid([variant], 2), "https://x.test/g?page=2")
-    assert (got["card"]["energy"], got["card"]["domains"], got["declared_total"], got["set"]["code"]) == (2, ["Fury"], 1240, "GLO")
-    fails(riftbound.gallery_page, (grid([variant], 2), "https://x.test/g"), (grid([variant, variant], 1), "https://x.test/g"), (grid([], 1), "https://x.test/g"), (grid([{**variant, "imageUrl": "http://x.test"}], 1), "https://x.test/g"))
-
-    listing = {"uuid": "u1", "name": "Walker", "setTag": "GLO", "setNumber": "1", "rarity": "Rare", "energy": 1, "imageUrl": "https://x.test/1/", "domain": [{"name": "Fury"}]}
-    found = lambda rows, total: pushed(["$", "div", None, {"results": rows, "totalCount": total, "currentPage": 1, "pageSize": 2}]) + '<img src="https://x.test/1/standard">'
-    (got,) = riftbound.search_page(found([listing], 1), "https://x.test/cards")
-    assert (got["domains"], got["might"], got["shown_image"], got["declared_total"]) == (["Fury"], None, "https://x.test/1/standard", 1)
-    fails(riftbound.search_page, (found([listing], 5), "https://x.test/cards"), (found([listing], 1), "https://x.test/cards?page=2"), (found([listing, listing], 2), "https://x.test/cards"))
-
-
-# --- another party's database
-
-SECTION = '<div class="card-text-section">{}</div>'
-
-
-def printed(rules="Draw 1.<br><br>[Trigger] Play it.", number="AA01-001", kind="Character", rows='<tr class="current"><td>Base</td></tr><tr><td><a href="/cards/en/AA01-001?v=1">Other</a></td></tr>', image="AA01-001_EN", attribute="Slash"):
-    top = f'<span class="card-text-title"><span class="card-text-id">{number}</span><span class="card-text-name">Walker</span></span><span data-tooltip="Category">{kind}</span><span data-tooltip="Color">Red/Green</span> 3 Cost 5 Life 5000 Power <span data-tooltip="Attribute">{attribute}</span> +1000 Counter'
-    sections = "".join(SECTION.format(x) for x in (top, rules, '<span data-tooltip="Type">Crew/Sea</span>') if x)
-    return f'<div class="card-image"><img src="https://x.test/one-piece/AA01/{image}.webp"></div><div class="card-text">{sections}</div><div class="regulation-mark">Block 2</div><table class="card-prints-versions"><tr><th>x</th></tr>{rows}</table>'
-
-
-def test_a_card_database():
-    url = "https://x.test/cards/en/AA01-001"
-    (got,) = limitless.card_page(printed(), url)
-    a = got["card"]["attributes"]
-    assert (a["colours"], a["cost"], a["life"], a["power"], a["counter"], a["block_icons"], a["effect_text"], a["trigger_text"]) == (["green", "red"], 3, None, 5000, 1000, ["2"], "Draw 1.", "[Trigger] Play it.")
-    assert got["printings"] == ["base", "v1"] and got["image"].endswith("_EN.webp")
-    admitted("one-piece", got)
-    (got,) = limitless.card_page(printed("Add a card with a<br><br>[Trigger] to your hand.", image="AA01-001_p1_JP", attribute="card.attribute.?"), url)
-    a = got["card"]["attributes"]
-    assert (a["effect_text"], a["trigger_text"], a["battle_attributes"], got["image"]) == ("Add a card with a [Trigger] to your hand.", None, [], None) and "front_image" in got["other_fields"]
-    (got,) = limitless.card_page(printed("", kind="Leader"), url)
-    assert got["card"]["attributes"]["life"] == 5 and got["card"]["attributes"]["cost"] is None and got["card"]["rules_text"] is None
-    twice = '<tr class="current"><td>Base</td></tr><tr><td><a href="/cards/AA01-001">Other</a></td></tr>'
-    fails(limitless.card_page, (printed(number="AA01-002"), url), (printed(), url + "?v=0"), (printed(), url + "?w=1"), (printed(rows=twice), url), (printed(rows='<tr class="current"><td>x</td></tr>'), url + "?v=1"), (printed(image="BB01-001_EN"), url))
-    assert limitless.buckets('<table class="data-table sets-table"><tr><td><a href="/cards/aa01-first">A</a><a href="/cards/aa01-first">A</a></td></tr></table>') == [{"path": "/cards/aa01-first"}]
-    assert limitless.bucket('<div class="card-search-grid"><a href="/cards/AA01-001?v=2"></a><a href="/cards/AA01-001?v=2"></a></div>') == [{"path": "/cards/AA01-001?v=2", "design": "AA01-001", "variant": "v2"}]
-    fails(limitless.buckets, '<table class="sets-table"></table>', '<table class="sets-table"><a href="/cards/AA01-001"></a></table>')
-
-
 # --- correction pages
 
 
@@ -255,11 +161,11 @@ def test_a_card_page_of_a_publisher():
 
 def test_pages_by_their_url(spark):
     registry = adapters.Registry()
-    for module in (digimon, fusion_world, riftbound, limitless, corrections, pokemon_pages):
+    for module in (digimon, fusion_world, corrections, pokemon_pages):
         module.register(registry)
     url = "https://x.test/detail?card_no=FB01-001"
-    pages = [("1", "fusion-world-en", "card-detail", detail(), url), ("2", "fusion-world-en", "card-detail", detail(), None), ("3", "digimon-en", "card-list", listed(member()), "https://x.test/l?cardcategory=tamer"), ("4", "riftbound", "inventory", window([rift()]), None)]
+    pages = [("1", "fusion-world-en", "card-detail", detail(), url), ("2", "fusion-world-en", "card-detail", detail(), None), ("3", "digimon-en", "card-list", listed(member()), "https://x.test/l?cardcategory=tamer")]
     snapshots = spark.createDataFrame(pages, "snapshot_id string, lineage string, surface string, body string, url string")
     got = {r.snapshot_id: (r.record is not None, r.failure is None) for r in adapters.observe(snapshots, registry).collect()}
-    assert got == {"1": (True, True), "2": (False, False), "3": (False, False), "4": (True, True)}
-    assert sum(r.failure is None for r in adapters.observe(snapshots.drop("url"), registry).collect()) == 1
+    assert got == {"1": (True, True), "2": (False, False), "3": (False, False)}
+    assert sum(r.failure is None for r in adapters.observe(snapshots.drop("url"), registry).collect()) == 0
