@@ -79,10 +79,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.remove_lines(table(spark, sf_dir, "documents"), ["doc_id", "text"])
-    return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.col("__in_runs").alias("n_in_runs"), F.col("__alone").alias("n_alone"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-# Lines with a word, numbered; a line goes if an equal one comes before it.
+# Lines with a word, numbered; a line goes if an equal one comes before it, in a run if four of them in a row do.
 ORACLES["op8_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, u.i AS i, u.line AS line,
@@ -96,15 +96,22 @@ ranked AS (
   SELECT doc_id, n, row_number() OVER (PARTITION BY body ORDER BY doc_id, n) AS seen FROM worded),
 gone AS (
   SELECT doc_id, n FROM ranked WHERE seen > 1),
+windows AS (
+  SELECT doc_id, n, body || chr(10) || lead(body, 1) OVER w || chr(10) || lead(body, 2) OVER w || chr(10) || lead(body, 3) OVER w AS four
+  FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+placed AS (
+  SELECT doc_id, n, row_number() OVER (PARTITION BY four ORDER BY doc_id, n) AS seen FROM windows WHERE four IS NOT NULL),
+runs AS (
+  SELECT DISTINCT doc_id, u.m AS n FROM placed, LATERAL (SELECT unnest(range(n, n + 4)) AS m) AS u WHERE seen > 1),
 marked AS (
-  SELECT l.doc_id, l.i, l.line, w.n IS NOT NULL AS has_word, g.n IS NOT NULL AS removed
-  FROM lines l LEFT JOIN worded w ON w.doc_id = l.doc_id AND w.i = l.i LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.n = w.n),
+  SELECT l.doc_id, l.i, l.line, w.n IS NOT NULL AS has_word, g.n IS NOT NULL AS removed, r.n IS NOT NULL AS in_run
+  FROM lines l LEFT JOIN worded w ON w.doc_id = l.doc_id AND w.i = l.i LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.n = w.n LEFT JOIN runs r ON r.doc_id = w.doc_id AND r.n = w.n),
 kept AS (
-  SELECT doc_id, count(*) FILTER (WHERE has_word) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed,
+  SELECT doc_id, count(*) FILTER (WHERE has_word) AS n_lines, count(*) FILTER (WHERE removed) AS n_removed, count(*) FILTER (WHERE in_run) AS n_in_runs,
          coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT removed), '') AS body
   FROM marked GROUP BY doc_id)
 SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed,
-       sha256(coalesce(k.body, '')) AS kept_sha256
+       coalesce(k.n_in_runs, 0) AS n_in_runs, coalesce(k.n_removed - k.n_in_runs, 0) AS n_alone, sha256(coalesce(k.body, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 

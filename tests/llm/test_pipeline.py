@@ -66,7 +66,7 @@ def test_stages(spark, folder, tmp_path):
             assert {key(r) for r in after} <= {key(r) for r in before}
         if k == 1:
             tkeys = {r.text: r.h for r in spark.createDataFrame(before, docs.schema).selectExpr("text", "xxhash64(text) h").collect()}
-            want = [(d, t) for d, n, gone, t in op8.brute([(r.doc_id, tkeys[r.text], r.text) for r in before], lines.WINDOW) if not gone or gone < n]
+            want = [(d, t) for d, n, gone, t in op8.brute([(r.doc_id, tkeys[r.text], r.text) for r in before], 1) if not gone or gone < n]
             assert sorted([(r.doc_id, r.text) for r in after], key=repr) == sorted(want, key=repr)
         if k == 2:
             assert sorted(map(key, after)) == sorted(map(key, one_of_each_group(before)))
