@@ -21,7 +21,7 @@ if TYPE_CHECKING:
 
 #: Code points of a gram; shorter searches scan.
 GRAM = 3
-BUCKETS = {"ids": 16, "grams": 64}
+BUCKETS = {"ids": 8, "grams": 32}
 #: Bytes of entities for each file of a bucket.
 FILE_BYTES = 1 << 30
 #: Bytes of entities for each task that writes an index.
