@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.operators.lineage import written
 from cartulary.operators.resolve import resolve_facts
 
 
@@ -26,7 +27,7 @@ def membership_edges(memberships: DataFrame, products: DataFrame, declared: Data
     its lineage and label.  Declared edges (kind, from_id, to_id, lineage)
     stand for equal derived ones.
     """
-    by_code = products.where("code is not null").groupBy(F.col("code").alias("label")).agg(F.min("product_id").alias("known"))
+    by_code = written(products.where("code is not null").groupBy(F.col("code").alias("label")).agg(F.min("product_id").alias("known")))  # so that Spark can split a hot label
     rows = memberships.join(by_code, "label", "left")
     product = F.coalesce("known", F.concat(F.lit("product_"), F.sha2("label", 256)))
     context = F.concat(F.lit("context_"), F.sha2(F.concat_ws("\x1f", "lineage", "label"), 256))
@@ -40,7 +41,7 @@ def shared_artwork(cards: DataFrame) -> DataFrame:
 
     cards: card_id, game, category, artwork.
     """
-    others = cards.where("category <> 'art' and artwork is not null").groupBy("game", "artwork").agg(F.count("*").alias("n"), F.min("card_id").alias("other"))
+    others = written(cards.where("category <> 'art' and artwork is not null").groupBy("game", "artwork").agg(F.count("*").alias("n"), F.min("card_id").alias("other")))
     rows = cards.where("category = 'art'").join(others, ["game", "artwork"], "left")
     n = F.coalesce("n", F.lit(0))
     return rows.select("card_id", F.when(n == 1, F.col("other")).alias("related_id"), F.when(n == 1, "related").when(n == 0, "unrelated").otherwise("ambiguous").alias("outcome"))

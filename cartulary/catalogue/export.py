@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from cartulary.functions.canon import canonical, canonical_json
 from cartulary.operators import ordered
+from cartulary.operators.lineage import written
 
 # Bounds of a record, a component and an export.
 MOST_RECORD = 512 << 10
 MOST_COMPONENT = 12 << 20
 MOST_EXPORT = 24 << 20
+#: Bytes of a range of keys that is ordered by one task.
+PART_BYTES = 64 << 20
 
 
 def lines(records: DataFrame, kind: str, key: str) -> DataFrame:
@@ -28,13 +31,22 @@ def lines(records: DataFrame, kind: str, key: str) -> DataFrame:
     return rows.withColumn("line", F.when(F.col("bytes") <= MOST_RECORD, F.col("line")).otherwise(over))
 
 
-def components(rows: DataFrame, most: int = MOST_COMPONENT) -> DataFrame:
+def components(rows: DataFrame, most: int = MOST_COMPONENT, part_bytes: int = PART_BYTES) -> DataFrame:
     """lines with component: consecutive keys of a kind, each component below its bound.
 
-    A kind is within the export's bound, so its keys fit the window that sums them.
+    Bytes are summed by ranges of keys, and the ranges' sums, a row each, carried
+    on; so no task orders more than a range, and the components don't depend on
+    where the ranges end.
     """
-    w = W.partitionBy("kind").orderBy("key").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("component", F.concat_ws("-", "kind", F.floor((F.sum("bytes").over(w) - 1) / most).cast("string")))
+    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    dealt = rows.repartitionByRange(1 + total // part_bytes, "kind", "key")
+    ranged = written(dealt.withColumn("__part", F.spark_partition_id()))
+    parts = ranged.groupBy("kind", "__part").agg(F.sum("bytes").alias("__size"))
+    before = W.partitionBy("kind").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = written(parts.select("kind", "__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start")))
+    inner = W.partitionBy("kind", "__part").orderBy("key", "line").rowsBetween(W.unboundedPreceding, 0)
+    placed = ranged.join(starts, ["kind", "__part"]).withColumn("__end", F.col("__start") + F.sum("bytes").over(inner))
+    return placed.select(*rows.columns, F.concat_ws("-", "kind", F.floor((F.col("__end") - 1) / most).cast("string")).alias("component"))
 
 
 def manifest(rows: DataFrame) -> DataFrame:
@@ -52,9 +64,9 @@ def manifest(rows: DataFrame) -> DataFrame:
 
 def write(rows: DataFrame, path: str, revision: str, most: int = MOST_EXPORT) -> dict[str, Any]:
     """Write the components as gzip lines, one folder each, and the manifest; returns it."""
-    entries = [r.asDict() for r in manifest(rows).orderBy("component").collect()]
-    if sum(e["n_bytes"] for e in entries) > most:
+    if (rows.agg(F.sum("bytes")).first()[0] or 0) > most:  # before anything is digested
         raise ValueError("the export is over its bound")
+    entries = [r.asDict() for r in manifest(rows).orderBy("component").collect()]
     shaped = rows.repartition("component").sortWithinPartitions("component", "key").select("component", F.col("line").alias("value"))
     shaped.write.partitionBy("component").option("compression", "gzip").text(f"{path}/components")
     made = {"revision": revision, "components": entries, "digest": ""}

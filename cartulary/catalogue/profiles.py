@@ -11,14 +11,17 @@ A schema is a nested dictionary: {"kind": "string"}, "integer" (with "minimum",
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.functions.canon import canonical
 
+#: Levels of nested records.
+MOST_DEPTH = 8
 RESULT = "value string, warnings array<string>, diagnostics array<string>"
 
 
@@ -129,25 +132,30 @@ def attribute_filter(schema: dict, attribute: str, raw: str, attributes: Column)
     return F.array_contains(F.from_json(found, "array<string>"), literal) if at["kind"] == "array" else F.coalesce(found == F.lit(literal), F.lit(False))
 
 
-def leaves(attributes: Column, indexes: bool = False) -> Column:
-    """array<struct<attribute, value>>: the distinct scalar leaves, by dotted path; arrays without indexes unless asked for."""
-
-    @F.pandas_udf("array<struct<attribute:string,value:string>>")
-    def run(texts: pd.Series) -> pd.Series:
-        def walk(x: Any, path: str, out: set) -> set:
-            if isinstance(x, dict):
-                for k, v in x.items():
-                    walk(v, f"{path}.{k}" if path else k, out)
-            elif isinstance(x, list):
-                for i, v in enumerate(x):
-                    walk(v, f"{path}[{i}]" if indexes else path, out)
-            else:
-                out.add((path, json.dumps(x, ensure_ascii=False)))
-            return out
-
-        return texts.map(lambda t: [] if t is None else [{"attribute": a, "value": v} for a, v in sorted(walk(json.loads(t), "", set()))])
-
-    return run(attributes)
+def leaves(df: DataFrame, keep: Sequence[str], attributes: str, indexes: bool = False, depth: int = MOST_DEPTH) -> DataFrame:
+    """keep, attribute, value: the distinct scalar leaves of the JSON records, by dotted path; arrays without indexes unless asked for.
+
+    A value is the JSON text of the leaf.  The records are parsed once, to
+    VARIANT; each level is opened by Spark's own functions, scalars staying as
+    they are, so the plan is as long as `depth` and holds no Python.  Fails on a
+    record that is nested deeper, and on what is no JSON.  Null records, empty
+    objects and empty arrays have no leaves.
+    """
+
+    def below(path: Column, v: Column) -> Column:
+        """The children of an object or an array, else the value itself."""
+        dotted = lambda k: F.when(path == "", k).otherwise(F.concat(path, F.lit("."), k))
+        numbered = lambda i: F.concat(path, F.lit("["), i.cast("string"), F.lit("]")) if indexes else path
+        fields = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(dotted(e["key"]).alias("attribute"), e["value"].alias("leaf")))
+        members = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.struct(numbered(i).alias("attribute"), x.alias("leaf")))
+        return F.coalesce(fields, members, F.array(F.struct(path.alias("attribute"), v.alias("leaf"))))
+
+    rows = df.where(F.col(attributes).isNotNull()).select(*keep, F.lit("").alias("attribute"), F.parse_json(attributes).alias("leaf"))
+    for _ in range(depth):
+        rows = rows.select(*keep, F.explode(below(F.col("attribute"), F.col("leaf"))).alias("at")).select(*keep, "at.*")
+    nested = F.schema_of_variant("leaf").rlike("^(OBJECT|ARRAY)<")
+    deep = F.raise_error(F.concat(F.lit("a record is nested too deep at "), F.col("attribute"))).cast("string")
+    return rows.select(*keep, "attribute", F.when(nested, deep).otherwise(F.to_json("leaf")).alias("value")).distinct()
 
 
 # Keys of records that consumers are not shown.

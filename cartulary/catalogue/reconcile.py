@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from cartulary.functions.canon import formatting_form
 from cartulary.operators.graph import reachable
 from cartulary.operators.identity import follow
+from cartulary.operators.lineage import written
 
 #: Fields that make two printings compatible, nulls alike.
 COMPATIBLE = ("card_id", "artwork", "printed_digest", "rarity", "treatment")
@@ -124,7 +126,7 @@ def published_conflicts(candidates: DataFrame, published: DataFrame, authorities
     Nothing conflicts with a card that is not published, that no authority
     stands behind now, or whose only authority is the candidate's own lineage.
     """
-    now = authorities.groupBy("card_id").agg(F.min("lineage").alias("__lo"), F.max("lineage").alias("__hi"))
+    now = written(authorities.groupBy("card_id").agg(F.min("lineage").alias("__lo"), F.max("lineage").alias("__hi")))  # so that Spark can split a hot card's candidates
     rows = candidates.join(published.select("card_id", F.col("facts").alias("__facts")), "card_id", "left").join(now, "card_id", "left")
     differs = formatting_form(F.col("facts")) != formatting_form(F.col("__facts"))
     others = F.col("__lo").isNotNull() & ~((F.col("__lo") == F.col("lineage")) & (F.col("__hi") == F.col("lineage")))
@@ -137,22 +139,67 @@ def resolve_cards(observations: DataFrame, admissions: DataFrame, published: Dat
     observations: observation_id, game, kind, value; published: game, kind, value, card_id.
     """
     keys = ["game", "kind", "value"]
-    known = published.groupBy(*keys).agg(F.min("card_id").alias("known_id"))
+    known = written(published.groupBy(*keys).agg(F.min("card_id").alias("known_id")))
     rows = observations.join(admissions.select("observation_id", F.col("card_id").alias("admitted_id")), "observation_id", "left").join(known, keys, "left")
     new = F.concat(F.lit("card_"), F.sha2(F.concat_ws("\x1f", *keys), 256))
     how = F.when(F.col("admitted_id").isNotNull(), "admission").when(F.col("known_id").isNotNull(), "published").otherwise("allocated")
     return rows.select("observation_id", F.coalesce("admitted_id", "known_id", new).alias("card_id"), how.alias("how"))
 
 
+def resolve_with_proof(observations: DataFrame, admissions: DataFrame, published: DataFrame, proofs: DataFrame, reviews: DataFrame) -> DataFrame:
+    """observation_id, card_id, how, diagnostic.
+
+    observations: observation_id, game, kind, value (null without an official
+    number), facts (a digest), lineage, design.  admissions, reviews:
+    observation_id, card_id.  published: card_id, game, kind, value, facts.
+    proofs: observation_id, card_id: a printing of the card stands at the
+    observation's locator or is compatible with it.
+
+    In this order: an admission, the published identity, the same identity in
+    this run (same_run, the first one allocates), and without a number: equal
+    facts of one published card without a number that a printing proves, a
+    review, unproven (equal facts alone are candidates: the first one is named,
+    with a diagnostic), and a new card for each design.
+    """
+    keys = ["game", "kind", "value"]
+    known = written(published.where("kind is not null").groupBy(*keys).agg(F.min("card_id").alias("known_id")))
+    equal = written(published.where("kind is null").groupBy("game", "facts").agg(F.min("card_id").alias("equal_id")))
+    # A proof is a row of its own, so only the cards that it names are met, not all of equal facts.
+    named = proofs.select("observation_id", "card_id").distinct().join(published.where("kind is null").select("card_id", F.col("game").alias("g"), F.col("facts").alias("f")), "card_id")
+    rows = observations.withColumn("numbered", F.col("kind").isNotNull() & F.col("value").isNotNull())
+    proven = named.join(rows.where(~F.col("numbered")).select("observation_id", "game", "facts"), "observation_id").where("g = game and f = facts")
+    proven = written(proven.groupBy("observation_id").agg(F.min("card_id").alias("lo"), F.max("card_id").alias("hi")))
+    first = written(rows.where("numbered").groupBy(*keys).agg(F.min("observation_id").alias("first_id")))
+    rows = rows.join(admissions.select("observation_id", F.col("card_id").alias("admitted_id")), "observation_id", "left")
+    rows = rows.join(reviews.select("observation_id", F.col("card_id").alias("review_id")), "observation_id", "left").join(proven, "observation_id", "left")
+    rows = rows.join(known, keys, "left").join(first, keys, "left").join(equal, ["game", "facts"], "left")
+    number = F.concat(F.lit("card_"), F.sha2(F.concat_ws("\x1f", *keys), 256))
+    design = F.concat(F.lit("card_"), F.sha2(F.concat_ws("\x1f", "game", "lineage", "design"), 256))
+    how = (
+        F.when(F.col("admitted_id").isNotNull(), "admission")
+        .when(F.col("numbered") & F.col("known_id").isNotNull(), "published")
+        .when(F.col("numbered") & (F.col("first_id") != F.col("observation_id")), "same_run")
+        .when(F.col("numbered"), "allocated")
+        .when(F.col("lo") == F.col("hi"), "equal_facts")
+        .when(F.col("equal_id").isNotNull() & F.col("review_id").isNotNull(), "reviewed")
+        .when(F.col("equal_id").isNotNull(), "unproven")
+        .otherwise("allocated")
+    )
+    rows = rows.withColumn("how", how)
+    card = F.when(F.col("how") == "admission", F.col("admitted_id")).when(F.col("how") == "published", F.col("known_id")).when(F.col("numbered"), number)
+    card = card.when(F.col("how") == "equal_facts", F.col("lo")).when(F.col("how") == "reviewed", F.col("review_id")).when(F.col("how") == "unproven", F.col("equal_id")).otherwise(design)
+    return rows.select("observation_id", card.alias("card_id"), "how", F.when(F.col("how") == "unproven", "canonical_card_conflict").alias("diagnostic"))
+
+
 def identify_products(observed: DataFrame, prior: DataFrame) -> DataFrame:
     """key, product_id, how: the prior product with the code, else with the name where one side has no code; two of them conflict.
 
     observed: key, code, name; prior: product_id, code, name.  Names compare in lower case, trimmed.
     """
     named = F.lower(F.trim("name"))
-    by_code = prior.where("code is not null").groupBy("code").agg(F.count("*").alias("code_n"), F.min("product_id").alias("code_id"))
+    by_code = written(prior.where("code is not null").groupBy("code").agg(F.count("*").alias("code_n"), F.min("product_id").alias("code_id")))
     p = prior.select("product_id", "code", named.alias("norm"))
-    by_name = p.groupBy("norm").agg(F.count("*").alias("all_n"), F.min("product_id").alias("all_id"), F.count_if(F.col("code").isNull()).alias("bare_n"), F.min(F.when(F.col("code").isNull(), F.col("product_id"))).alias("bare_id"))
+    by_name = written(p.groupBy("norm").agg(F.count("*").alias("all_n"), F.min("product_id").alias("all_id"), F.count_if(F.col("code").isNull()).alias("bare_n"), F.min(F.when(F.col("code").isNull(), F.col("product_id"))).alias("bare_id")))
     rows = observed.withColumn("norm", named).join(by_code, "code", "left").join(by_name, "norm", "left")
     # A named match needs a code missing on one side: all of that name without a code here, else the bare ones.
     n = F.coalesce(F.when(F.col("code").isNull(), F.col("all_n")).otherwise(F.col("bare_n")), F.lit(0))
@@ -271,8 +318,29 @@ def retained(objects: DataFrame, key: str, context: DataFrame, child: str, paren
 
 
 def text_parts(df: DataFrame, key: str, text: str, length: int = 32_768) -> DataFrame:
-    """key, ordinal, part of texts longer than length code points; joined in order they are the text."""
-    long = df.where(F.char_length(text) > length)
-    n = F.ceil(F.char_length(text) / length)
-    rows = long.select(key, text, F.explode(F.sequence(F.lit(0).cast("bigint"), (n - 1).cast("bigint"))).alias("ordinal"))
-    return rows.select(key, "ordinal", F.substring(text, (F.col("ordinal") * length + 1).cast("int"), F.lit(length)).alias("part"))
+    """key, ordinal, part of texts longer than length UTF-16 units; joined in order they are the text.
+
+    A part has length units, or one less where a pair of surrogates would be
+    parted.  The text is cut in one pass.
+    """
+    units = F.octet_length(F.encode(text, "UTF-16BE")) / 2
+    # A unit of the pattern is a code point: those beyond the first plane are two units.
+    simple = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{length}}}"), F.lit(0))
+    plain = ~F.col(text).rlike(r"[\x{10000}-\x{10FFFF}]")
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[str]:
+            raw, at, out = (t or "").encode("utf-16-be"), 0, []
+            while at < len(raw):
+                end = min(at + 2 * length, len(raw))
+                if end < len(raw) and 0xD8 <= raw[end - 2] <= 0xDB:  # a pair's first half
+                    end -= 2
+                out.append(raw[at:end].decode("utf-16-be"))
+                at = end
+            return out
+
+        return texts.map(one)
+
+    long = df.where(units > length).select(key, text)
+    return long.select(key, F.posexplode(F.when(plain, simple).otherwise(cut(F.when(~plain, F.col(text))))).alias("ordinal", "part")).withColumn("ordinal", F.col("ordinal").cast("bigint"))

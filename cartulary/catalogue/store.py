@@ -269,8 +269,8 @@ class Snapshot:
 
     def attribute_values(self, game: str) -> DataFrame:
         """attribute, value, n_cards of a game's cards: what filters may ask for."""
-        rows = self.entities("cards", game).select("id", F.explode(leaves(F.col("attributes"))).alias("leaf"))
-        return rows.groupBy("leaf.attribute", "leaf.value").agg(F.count("*").alias("n_cards"))
+        rows = leaves(self.entities("cards", game), ["id"], "attributes")
+        return rows.groupBy("attribute", "value").agg(F.count("*").alias("n_cards"))
 
 
 class Query:

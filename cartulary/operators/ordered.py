@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], begin: Callable[[], Any], step: Callable[..., Any], end: Callable[[Any], tuple], made: str) -> DataFrame:
-    """The columns keys and made of each key: end of the state after step(state, *values) for its records by order.
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], begin: Callable[[], Any], step: Callable[..., tuple[Any, list[tuple]]], end: Callable[[Any], list[tuple]], made: str) -> DataFrame:
+    """The columns keys and made: whatever rows step(state, *values) gives beside the next state, for a key's records by order, and at last end of its state.
 
     Spark's sort, which spills, brings a key's records one after the other; of
     them only a batch and the state are held, however many a key has.  Nulls are
@@ -36,16 +36,22 @@ def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Seque
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:n] != now:
                     if now is not None:
-                        done.append((*now, *end(state)))
+                        done += [(*now, *x) for x in end(state)]
                     now, state = row[:n], begin()
-                state = step(state, *row[n:])
+                state, out = step(state, *row[n:])
+                done += [(*now, *x) for x in out]
             if done:
                 yield rows(done)
-        if now is not None:
-            yield rows([(*now, *end(state))])
+        if now is not None and (last := [(*now, *x) for x in end(state)]):
+            yield rows(last)
 
     # Named apart, as keys, order and values may share columns.
     cols = [*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], *[F.col(c).alias(f"v{i}") for i, c in enumerate(values)], *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]]
     ks, vs, os = ([f"{p}{i}" for i in range(len(x))] for p, x in (("k", keys), ("v", values), ("o", order)))
     dealt = df.select(*cols).repartition(*ks).sortWithinPartitions(*ks, *os, *vs).select(*ks, *vs)
     return dealt.mapInArrow(run, T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in keys], *fields]))
+
+
+def fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], begin: Callable[[], Any], step: Callable[..., Any], end: Callable[[Any], tuple], made: str) -> DataFrame:
+    """The columns keys and made of each key: end of the state after step(state, *values) for its records by order; see scan."""
+    return scan(df, keys, order, values, begin, lambda state, *x: (step(state, *x), []), lambda state: [end(state)], made)

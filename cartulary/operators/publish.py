@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.operators import ordered
+
 
 def diff(before: DataFrame, after: DataFrame, keys: Sequence[str], semantic: Sequence[str], evidence: Sequence[str] = ()) -> DataFrame:
     """keys and change: added, removed, carry_forward, evidence_only or changed."""
@@ -32,13 +35,18 @@ def set_digest(df: DataFrame, group: Sequence[str], order: str, line: Column, bl
     """The digest of each group's lines in order of the integer `order`, and their number.
 
     Lines are digested in blocks of `block` consecutive orders, and the blocks'
-    digests in order after that: no group is gathered, only its digests.
+    digests are folded in order after that: neither a group nor the list of its
+    digests is gathered.
     """
     at = df.select(*group, F.floor(F.col(order) / block).alias("__block"), F.col(order).alias("__o"), line.alias("__line"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__o", "__line"))), lambda x: x["__line"]), "\n")
     blocks = at.groupBy(*group, "__block").agg(F.sha2(text, 256).alias("__d"), F.count("*").alias("__n"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__block", "__d"))), lambda x: x["__d"]), "\n")
-    return blocks.groupBy(*group).agg(F.sum("__n").alias("n_rows"), F.sha2(whole, 256).alias("digest"))
+
+    def step(state, digest, n):
+        state[0].update(f"\n{digest}".encode() if state[1] else digest.encode())
+        return state[0], state[1] + n
+
+    return ordered.fold(blocks, group, ["__block"], ["__d", "__n"], lambda: (hashlib.sha256(), 0), step, lambda s: (s[1], s[0].hexdigest()), "n_rows bigint, digest string")
 
 
 def replace_group(composition: DataFrame, fresh: DataFrame, group: str) -> DataFrame:

@@ -178,7 +178,7 @@ def test_attribute_filters_and_leaves(spark):
     for k, v in (("category", "other"), ("nothing", "x"), ("category", "null"), ("rules", "x")):
         with pytest.raises(ValueError):
             profiles.attribute_filter(PROFILE, k, v, F.col("a"))
-    got = df.select("id", F.explode(profiles.leaves(F.col("a"))).alias("l")).select("id", "l.*").collect()
+    got = profiles.leaves(df, ["id"], "a").collect()
     assert {(r.id, r.attribute, r.value) for r in got} == {(1, "category", '"unit"'), (1, "power", "3"), (1, "tags", '"a"'), (1, "tags", '"b"'), (1, "rules.text", '"x"'), (2, "category", '"trick"'), (2, "power", "null")}
     record = '{"id":1,"evidence":[1],"sub":{"confidence":2,"k":3},"game_data":{"confidence":4}}'
     assert spark.createDataFrame([(record,)], "r string").select(profiles.consumer_content(F.col("r"))).first()[0] == '{"game_data":{"confidence":4},"id":1,"sub":{"k":3}}'
