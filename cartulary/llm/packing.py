@@ -41,7 +41,9 @@ HASHED = 256
 CACHE_WORDS = 300_000
 OUT_TOKENS = 1 << 20
 #: Bytes of ids in a partition of the curve, about.
-PARTITION_BYTES = 8 << 20
+PARTITION_BYTES = 32 << 20
+#: Partitions of the curve at most; beyond, they grow (a task packs its rows as they stream by).
+MOST_PARTITIONS = 20_000
 
 _SPACES = re.compile(r"\s\s|^\s|\s$")
 
@@ -251,7 +253,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id",
     if length & (length - 1) or not 0 < length:
         raise ValueError("length must be a power of two")
     keyed, size = with_keys(cut(tokenise(docs, [doc_id], vocabulary, pattern, text)))
-    parts = 1 + size // PARTITION_BYTES
+    parts = min(MOST_PARTITIONS, 1 + size // PARTITION_BYTES)
     # Rows that share an id are told apart by their ids of tokens, so a task that runs again packs them as before.
     ranged = keyed.select(doc_id, "ids", "key").repartitionByRange(parts, "key", doc_id).sortWithinPartitions("key", doc_id, F.xxhash64("ids"))
     kind = docs.schema[doc_id].dataType.simpleString()
