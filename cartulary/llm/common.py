@@ -8,7 +8,6 @@ its own.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -20,25 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartulary.operators.lineage import checkpoint_dir as ensure_checkpoint_dir
+
 SLICE_BYTES = 2 << 20
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Edges to a partition while components are sought.
 EDGES_PER_PARTITION = 200_000
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names; one of our own only where a local session names none."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="cartulary-checkpoint-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder and forget its lineage.
 

@@ -1,7 +1,6 @@
 """The pipeline against the same decisions by loops, over a folder of awkward documents."""
 
 import hashlib
-import importlib.util
 
 import pytest
 
@@ -86,6 +85,15 @@ def test_words_of_items():
     assert contamination.words_of(ITEM.upper().encode()) == ITEM.encode().split()
 
 
-def test_the_rest_does_not_need_it():
-    source = importlib.util.find_spec("__spark_entry__").loader.get_source("__spark_entry__")
-    assert "ModuleNotFoundError" in source
+@pytest.mark.parametrize("number", range(5))
+def test_stages_take_empty_tables_and_rows_without_ids_or_texts(spark, tmp_path, number):
+    from tests.llm.conftest import SCHEMA
+
+    spark.createDataFrame([("i", None), ("j", "one two three four five six seven eight nine ten")], "item_id string, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = corpus_pipeline.STAGES[number][1]
+    empty = spark.createDataFrame([], SCHEMA)
+    assert stage(spark, empty, str(tmp_path)).count() == 0
+    bare = spark.createDataFrame([(None,) * 9, (None, "", *(None,) * 7), (5, None, *(None,) * 7)], SCHEMA)
+    got = stage(spark, bare, str(tmp_path))
+    assert got.count() == [0, 3, 1, 3, 3][number]
+    assert number == 4 or got.columns == bare.columns
