@@ -17,7 +17,7 @@ import hashlib
 import json
 import time
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from datetime import UTC, datetime
 from typing import Any
 
@@ -76,6 +76,15 @@ class Files:
             stream.close()
         return True
 
+    def write(self, name: str, pieces: Iterable[bytes]) -> None:
+        """A file of pieces, one after the other; what was there is replaced."""
+        stream = self.fs.create(self._path(name), True)
+        try:
+            for p in pieces:
+                stream.write(bytearray(p))
+        finally:
+            stream.close()
+
     def size(self, name: str) -> int:
         """Bytes of a folder's files."""
         return self.fs.getContentSummary(self._path(name)).getLength()

@@ -39,3 +39,24 @@ def ancestors(parents: DataFrame, child: str, parent: str, depth: int) -> DataFr
         level = level.join(edges.select(F.col("c").alias("ancestor"), F.col("p").alias("next")), "ancestor").select("c", F.col("next").alias("ancestor"))
         out = out.unionAll(level.withColumn("distance", F.lit(d)))
     return out.withColumnRenamed("c", child)
+
+
+def line(heads: DataFrame, parents: DataFrame, child: str, parent: str) -> DataFrame:
+    """head, node, distance: each of heads (their first column) and all that is behind it; fails on a cycle.
+
+    parents: one parent for each child.  Both what is known of each line and the
+    pointers double with each round, so n steps take log n rounds.
+    """
+    jump = written(parents.where(F.col(parent).isNotNull()).select(F.col(child).alias("a"), F.col(parent).alias("b")))
+    seen = written(heads.select(F.col(heads.columns[0]).alias("head")).where("head is not null").distinct().select("head", F.col("head").alias("node"), F.lit(0).cast("bigint").alias("distance")))
+    step = 1
+    while True:
+        more = written(seen.join(jump, F.col("node") == F.col("a")).select("head", F.col("b").alias("node"), (F.col("distance") + step).alias("distance")))
+        if more.isEmpty():
+            return seen
+        seen = written(seen.unionAll(more))
+        if not seen.groupBy("head", "node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            raise ValueError("a line of predecessors has a cycle")
+        further = jump.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        jump = written(jump.join(further, "b").select("a", F.col("c").alias("b")))
+        step *= 2

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.operators import ordered
+from cartulary.operators.lineage import written
 
 
 def diff(before: DataFrame, after: DataFrame, keys: Sequence[str], semantic: Sequence[str], evidence: Sequence[str] = ()) -> DataFrame:
@@ -78,3 +79,31 @@ def coverage_change(before: DataFrame, after: DataFrame, key: str, count: str) -
     rows = rows.withColumn("threshold", F.greatest(F.lit(25), F.ceil(F.col("previous") * 2 / 10)).cast("bigint"))
     lost = F.col("previous") - F.col("current")
     return rows.withColumn("verdict", F.when(lost >= F.col("threshold"), "blocked").when(-lost >= F.col("threshold"), "warned").otherwise("accepted"))
+
+
+def extend_history(prior: DataFrame, now: DataFrame, keys: Sequence[str], fact: str, revision: int) -> DataFrame:
+    """keys, fact, first_revision, last_revision, current, missing: the spans of prior with those of one more revision.
+
+    prior: the same columns, in which an entity has one current span for each
+    fact that holds.  now: keys and fact, what holds in `revision`.  A fact that
+    still holds goes on; one that doesn't ends; one that holds (again) begins a
+    span.  An entity of which nothing holds any more has a missing span, without
+    a fact, which goes on until something does.
+    """
+    held = now.select(*keys, fact).where(F.col(fact).isNotNull()).distinct()
+    present = written(held.select(*keys).distinct())
+    at = F.lit(revision).cast("bigint")
+    open_ = prior.where("current and not missing").join(held, [*keys, fact], "left_semi").select(*keys, fact)
+    open_ = written(open_.withColumn("__goes", F.lit(True)))
+    spans = prior.where("not missing").join(open_, [*keys, fact], "left")
+    goes = F.col("current") & F.coalesce("__goes", F.lit(False))
+    spans = spans.select(*keys, fact, "first_revision", F.when(goes, at).otherwise(F.col("last_revision")).alias("last_revision"), goes.alias("current"), "missing")
+    begun = held.join(open_, [*keys, fact], "left_anti").select(*keys, fact, at.alias("first_revision"), at.alias("last_revision"), F.lit(True).alias("current"), F.lit(False).alias("missing"))
+    absent = prior.select(*keys).distinct().join(present, list(keys), "left_anti").withColumn("__absent", F.lit(True))
+    absent = written(absent)
+    gaps = prior.where("missing").join(absent, list(keys), "left")
+    still = F.col("current") & F.coalesce("__absent", F.lit(False))
+    gaps = gaps.select(*keys, fact, "first_revision", F.when(still, at).otherwise(F.col("last_revision")).alias("last_revision"), still.alias("current"), "missing")
+    none = F.lit(None).cast(prior.schema[fact].dataType).alias(fact)
+    new = absent.select(*keys).join(prior.where("missing and current"), list(keys), "left_anti").select(*keys, none, at.alias("first_revision"), at.alias("last_revision"), F.lit(True).alias("current"), F.lit(True).alias("missing"))
+    return spans.unionByName(begun).unionByName(gaps).unionByName(new)

@@ -225,3 +225,36 @@ def q_observation_windows(t: Tables) -> DataFrame:
 def q_observed_once(t: Tables) -> DataFrame:
     keys = ["user_id", "event_type", "props"]
     return observations.once_each(t.events, keys, "ts", "1 hour").select(*keys)
+
+
+@named("""
+WITH r AS (
+  SELECT o_orderkey AS request_id, o_orderstatus AS lineage, 'u' || (o_custkey % 90) AS url, 'v' || (o_orderkey % 2) AS adapter, 'f' || (o_orderkey % 3) AS fp, CASE WHEN o_orderkey % 7 = 0 THEN ['Accept', 'Origin'] ELSE ['Accept'] END AS sent FROM orders WHERE o_orderkey % 4 <> 0),
+s AS (
+  SELECT c_custkey AS snapshot_id, ['F', 'O', 'P'][c_custkey % 3 + 1] AS lineage, 'u' || (c_custkey % 90) AS url, 'v' || (c_custkey % 2) AS adapter, 'f' || (c_nationkey % 3) AS fp, c_acctbal AS captured_at,
+    CASE c_custkey % 6 WHEN 0 THEN ['*'] WHEN 1 THEN ['Origin'] WHEN 2 THEN ['accept', 'User-Agent'] WHEN 3 THEN ['Accept-Encoding'] WHEN 4 THEN NULL ELSE CAST([] AS VARCHAR[]) END AS vary, c_custkey % 10 = 1 AS sent_origin FROM customer),
+j AS (SELECT r.request_id, s.snapshot_id, s.captured_at FROM r JOIN s ON s.lineage = r.lineage AND s.url = r.url AND s.adapter = r.adapter AND s.fp = r.fp
+  WHERE s.snapshot_id % 6 IN (2, 5) OR (s.snapshot_id % 6 = 1 AND NOT s.sent_origin AND NOT list_contains(r.sent, 'Origin')))
+SELECT request_id, max_by(snapshot_id, (captured_at, snapshot_id)) AS snapshot_id FROM j GROUP BY 1
+""")
+def q_reused_captures(t: Tables) -> DataFrame:
+    """Orders as requests of images, customers as retained captures that varied on headers."""
+    o, c = F.col("o_orderkey"), F.col("c_custkey")
+    name = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    headers = lambda origin: F.when(origin, F.create_map(F.lit("Accept"), F.lit("x"), F.lit("Origin"), F.lit("y"))).otherwise(F.create_map(F.lit("Accept"), F.lit("x")))
+    requests = t.orders.select(o.alias("request_id"), F.when(o % 4 == 0, "detail").otherwise("image").alias("role"), F.col("o_orderstatus").alias("lineage"), name("u", F.col("o_custkey") % 90).alias("url"), name("v", o % 2).alias("adapter"), name("f", o % 3).alias("fingerprint"), headers(o % 7 == 0).alias("headers"))
+    words = lambda *xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    vary = F.when(c % 6 == 0, words("*")).when(c % 6 == 1, words("Origin")).when(c % 6 == 2, words("accept", "User-Agent")).when(c % 6 == 3, words("Accept-Encoding")).when(c % 6 == 5, words())
+    lineage = F.element_at(words("F", "O", "P"), (c % 3 + 1).cast("int"))
+    snapshots = t.customer.select(c.alias("snapshot_id"), lineage.alias("lineage"), name("u", c % 90).alias("url"), name("v", c % 2).alias("adapter"), name("f", F.col("c_nationkey") % 3).alias("fingerprint"), headers(c % 10 == 1).alias("headers"), vary.alias("vary"), F.col("c_acctbal").alias("captured_at"))
+    return archives.reusable(requests, snapshots)
+
+
+@named("""
+SELECT p_partkey, CASE WHEN strlen(p_name) + 2 * d + 19 > 40 THEN 'too_long' WHEN 6 + 2 * d > 16 THEN 'too_many_tokens' WHEN d + 1 > 4 THEN 'too_deep' END AS fault FROM (SELECT p_partkey, p_name, p_partkey % 7 AS d FROM part)
+""")
+def q_container_faults(t: Tables) -> DataFrame:
+    """Pages of parts, nested up to seven levels, with brackets in their texts, within bounds of bytes, tokens and depth."""
+    d = (F.col("p_partkey") % 7).cast("int")
+    page = F.concat(F.lit('{"n":"'), "p_name", F.lit('}\\\\","d":'), F.repeat(F.lit("["), d), F.lit("1,2"), F.repeat(F.lit("]"), d), F.lit("}"))
+    return t.part.select("p_partkey", archives.container_fault(page, 40, 4, 16).alias("fault"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.operators.keyset import prefix_sum
+from cartulary.operators.lineage import written
 
 # Limits of an archive.
 MOST_RECORD_BYTES = 128 << 10
@@ -71,3 +72,44 @@ def per_finish(records: DataFrame, record: str, keep: Sequence[str], excluded_la
 def changed_only(captures: DataFrame, known: DataFrame, digest: str) -> DataFrame:
     """The captures whose bytes are not known yet."""
     return captures.join(known.select(digest).distinct(), digest, "left_anti")
+
+
+# Request headers that a request's fingerprint binds, and those that are sent without being named.
+REPRESENTED_HEADERS = ("accept", "accept-language", "user-agent")
+IMPLICIT_HEADERS = ("accept-encoding",)
+
+
+def reusable(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """request_id, snapshot_id: the last retained image that may stand for each request, so that it needs no call.
+
+    requests: request_id, role, lineage, url, adapter, fingerprint, headers (a
+    map).  snapshots: snapshot_id, lineage, url, adapter, fingerprint, headers of
+    its request, vary (the names that its response varied on), captured_at.  All
+    of a snapshot's keys must be the request's.  Each name of vary must be one
+    that the fingerprint binds, or be absent from both requests and none that is
+    sent unnamed; `*` and an unknown (null) vary never fit.
+    """
+    keys = ["lineage", "url", "adapter", "fingerprint"]
+    names = lambda c: F.transform(F.map_keys(F.coalesce(c, F.create_map().cast("map<string,string>"))), F.lower)
+    free = F.filter(F.transform("vary", F.lower), lambda n: ~n.isin(*REPRESENTED_HEADERS))
+    kept = snapshots.withColumn("__free", free).where("vary is not null").where(~F.exists("__free", lambda n: n.isin("*", *IMPLICIT_HEADERS)))
+    kept = kept.where(~F.arrays_overlap("__free", names(F.col("headers"))))
+    # What is left of a snapshot is which names a request must not send: the last one of each such set is enough.
+    last = kept.groupBy(*keys, F.array_sort(F.array_distinct("__free")).alias("__free")).agg(F.max(F.struct("captured_at", "snapshot_id")).alias("__s"))
+    asked = requests.where("role = 'image'").select("request_id", *keys, names(F.col("headers")).alias("__sent"))
+    fits = asked.join(written(last), keys).where(~F.arrays_overlap("__sent", "__free"))
+    return fits.groupBy("request_id").agg(F.max("__s").alias("s")).select("request_id", F.col("s.snapshot_id").alias("snapshot_id"))
+
+
+def container_fault(json: Column, most_bytes: int, most_depth: int, most_tokens: int) -> Column:
+    """Why a page's JSON is not read: too_long (bytes), too_deep (levels of objects and arrays), too_many_tokens (brackets, commas, colons); null if it may be.
+
+    Told from the text alone, before anything is parsed: strings are taken out,
+    then the innermost pairs of brackets, once for each level.
+    """
+    bare = F.regexp_replace(json, r'"(?:[^"\\]++|\\.)*+"', "")
+    tokens = F.length(F.regexp_replace(bare, r"[^\[\]{},:]", ""))
+    nested = F.regexp_replace(bare, r"[^\[\]{}]", "")
+    for _ in range(most_depth):
+        nested = F.regexp_replace(nested, r"\[\]|\{\}", "")
+    return F.when(F.octet_length(json) > most_bytes, "too_long").when(tokens > most_tokens, "too_many_tokens").when(F.length(nested) > 0, "too_deep")

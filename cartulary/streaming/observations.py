@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartulary.catalogue.store import Files
+
+#: Folders of a table of observations.
+BUCKETS = 64
+
 
 def read_files(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
     """A stream of the JSON-lines files that arrive under path."""
@@ -37,19 +42,22 @@ def freshness(observations: DataFrame, keys: list[str], at: str) -> DataFrame:
 def append_new(batch: DataFrame, path: str, keys: list[str]) -> int:
     """For foreachBatch: append the rows whose keys the table at path doesn't have; their number.
 
+    The table is parted by a hash of the keys (folders `bucket=…`), of which only
+    those that the micro-batch has rows for are read, and there the keys alone.
     Running the same micro-batch again appends nothing.
     """
     spark = batch.sparkSession
-    new = batch.dropDuplicates(keys)
-    try:
-        known = spark.read.parquet(path).select(*keys)
-        new = new.join(known, keys, "left_anti")
-    except Exception as e:  # the table's first batch
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    new = batch.dropDuplicates(keys).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
     new = new.persist()
-    n = new.count()
+    if Files(spark, path).exists(path):
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+        known = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select(*keys)
+        left = new.join(known, keys, "left_anti").persist()
+    else:  # the table's first batch
+        left = new
+    n = left.count()
     if n:
-        new.write.mode("append").parquet(path)
+        left.write.mode("append").partitionBy("bucket").parquet(path)
+    left.unpersist()
     new.unpersist()
     return n

@@ -1,3 +1,6 @@
+import gzip
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,7 +125,14 @@ def test_export_round_trip(spark, catalogue, tmp_path):
     made = export.write(rows, str(tmp_path / "e"), catalogue.third)
     again = export.write(rows.repartition(5), str(tmp_path / "f"), catalogue.third)
     assert made == again and export.verify(spark, str(tmp_path / "e"))
-    spark.createDataFrame([("{}",)], "value string").write.mode("append").text(str(tmp_path / "f" / "components" / "component=card-0"))
+    files = sorted(p.name for p in (tmp_path / "e" / "components").glob("*.gz"))
+    assert files == sorted(f"{e['component']}.jsonl.gz" for e in made["components"])
+    for name in files:  # the same bytes, whatever the order and the number of tasks
+        body = (tmp_path / "e" / "components" / name).read_bytes()
+        assert body == (tmp_path / "f" / "components" / name).read_bytes() and body[4:8] == bytes(4)
+        assert hashlib.sha256(gzip.decompress(body)).hexdigest() == next(e["sha256"] for e in made["components"] if name == f"{e['component']}.jsonl.gz")
+    (tmp_path / "f" / "components" / ".card-0.jsonl.gz.crc").unlink(missing_ok=True)
+    (tmp_path / "f" / "components" / "card-0.jsonl.gz").write_bytes(gzip.compress(b"{}\n"))
     assert not export.verify(spark, str(tmp_path / "f"))
 
 
