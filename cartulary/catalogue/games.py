@@ -165,6 +165,14 @@ def face_roles(layout: str, n: int) -> list[str] | None:
     return ROLES if turned else ["front"] * n
 
 
+def roles_of(layout: Column, n: Column) -> Column:
+    """face_roles of a layout and a number of faces, as a column: null if they don't fit or the layout is not known."""
+    table = F.create_map(*[x for name, (least, most, turned) in LAYOUTS.items() for x in (F.lit(name), F.struct(F.lit(least).alias("least"), F.lit(most).alias("most"), F.lit(turned).alias("turned")))])
+    at = F.try_element_at(table, layout)
+    sides = F.when(at["turned"], F.array(*map(F.lit, ROLES))).otherwise(F.array_repeat(F.lit("front"), n.cast("int")))
+    return F.when((n >= at["least"]) & (n <= at["most"]), sides)
+
+
 def _magic(card: dict) -> bool:
     return [f.get("role") for f in card.get("faces", [])] == face_roles(card.get("layout", ""), len(card.get("faces", [])))
 

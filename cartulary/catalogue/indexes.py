@@ -113,6 +113,12 @@ class BatchIndex:
         rows = self.read("ids").where((F.col("bucket") == _bucket(F.lit(entity_id), "ids")) & (F.col("key") == entity_id))
         return sorted(r.file for r in rows.select("file").distinct().collect())
 
+    def files_of(self, keys: DataFrame) -> DataFrame:
+        """key, file of the ids (key) that the batch has; only the folders of their buckets are read."""
+        wanted = keys.withColumn("bucket", _bucket(F.col("key"), "ids"))
+        buckets = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]  # as many as there are at most
+        return self.read("ids").where(F.col("bucket").isin(buckets)).join(wanted, ["key", "bucket"]).select("key", "file")
+
     def candidates(self, form: str) -> DataFrame:
         """id, file of the entities that have all grams of the (normalised) form, of GRAM code points or more, in any order."""
         wanted = sorted({form[i : i + GRAM] for i in range(len(form) - GRAM + 1)})

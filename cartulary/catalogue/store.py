@@ -230,6 +230,25 @@ class Snapshot:
         row = self._read(kind, batches, files).where(F.col("id") == entity_id).first() if files else None
         return None if row is None else row.asDict(recursive=True)
 
+    def lookup(self, kind: str, ids: DataFrame) -> DataFrame:
+        """The entities with the ids (the first column): found in the indexes, read from their files alone.
+
+        The list of files is as long as the batches have files at most.
+        """
+        wanted = ids.select(F.col(ids.columns[0]).alias("key")).where("key is not null").distinct()
+        batches, found = self._batches(kind, None), None
+        for b in batches:
+            one = self.catalogue.index(kind, b).files_of(wanted).select("key", F.concat(F.lit(f"{b}/"), "file").alias("file"))
+            found = one if found is None else found.unionAll(one)
+        files = [r["file"] for r in found.select("file").distinct().collect()]
+        return self._read(kind, batches, sorted(files)).join(wanted.withColumnRenamed("key", "id"), "id", "left_semi")
+
+    def known_values(self, kind: str, column: str, values: DataFrame, game: str | None = None) -> DataFrame:
+        """value, known: which of the values (the first column) a filter may ask for, as the revision has them."""
+        asked = values.select(F.col(values.columns[0]).alias("value")).where("value is not null").distinct()
+        there = self.entities(kind, game).select(F.col(column).alias("value")).distinct().withColumn("__known", F.lit(True))
+        return asked.join(there, "value", "left").select("value", F.coalesce("__known", F.lit(False)).alias("known"))
+
     def search(self, kind: str, q: str, game: str | None = None) -> DataFrame:
         """The entities of which a searched text has q in it, by the form that is compared.
 

@@ -136,6 +136,16 @@ def etag(request: dict) -> str:
     return hashlib.sha256(canonical(request).encode()).hexdigest()
 
 
+@F.pandas_udf(T.StringType())
+def _etag(requests: pd.Series) -> pd.Series:
+    return requests.map(lambda t: etag(json.loads(t)))
+
+
+def etags(request: Column) -> Column:
+    """etag of each request, a struct."""
+    return _etag(F.to_json(request, {"ignoreNullFields": "false"}))
+
+
 def page_limit(raw: str | None, default: int = 50, most: int = 100) -> int:
     """The limit parameter: 1 to most."""
     if raw is None:

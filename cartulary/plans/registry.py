@@ -40,4 +40,4 @@ def named(sql: str | None = None):
     return add
 
 
-from cartulary.plans import assembly, cards, carrying, control, curation, evidence, graphs, identities, ledgers, publish, reconcile, records, revisions, rules, selections  # noqa: E402, F401
+from cartulary.plans import assembly, cards, carrying, control, curation, evidence, graphs, identities, ledgers, lookups, publish, reconcile, records, revisions, rules, selections  # noqa: E402, F401

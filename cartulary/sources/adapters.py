@@ -95,6 +95,26 @@ def observe(snapshots: DataFrame, registry: Registry, versions: dict[tuple[str,
     return snapshots.select("snapshot_id", "lineage", "surface", "body", url.cast("string").alias("url")).mapInPandas(run, RECORD)
 
 
+def reparse(snapshots: DataFrame, registry: Registry, sets: DataFrame, versions: dict[tuple[str, str], str] | None = None) -> DataFrame:
+    """set_id and RECORD rows of the snapshots that have no observation set of their adapter's (chosen) version yet.
+
+    sets: set_id of those that are kept.  A set is named by its snapshot, its
+    adapter and the version, so parsing again under a version that has been run
+    gives nothing, and a new version a set beside the old one.
+    """
+    chosen = dict(versions or {})
+    names = {f"{lineage}/{surface}": registry.get(lineage, surface, chosen.get((lineage, surface))).version for lineage, surface, _ in registry.table()}
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.create_map().cast("map<string,string>")
+    version = F.try_element_at(table, F.concat_ws("/", "lineage", "surface"))
+    set_id = F.concat(F.lit("set_"), F.sha2(F.concat_ws("\x1f", F.col("snapshot_id").cast("string"), "lineage", "surface", version), 256))
+    named = snapshots.where(version.isNotNull()).withColumn("set_id", set_id)
+    new = named.join(sets.select("set_id").distinct(), "set_id", "left_anti")
+    # The set's name goes through the parser as the snapshot's id.
+    records = observe(new.withColumn("snapshot_id", F.concat_ws("\x1f", "set_id", F.col("snapshot_id").cast("string"))), registry, versions)
+    both = F.split("snapshot_id", "\x1f", 2)
+    return records.withColumns({"set_id": both[0], "snapshot_id": both[1]})
+
+
 class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

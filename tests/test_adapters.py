@@ -48,3 +48,18 @@ def test_observation(spark):
     old = adapters.observe(df, registry(), {("json", "list"): "v2"}).where("snapshot_id = 's1'").collect()
     assert all("v" not in json.loads(r.record) for r in old)
     assert {(r.lineage, r.n_pages, r.n_records, r.n_failures) for r in adapters.coverage(got).collect()} == {("json", 3, 2, 2), ("site", 2, 1, 0), ("other", 1, 0, 1)}
+
+
+def test_sets_are_parsed_once_for_each_version(spark):
+    registry = adapters.Registry()
+    registry.register("a", "v1", "page")(lambda body: [{"t": body}])
+    snapshots = spark.createDataFrame([("1", "a", "page", "x"), ("2", "a", "page", "y"), ("3", "b", "page", "z")], "snapshot_id string, lineage string, surface string, body string")
+    none = spark.createDataFrame([], "set_id string")
+    first = adapters.reparse(snapshots, registry, none).collect()
+    assert [(r.snapshot_id, r.adapter, r.record) for r in sorted(first)] and {r.snapshot_id for r in first} == {"1", "2"} and len({r.set_id for r in first}) == 2
+    sets = spark.createDataFrame([(r.set_id,) for r in first], "set_id string")
+    assert adapters.reparse(snapshots, registry, sets).count() == 0
+    registry.register("a", "v2", "page")(lambda body: [{"u": body}, {"u": 1}])
+    again = adapters.reparse(snapshots, registry, sets).collect()
+    assert len(again) == 4 and {r.adapter for r in again} == {"v2"} and not {r.set_id for r in again} & {r.set_id for r in first}
+    assert adapters.reparse(snapshots, registry, sets, {("a", "page"): "v1"}).count() == 0

@@ -56,3 +56,9 @@ def test_tokens(spark):
     rift = spark.createDataFrame([('{"supertypes":["token"]}',), ("{}",)], "a string").select(games.is_token("riftbound", F.col("a")).alias("t")).collect()
     assert [r.t for r in rift] == [True, False]
     assert len(games.games()) == 7
+
+
+def test_roles_as_a_column_are_those_of_the_table(spark):
+    rows = [(layout, n) for layout in [*games.LAYOUTS, "unknown", None] for n in range(7)]
+    got = spark.createDataFrame(rows, "layout string, n int").select("layout", "n", games.roles_of(F.col("layout"), F.col("n")).alias("r")).collect()
+    assert all((None if r.r is None else list(r.r)) == games.face_roles(r.layout, r.n) for r in got) and len(got) == len(rows)

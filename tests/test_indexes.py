@@ -79,3 +79,14 @@ def test_grams(spark):
     rows = spark.createDataFrame([("abcab",), ("ab",), (None,), ("aaaa",), ("a𝔘b",), ("a\nb",)], "t string").select("t", indexes.grams(F.col("t")).alias("g")).collect()
     assert [sorted(r.g) for r in rows if r.t != "a𝔘b"] == [["abc", "bca", "cab"], [], [], ["aaa"], ["a\nb"]]
     assert "a𝔘b" in next(r.g for r in rows if r.t == "a𝔘b")
+
+
+def test_many_ids_and_values_at_once(spark, catalogue):
+    ids = spark.createDataFrame([("g1-0001",), ("g2-0003",), ("g2-0003",), ("nobody",), (None,)], "x string")
+    snapshot = catalogue.at()
+    found = snapshot.lookup("cards", ids)
+    assert sorted((r.id, r.name) for r in found.collect()) == [("g1-0001", "Ünïcode Ring"), ("g2-0003", "ab")]
+    assert len([f for f in found.inputFiles() if "/entities/" in f]) <= 2
+    assert snapshot.lookup("cards", ids.where("x = 'nobody'")).count() == 0
+    values = spark.createDataFrame([("Walker",), ("Filler 3",), ("none",), (None,)], "x string")
+    assert {r.value: r.known for r in snapshot.known_values("cards", "name", values, "g2").collect()} == {"Walker": True, "Filler 3": False, "none": False}
