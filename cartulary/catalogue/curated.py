@@ -80,7 +80,7 @@ def patched(content: str, provenance: str | None, revisions: list[dict], schema:
             invalid.append(f"no_such_path:{r['path']}")
     if schema is not None and revisions and not invalid:
         _, warnings, bad = validate(result, schema)
-        invalid += bad + [w for w in warnings if w.startswith("unknown_value")]
+        invalid += bad + [w for w in warnings if w.startswith("unknown_value") and w not in bad]
     return source, canonical(result), canonical(trace), changed, invalid
 
 

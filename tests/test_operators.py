@@ -162,7 +162,7 @@ def test_profile_validation(spark):
         '{"category":"unit","power":3,"tags":["b","a","b"]}': ('{"category":"unit","power":3,"tags":["a","b"]}', 0, []),
         '{"category":"unit"}': ('{"category":"unit"}', 0, ["missing_field:$.power"]),
         '{"category":"trick","power":1}': ('{"category":"trick","power":1}', 0, ["inapplicable_field:$.power"]),
-        '{"category":"other","power":null}': ('{"power":null}', 1, []),
+        '{"category":"other","power":null}': ('{"power":null}', 1, ["unknown_value:$.category"]),
         '{"power":-1}': ('{"power":null}', 0, ["missing_field:$.category", "wrong_type:$.power"]),
         '{"category":"trick","new":1}': ('{"category":"trick"}', 1, []),
         "nonsense": (None, 0, ["not_json:$"]),
