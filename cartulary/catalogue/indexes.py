@@ -1,12 +1,12 @@
 """Indexes of a batch: in which file an id stands, and which entities a piece of text may be in.
 
 Layout, beside a batch's entities: `indexes/<kind>/batch=<id>/ids` holds each
-id's file, `…/grams` each entity's id and file for every three code points in a
-row that one of its searched texts has.  Both are parted by a hash (folders
+id's file, `…/grams` each entity's id for every three code points in a row that
+one of its searched texts has (its file is then looked up by the id).  Both are parted by a hash (folders
 `bucket=…`) and sorted within files, so a lookup reads one folder, and there the
 row groups with its key.  An index is made from the written entities alone, so it
 can be made again at any time; `marks` holds for each bucket the number of rows
-and a sum of their hashes, by which a damaged bucket is found.
+and their hashes in one by exclusive or, by which a damaged bucket is found.
 """
 
 from __future__ import annotations
@@ -30,7 +30,12 @@ TASK_BYTES = 4 << 20
 
 def grams(text: Column) -> Column:
     """The distinct pieces of GRAM code points of a text; none of a shorter or a null one."""
-    return F.array_distinct(F.coalesce(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)), F.array().cast("array<string>")))
+    return F.array_distinct(pieces(text))
+
+
+def pieces(text: Column) -> Column:
+    """Every GRAM code points in a row; none of a shorter or a null text."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)), F.array().cast("array<string>"))
 
 
 def _bucket(key: Column, part: str) -> Column:
@@ -47,14 +52,14 @@ class BatchIndex:
         return [p for p in BUCKETS if self.files.exists(f"{self.folder}/{p}")]
 
     def made(self, part: str) -> DataFrame:
-        """The rows of a part as the entities say: key, id (grams only), file, bucket."""
+        """The rows of a part as the entities say: key, file (of ids) or id (of grams), bucket."""
         rows = self.spark.read.parquet(self.entities).withColumn("file", F.col("_metadata.file_name"))
         if part == "ids":
             return rows.where("id is not null").select(F.col("id").alias("key"), "file", _bucket(F.col("id"), part).alias("bucket"))
-        texts = rows.where("id is not null").select("id", "file", F.explode(F.filter("search_text", lambda t: F.char_length(t) >= GRAM)).alias("text"))
-        pieces = texts.select(F.explode(grams(F.col("text"))).alias("key"), "id", "file")
-        # Texts of one entity may share grams.
-        return pieces.distinct().withColumn("bucket", _bucket(F.col("key"), part))
+        # Texts of one entity may share grams: each counts once, told within the row.
+        own = F.array_distinct(F.flatten(F.transform(F.filter("search_text", lambda t: t.isNotNull()), pieces)))
+        each = rows.where("id is not null").select(F.explode(own).alias("key"), "id")
+        return each.withColumn("bucket", _bucket(F.col("key"), part))
 
     def _write(self, rows: DataFrame, part: str, mode: str) -> None:
         """Parted by bucket, and within it by a hash of the row, so that a frequent gram's rows take several tasks and files."""
@@ -66,7 +71,7 @@ class BatchIndex:
 
     def _marks(self, rows: DataFrame) -> DataFrame:
         columns = [c for c in ("key", "id", "file") if c in rows.columns]
-        return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("digest"))
+        return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("digest"))
 
     def write(self, searched: bool) -> None:
         for part in BUCKETS if searched else ("ids",):
@@ -74,7 +79,7 @@ class BatchIndex:
             self._marks(self.read(part)).coalesce(1).write.mode("errorifexists").parquet(f"{self.folder}/marks/part={part}")
 
     def read(self, part: str) -> DataFrame:
-        schema = "key string, file string, bucket int" if part == "ids" else "key string, id string, file string, bucket int"
+        schema = "key string, file string, bucket int" if part == "ids" else "key string, id string, bucket int"
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{part}")
 
     def damaged(self) -> DataFrame:
@@ -84,7 +89,7 @@ class BatchIndex:
             if not self.files.exists(f"{self.folder}/marks/part={part}"):
                 continue
             marks = self.spark.read.parquet(f"{self.folder}/marks/part={part}")
-            columns = "key string, file string, bucket int" if part == "ids" else "key string, id string, file string, bucket int"
+            columns = "key string, file string, bucket int" if part == "ids" else "key string, id string, bucket int"
             if self.files.exists(f"{self.folder}/{part}"):
                 there = self.spark.read.schema(columns).option("ignoreCorruptFiles", "true").parquet(f"{self.folder}/{part}")
             else:
@@ -120,10 +125,10 @@ class BatchIndex:
         return self.read("ids").where(F.col("bucket").isin(buckets)).join(wanted, ["key", "bucket"]).select("key", "file")
 
     def candidates(self, form: str) -> DataFrame:
-        """id, file of the entities that have all grams of the (normalised) form, of GRAM code points or more, in any order."""
+        """The ids of the entities that have all grams of the (normalised) form, of GRAM code points or more, in any order."""
         wanted = sorted({form[i : i + GRAM] for i in range(len(form) - GRAM + 1)})
         here = F.lit(False)
         for g in wanted:  # the hash of a literal is folded, so only these buckets' folders are listed
             here = here | ((F.col("bucket") == _bucket(F.lit(g), "grams")) & (F.col("key") == g))
-        found = self.read("grams").where(here).groupBy("id", "file").agg(F.count("*").alias("n"))
-        return found.where(F.col("n") == len(wanted)).select("id", "file")
+        found = self.read("grams").where(here).groupBy("id").agg(F.count("*").alias("n"))
+        return found.where(F.col("n") == len(wanted)).select("id")

@@ -30,6 +30,7 @@ from cartulary.catalogue.indexes import GRAM, BatchIndex
 from cartulary.catalogue.profiles import attribute_filter, leaves
 from cartulary.functions.canon import canonical, decode_cursor, encode_cursor, search_form, search_text
 from cartulary.operators import keyset, search
+from cartulary.operators.lineage import written
 
 _LOG = "revision string, parent string, sequence bigint, published_at timestamp, game string, composition map<string, string>, schemas map<string, string>"
 #: Age in milliseconds from which a record without content is that of a publisher that died.
@@ -264,8 +265,11 @@ class Snapshot:
             return self._read(kind, batches).where(held)
         found = None
         for b in batches:
-            one = self.catalogue.index(kind, b).candidates(form).withColumn("file", F.concat(F.lit(f"{b}/"), "file"))
+            index = self.catalogue.index(kind, b)
+            ids = written(index.candidates(form))
+            one = index.files_of(ids.withColumnRenamed("id", "key")).select(F.col("key").alias("id"), F.concat(F.lit(f"{b}/"), "file").alias("file"))
             found = one if found is None else found.unionAll(one)
+        found = written(found)
         files = [r["file"] for r in found.select("file").distinct().collect()]
         return self._read(kind, batches, sorted(files)).join(found.select("id").distinct(), "id", "left_semi").where(held)
 
