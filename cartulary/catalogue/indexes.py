@@ -11,10 +11,14 @@ and their hashes in one by exclusive or, by which a damaged bucket is found.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import TYPE_CHECKING
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 if TYPE_CHECKING:
     from cartulary.catalogue.store import Files
@@ -28,14 +32,27 @@ FILE_BYTES = 1 << 30
 TASK_BYTES = 4 << 20
 
 
-def grams(text: Column) -> Column:
-    """The distinct pieces of GRAM code points of a text; none of a shorter or a null one."""
-    return F.array_distinct(pieces(text))
+def codes(text: str) -> np.ndarray:
+    """The distinct grams of a text, each as one number: 21 bits for a code point."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:])
 
 
-def pieces(text: Column) -> Column:
-    """Every GRAM code points in a row; none of a shorter or a null text."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)), F.array().cast("array<string>"))
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def grams(texts: pd.Series) -> pd.Series:
+    """The distinct grams of each list of texts; none of shorter and null texts, or of a null list."""
+
+    def of(own: Sequence[str | None] | None) -> np.ndarray:
+        found = [codes(t) for t in (own if own is not None else ()) if t is not None]
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    return texts.map(of, na_action=None)
+
+
+def gram_text(key: Column) -> Column:
+    """The code points of a gram's number."""
+    point = lambda n: F.lpad(F.hex(F.shiftright(key, n).bitwiseAND((1 << 21) - 1)), 8, "0")
+    return F.decode(F.unhex(F.concat(point(42), point(21), point(0))), "UTF-32")
 
 
 def _bucket(key: Column, part: str) -> Column:
@@ -56,9 +73,7 @@ class BatchIndex:
         rows = self.spark.read.parquet(self.entities).withColumn("file", F.col("_metadata.file_name"))
         if part == "ids":
             return rows.where("id is not null").select(F.col("id").alias("key"), "file", _bucket(F.col("id"), part).alias("bucket"))
-        # Texts of one entity may share grams: each counts once, told within the row.
-        own = F.array_distinct(F.flatten(F.transform(F.filter("search_text", lambda t: t.isNotNull()), pieces)))
-        each = rows.where("id is not null").select(F.explode(own).alias("key"), "id")
+        each = rows.where("id is not null").select("id", grams("search_text").alias("own")).select(F.explode("own").alias("key"), "id")
         return each.withColumn("bucket", _bucket(F.col("key"), part))
 
     def _write(self, rows: DataFrame, part: str, mode: str) -> None:
@@ -79,7 +94,7 @@ class BatchIndex:
             self._marks(self.read(part)).coalesce(1).write.mode("errorifexists").parquet(f"{self.folder}/marks/part={part}")
 
     def read(self, part: str) -> DataFrame:
-        schema = "key string, file string, bucket int" if part == "ids" else "key string, id string, bucket int"
+        schema = "key string, file string, bucket int" if part == "ids" else "key bigint, id string, bucket int"
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{part}")
 
     def damaged(self) -> DataFrame:
@@ -89,7 +104,7 @@ class BatchIndex:
             if not self.files.exists(f"{self.folder}/marks/part={part}"):
                 continue
             marks = self.spark.read.parquet(f"{self.folder}/marks/part={part}")
-            columns = "key string, file string, bucket int" if part == "ids" else "key string, id string, bucket int"
+            columns = "key string, file string, bucket int" if part == "ids" else "key bigint, id string, bucket int"
             if self.files.exists(f"{self.folder}/{part}"):
                 there = self.spark.read.schema(columns).option("ignoreCorruptFiles", "true").parquet(f"{self.folder}/{part}")
             else:
@@ -126,7 +141,7 @@ class BatchIndex:
 
     def candidates(self, form: str) -> DataFrame:
         """The ids of the entities that have all grams of the (normalised) form, of GRAM code points or more, in any order."""
-        wanted = sorted({form[i : i + GRAM] for i in range(len(form) - GRAM + 1)})
+        wanted = codes(form).tolist()
         here = F.lit(False)
         for g in wanted:  # the hash of a literal is folded, so only these buckets' folders are listed
             here = here | ((F.col("bucket") == _bucket(F.lit(g), "grams")) & (F.col("key") == g))

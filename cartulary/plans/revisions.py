@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.catalogue.indexes import gram_text
 from cartulary.catalogue.store import Catalogue
 from cartulary.operators.lineage import checkpoint_dir, written
 from cartulary.plans.registry import Tables, named
@@ -115,12 +116,12 @@ def q_repaired_postings(t: Tables) -> DataFrame:
     index = catalogue.index("cards", catalogue.at().batches["prose"])
     buckets = [r["bucket"] for r in index.read("grams").select("bucket").distinct().orderBy("bucket").limit(2).collect()]
     catalogue.files.remove(f"{index.folder}/grams/bucket={buckets[0]}")
-    spark.createDataFrame([], "key string, id string, file string").write.mode("overwrite").parquet(f"{index.folder}/grams/bucket={buckets[1]}")
+    spark.createDataFrame([], "key bigint, id string").write.mode("overwrite").parquet(f"{index.folder}/grams/bucket={buckets[1]}")
     while index.repair(most=1):
         pass
     # Source names are searched too, and are no part of the texts.
     texts = t.documents.where("text is not null").select(F.concat(F.lit("card_"), "doc_id").alias("id"), F.lower("text").alias("body"))
-    rows = index.read("grams").join(texts, "id").where(F.contains("body", F.col("key")))
-    found = written(rows.groupBy(F.col("key").alias("gram")).agg(F.count("*").alias("n_cards")))
+    rows = index.read("grams").select("id", gram_text(F.col("key")).alias("gram")).join(texts, "id").where(F.contains("body", F.col("gram")))
+    found = written(rows.groupBy("gram").agg(F.count("*").alias("n_cards")))
     catalogue.files.remove(catalogue.root)
     return found
