@@ -1,8 +1,8 @@
 """What the operators share: byte access to texts, lineage cuts, components.
 
 Texts cross into Python as bytes, in Arrow batches, and are worked through in
-slices of a bounded number of bytes, so a worker's memory does not grow with
-the batch.  A document is never split: one longer than the bound is a slice of
+slices of a bounded number of bytes; the batches are bounded too, so neither a
+worker's memory nor the executor's grows with them.  A document is never split: one longer than the bound is a slice of
 its own.
 """
 
@@ -23,6 +23,10 @@ from cartulary.operators.lineage import checkpoint_dir as ensure_checkpoint_dir
 
 SLICE_BYTES = 2 << 20
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a batch that crosses into Python: two slices.  By Spark's own limits it is 10,000 texts or 64 MB,
+#: which the executor's buffers and each worker hold more than once.
+BATCH_BYTES = 2 * SLICE_BYTES
 #: Edges to a partition while components are sought.
 EDGES_PER_PARTITION = 200_000
 
@@ -85,6 +89,15 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         start = stop
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the session's Arrow batches, unless the session has a limit of its own.
+
+    Plans are made when a result is read, so the limit has to stay.
+    """
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
 def map_texts(
     df: DataFrame,
     work: Callable[..., dict[str, Any]],
@@ -99,6 +112,7 @@ def map_texts(
     of the column also if it is given, and returns a list or array for each of
     fields, in order of the rows.
     """
+    bound_batches(df.sparkSession)
     keep_fields = [df.schema[c] for c in keep]
     made = [T.StructField(n, T.DataType.fromDDL(t)) for n, t in fields]
     names, schema = [n for n, _ in fields], T.StructType([*keep_fields, *made])
@@ -127,6 +141,7 @@ def explode_texts(
     text: str = "text",
 ) -> DataFrame:
     """Any number of rows from each slice: work gets the texts and the columns ids."""
+    bound_batches(df.sparkSession)
     kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_type
 
