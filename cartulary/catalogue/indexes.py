@@ -1,8 +1,9 @@
 """Indexes of a batch: in which file an id stands, and which entities a piece of text may be in.
 
 Layout, beside a batch's entities: `indexes/<kind>/batch=<id>/ids` holds each
-id's file, `…/grams` each entity's id for every three code points in a row that
-one of its searched texts has (its file is then looked up by the id).  Both are parted by a hash (folders
+id's file, `…/grams` for every three code points in a row the ids of entities that
+have them in a searched text (their files are then looked up by the ids): a row
+holds the ids of one batch of texts, so there are far fewer rows than ids.  Both are parted by a hash (folders
 `bucket=…`) and sorted within files, so a lookup reads one folder, and there the
 row groups with its key.  An index is made from the written entities alone, so it
 can be made again at any time; `marks` holds for each bucket the number of rows
@@ -11,21 +12,26 @@ and their hashes in one by exclusive or, by which a damaged bucket is found.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartulary.operators.lineage import small_batches
+
 if TYPE_CHECKING:
     from cartulary.catalogue.store import Files
 
 #: Code points of a gram; shorter searches scan.
 GRAM = 3
 BUCKETS = {"ids": 8, "grams": 32}
+#: What is written.
+STORED = {"ids": "key string, file string, bucket int", "grams": "key bigint, ids array<string>, bucket int"}
 #: Bytes of entities for each file of a bucket.
 FILE_BYTES = 1 << 30
 #: Bytes of entities for each task that writes an index.
@@ -38,15 +44,30 @@ def codes(text: str) -> np.ndarray:
     return np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:])
 
 
+def _codes_of(own: Sequence[str | None] | None) -> np.ndarray:
+    found = [codes(t) for t in (own if own is not None else ()) if t is not None]
+    if len(found) == 1:
+        return found[0]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def grams(texts: pd.Series) -> pd.Series:
     """The distinct grams of each list of texts; none of shorter and null texts, or of a null list."""
+    return texts.map(_codes_of, na_action=None)
 
-    def of(own: Sequence[str | None] | None) -> np.ndarray:
-        found = [codes(t) for t in (own if own is not None else ()) if t is not None]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
-    return texts.map(of, na_action=None)
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over id, search_text: of each batch every gram with the ids that have it."""
+    for batch in batches:
+        own = [_codes_of(t) for t in batch.column("search_text").to_pylist()]
+        keys = np.concatenate([np.zeros(0, np.int64), *own])
+        rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        order = np.argsort(keys, kind="stable")
+        keys, rows = keys[order], rows[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        ids = pa.ListArray.from_arrays(pa.array(np.append(first, len(keys)), pa.int32()), batch.column("id").cast(pa.string()).take(pa.array(rows)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[first]), ids], names=["key", "ids"])
 
 
 def gram_text(key: Column) -> Column:
@@ -69,33 +90,42 @@ class BatchIndex:
         return [p for p in BUCKETS if self.files.exists(f"{self.folder}/{p}")]
 
     def made(self, part: str) -> DataFrame:
-        """The rows of a part as the entities say: key, file (of ids) or id (of grams), bucket."""
+        """The rows of a part as the entities say: key, file (of ids) or ids (of grams), bucket."""
         rows = self.spark.read.parquet(self.entities).withColumn("file", F.col("_metadata.file_name"))
         if part == "ids":
             return rows.where("id is not null").select(F.col("id").alias("key"), "file", _bucket(F.col("id"), part).alias("bucket"))
-        each = rows.where("id is not null").select("id", grams("search_text").alias("own")).select(F.explode("own").alias("key"), "id")
+        each = rows.where("id is not null").select("id", "search_text").mapInArrow(_postings, "key bigint, ids array<string>")
         return each.withColumn("bucket", _bucket(F.col("key"), part))
 
     def _write(self, rows: DataFrame, part: str, mode: str) -> None:
         """Parted by bucket, and within it by a hash of the row, so that a frequent gram's rows take several tasks and files."""
-        order = [c for c in ("bucket", "key", "id") if c in rows.columns]
+        order, row = ["bucket", "key"], ["key", F.col("ids")[0]] if part == "grams" else ["key"]
         size = self.files.size(self.entities)
         salts = 1 + size // FILE_BYTES
-        dealt = rows.repartition(min(BUCKETS[part] * salts, 1 + size // TASK_BYTES), "bucket", F.pmod(F.xxhash64(*order[1:]), F.lit(salts)))
-        dealt.sortWithinPartitions(*order).write.mode(mode).option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#key", "true").partitionBy("bucket").parquet(f"{self.folder}/{part}")
+        dealt = rows.repartition(min(BUCKETS[part] * salts, 1 + size // TASK_BYTES), "bucket", F.pmod(F.xxhash64(*row), F.lit(salts)))
+        made = dealt.sortWithinPartitions(*order).write.mode(mode).option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#key", "true")
+        with small_batches(self.spark):
+            made.partitionBy("bucket").parquet(f"{self.folder}/{part}")
 
     def _marks(self, rows: DataFrame) -> DataFrame:
+        if "ids" in rows.columns:  # each id counts, however they were put together; a row without is no row that was written
+            rows = rows.select("key", F.explode_outer("ids").alias("id"), "bucket")
         columns = [c for c in ("key", "id", "file") if c in rows.columns]
         return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("digest"))
 
     def write(self, searched: bool) -> None:
         for part in BUCKETS if searched else ("ids",):
             self._write(self.made(part), part, "errorifexists")
-            self._marks(self.read(part)).coalesce(1).write.mode("errorifexists").parquet(f"{self.folder}/marks/part={part}")
+            self._marks(self.stored(part)).coalesce(1).write.mode("errorifexists").parquet(f"{self.folder}/marks/part={part}")
+
+    def stored(self, part: str) -> DataFrame:
+        """The rows of a part as they are written."""
+        return self.spark.read.schema(STORED[part]).parquet(f"{self.folder}/{part}")
 
     def read(self, part: str) -> DataFrame:
-        schema = "key string, file string, bucket int" if part == "ids" else "key bigint, id string, bucket int"
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{part}")
+        """key, file (of ids) or id (of grams), bucket: a row for each id."""
+        rows = self.stored(part)
+        return rows if part == "ids" else rows.select("key", F.explode("ids").alias("id"), "bucket")
 
     def damaged(self) -> DataFrame:
         """part, bucket, expected, found: buckets whose rows are not those that were written.  Files that can't be read count as missing."""
@@ -104,11 +134,10 @@ class BatchIndex:
             if not self.files.exists(f"{self.folder}/marks/part={part}"):
                 continue
             marks = self.spark.read.parquet(f"{self.folder}/marks/part={part}")
-            columns = "key string, file string, bucket int" if part == "ids" else "key bigint, id string, bucket int"
             if self.files.exists(f"{self.folder}/{part}"):
-                there = self.spark.read.schema(columns).option("ignoreCorruptFiles", "true").parquet(f"{self.folder}/{part}")
+                there = self.spark.read.schema(STORED[part]).option("ignoreCorruptFiles", "true").parquet(f"{self.folder}/{part}")
             else:
-                there = self.spark.createDataFrame([], columns)
+                there = self.spark.createDataFrame([], STORED[part])
             now = self._marks(there).select("bucket", F.col("n").alias("found"), F.col("digest").alias("now"))
             both = marks.join(now, "bucket", "full").where(~(F.col("n").eqNullSafe(F.col("found")) & F.col("digest").eqNullSafe(F.col("now"))))
             bad = both.select(F.lit(part).alias("part"), "bucket", F.coalesce("n", F.lit(0)).alias("expected"), F.coalesce("found", F.lit(0)).alias("found"))

@@ -30,7 +30,7 @@ from cartulary.catalogue.indexes import GRAM, BatchIndex
 from cartulary.catalogue.profiles import attribute_filter, leaves
 from cartulary.functions.canon import canonical, decode_cursor, encode_cursor, search_form, search_text
 from cartulary.operators import keyset, search
-from cartulary.operators.lineage import written
+from cartulary.operators.lineage import small_batches, written
 
 _LOG = "revision string, parent string, sequence bigint, published_at timestamp, game string, composition map<string, string>, schemas map<string, string>"
 #: Age in milliseconds from which a record without content is that of a publisher that died.
@@ -169,7 +169,8 @@ class Catalogue:
             shaped = df.withColumn("search_text", F.array(*[search_form(F.col(c)) for c in SEARCHED[kind] if c in df.columns])) if SEARCHED[kind] else df
             # Sorted within files by the order of pages, so that a keyset reads few row groups; ids have a Bloom filter.
             ranged = shaped.sortWithinPartitions(*order).write.mode("errorifexists").option("parquet.bloom.filter.enabled#id", "true")
-            ranged.parquet(f"{self.root}/entities/{kind}/batch={batch}")
+            with small_batches(self.spark):
+                ranged.parquet(f"{self.root}/entities/{kind}/batch={batch}")
             schemas[f"{kind}/{batch}"] = shaped.schema.json()
             self.index(kind, batch).write(bool(SEARCHED[kind]))
         last = (self.record(expected) if expected else None) or {"composition": {}, "schemas": {}}

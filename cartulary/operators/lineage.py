@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,18 @@ def written(df: DataFrame) -> DataFrame:
     """df as it is in the shared folder, without the plan that made it."""
     checkpoint_dir(df.sparkSession)
     return df.select("*").checkpoint(eager=True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, limit: int = 4 << 20) -> Iterator[None]:
+    """While results are made, Arrow batches have at most so many bytes (and a row); by Spark's own limits they hold 10,000 texts or 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(limit))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)

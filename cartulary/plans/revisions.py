@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.catalogue.indexes import gram_text
+from cartulary.catalogue.indexes import gram_text, grams
 from cartulary.catalogue.store import Catalogue
-from cartulary.operators.lineage import checkpoint_dir, written
+from cartulary.operators.lineage import checkpoint_dir, small_batches, written
 from cartulary.plans.registry import Tables, named
 
 
@@ -77,11 +77,11 @@ def q_attribute_values(t: Tables) -> DataFrame:
     return found
 
 
-def _published(t: Tables) -> Catalogue:
-    """The documents as one game's cards, in a catalogue in the shared folder."""
+def _published(t: Tables, *names: Column) -> Catalogue:
+    """The documents as one game's cards (with these columns besides), in a catalogue in the shared folder."""
     spark = t.documents.sparkSession
     catalogue = Catalogue(spark, f"{checkpoint_dir(spark)}/catalogue-{uuid.uuid4().hex}")
-    cards = t.documents.select(F.concat(F.lit("card_"), "doc_id").alias("id"), F.lit("prose").alias("game"), F.col("source").alias("name"), F.col("text").alias("rules_text"))
+    cards = t.documents.select(F.concat(F.lit("card_"), "doc_id").alias("id"), F.lit("prose").alias("game"), F.col("text").alias("rules_text"), *names)
     catalogue.publish("prose", None, cards=cards)
     return catalogue
 
@@ -94,7 +94,7 @@ UNION ALL SELECT 'zzqzz', 'card_' || doc_id FROM documents WHERE contains(lower(
 """)
 def q_indexed_search(t: Tables) -> DataFrame:
     """Searches over the postings of a published batch; one of two code points scans."""
-    catalogue = _published(t)
+    catalogue = _published(t, F.col("source").alias("name"))
     found = None
     for q in ("en de", "Tion of th", "zu", "zzqzz"):
         one = catalogue.at().search("cards", q).select(F.lit(q.lower()).alias("q"), "id")
@@ -114,14 +114,17 @@ def q_repaired_postings(t: Tables) -> DataFrame:
     catalogue = _published(t)
     spark = t.documents.sparkSession
     index = catalogue.index("cards", catalogue.at().batches["prose"])
-    buckets = [r["bucket"] for r in index.read("grams").select("bucket").distinct().orderBy("bucket").limit(2).collect()]
+    buckets = [r["bucket"] for r in index.stored("grams").select("bucket").distinct().orderBy("bucket").limit(2).collect()]
     catalogue.files.remove(f"{index.folder}/grams/bucket={buckets[0]}")
-    spark.createDataFrame([], "key bigint, id string").write.mode("overwrite").parquet(f"{index.folder}/grams/bucket={buckets[1]}")
+    spark.createDataFrame([], "key bigint, ids array<string>").write.mode("overwrite").parquet(f"{index.folder}/grams/bucket={buckets[1]}")
     while index.repair(most=1):
         pass
-    # Source names are searched too, and are no part of the texts.
-    texts = t.documents.where("text is not null").select(F.concat(F.lit("card_"), "doc_id").alias("id"), F.lower("text").alias("body"))
-    rows = index.read("grams").select("id", gram_text(F.col("key")).alias("gram")).join(texts, "id").where(F.contains("body", F.col("gram")))
-    found = written(rows.groupBy("gram").agg(F.count("*").alias("n_cards")))
+    n = index.stored("grams").groupBy("key").agg(F.sum(F.size("ids")).alias("n"))
+    # Postings are of compatibility forms; what only such a form has is no part of the text.
+    forms = catalogue.at().entities("cards").where("id is not null").select(F.lower("rules_text").alias("body"), F.col("search_text")[0].alias("form")).where("form <> body")
+    foreign = forms.select("body", F.explode(grams(F.array("form"))).alias("key")).where(~F.contains("body", gram_text(F.col("key")))).groupBy("key").agg(F.count("*").alias("foreign"))
+    rows = n.join(foreign, "key", "left").select(gram_text(F.col("key")).alias("gram"), (F.col("n") - F.coalesce("foreign", F.lit(0))).alias("n_cards"))
+    with small_batches(spark):
+        found = written(rows.where("n_cards > 0"))
     catalogue.files.remove(catalogue.root)
     return found

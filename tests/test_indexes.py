@@ -91,3 +91,20 @@ def test_many_ids_and_values_at_once(spark, catalogue):
     assert snapshot.lookup("cards", ids.where("x = 'nobody'")).count() == 0
     values = spark.createDataFrame([("Walker",), ("Filler 3",), ("none",), (None,)], "x string")
     assert {r.value: r.known for r in snapshot.known_values("cards", "name", values, "g2").collect()} == {"Walker": True, "Filler 3": False, "none": False}
+
+
+def test_a_stored_row_holds_the_ids_of_a_batch_of_texts(spark, catalogue):
+    index = catalogue.index("cards", catalogue.at().batches["g1"])
+    stored, each = index.stored("grams").collect(), index.read("grams").collect()
+    assert sum(len(r.ids) for r in stored) == len(each) > 3 * len(stored)
+    assert len({(r.key, r.id) for r in each}) == len(each)
+
+
+def test_postings_of_texts_with_compatibility_forms(spark, tmp_path):
+    """A form's grams that the text has not are left out, as are texts without an id."""
+    from cartulary.plans.registry import QUERIES
+
+    rows = [(1, "en", "ofﬁce fire"), (2, "en", "OFFICE"), (3, "en", None), (4, "en", "ab"), (None, "en", "xyzzy ﬁx"), (5, "en", "")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.gram: r.n_cards for r in QUERIES["q_repaired_postings"](spark, str(tmp_path)).collect()}
+    assert found == {"off": 1, "ffi": 1, "fic": 1, "ice": 1, "e f": 1, "ce ": 1, " fi": 1, "fir": 1, "ire": 1}
