@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,19 @@ def test_postings_of_texts_with_compatibility_forms(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.gram: r.n_cards for r in QUERIES["q_repaired_postings"](spark, str(tmp_path)).collect()}
     assert found == {"off": 1, "ffi": 1, "fic": 1, "ice": 1, "e f": 1, "ce ": 1, " fi": 1, "fir": 1, "ire": 1}
+
+
+def test_texts_are_published_in_small_batches(spark):
+    """The Python of a publication holds batches of bounded bytes; the session's limit is as before."""
+    from cartulary.operators.lineage import small_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    texts = spark.range(0, 2000, 1, 1).selectExpr("repeat('word ', 2000) AS text")
+    with small_batches(spark):
+        assert texts.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] < 8 << 20
+    assert spark.conf.get(key, None) == before
