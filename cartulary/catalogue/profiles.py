@@ -132,9 +132,13 @@ def attribute_filter(schema: dict, attribute: str, raw: str, attributes: Column)
     return F.array_contains(F.from_json(found, "array<string>"), literal) if at["kind"] == "array" else F.coalesce(found == F.lit(literal), F.lit(False))
 
 
-def leaves(df: DataFrame, keep: Sequence[str], attributes: str, indexes: bool = False, depth: int = MOST_DEPTH) -> DataFrame:
+def leaves(df: DataFrame, keep: Sequence[str], attributes: str, indexes: bool = False, depth: int = MOST_DEPTH, distinct: bool = True) -> DataFrame:
     """keep, attribute, value: the distinct scalar leaves of the JSON records, by dotted path; arrays without indexes unless asked for.
 
+    Records are dealt out by keep first, so several tasks open them, and one keeps
+    the leaves of a partition of records, not of a whole file.  Not distinct, a leaf
+    has a row for each time it stands in a record, and nothing is kept.
+
     A value is the JSON text of the leaf.  The records are parsed once, to
     VARIANT; each level is opened by Spark's own functions, scalars staying as
     they are, so the plan is as long as `depth` and holds no Python.  Fails on a
@@ -150,12 +154,13 @@ def leaves(df: DataFrame, keep: Sequence[str], attributes: str, indexes: bool =
         members = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: F.struct(numbered(i).alias("attribute"), x.alias("leaf")))
         return F.coalesce(fields, members, F.array(F.struct(path.alias("attribute"), v.alias("leaf"))))
 
-    rows = df.where(F.col(attributes).isNotNull()).select(*keep, F.lit("").alias("attribute"), F.parse_json(attributes).alias("leaf"))
+    rows = df.repartition(*keep).where(F.col(attributes).isNotNull()).select(*keep, F.lit("").alias("attribute"), F.parse_json(attributes).alias("leaf"))
     for _ in range(depth):
         rows = rows.select(*keep, F.explode(below(F.col("attribute"), F.col("leaf"))).alias("at")).select(*keep, "at.*")
     nested = F.schema_of_variant("leaf").rlike("^(OBJECT|ARRAY)<")
     deep = F.raise_error(F.concat(F.lit("a record is nested too deep at "), F.col("attribute"))).cast("string")
-    return rows.select(*keep, "attribute", F.when(nested, deep).otherwise(F.to_json("leaf")).alias("value")).distinct()
+    found = rows.select(*keep, "attribute", F.when(nested, deep).otherwise(F.to_json("leaf")).alias("value"))
+    return found.distinct() if distinct else found
 
 
 # Keys of records that consumers are not shown.

@@ -184,6 +184,18 @@ def test_attribute_filters_and_leaves(spark):
     assert spark.createDataFrame([(record,)], "r string").select(profiles.consumer_content(F.col("r"))).first()[0] == '{"game_data":{"confidence":4},"id":1,"sub":{"k":3}}'
 
 
+def test_leaves_are_dealt_out_once_or_not_at_all(spark, tmp_path):
+    from cartulary.plans.registry import QUERIES
+
+    df = spark.createDataFrame([(1, '{"t":["a","a"]}'), (1, '{"t":["a"]}')], "id int, a string")
+    assert profiles.leaves(df, ["id"], "a").collect() == [(1, "t", '"a"')] and profiles.leaves(df, ["id"], "a", distinct=False).count() == 3
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    assert plan(profiles.leaves(df, ["id"], "a")).count("Exchange") == 1
+    spark.createDataFrame([(1, "c#1", 2, "S")] * 2, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    found = QUERIES["q_nested_leaves"](spark, str(tmp_path))
+    assert found.count() == 10 and "Aggregate" not in plan(found)  # its SQL keeps repeated customers
+
+
 def test_archives(spark, tmp_path):
     import gzip
 
