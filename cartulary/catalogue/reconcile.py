@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cartulary.functions.canon import formatting_form
 from cartulary.operators.graph import reachable
 from cartulary.operators.identity import follow
-from cartulary.operators.lineage import written
+from cartulary.operators.lineage import tabled, written
 
 #: Fields that make two printings compatible, nulls alike.
 COMPATIBLE = ("card_id", "artwork", "printed_digest", "rarity", "treatment")
@@ -52,11 +52,14 @@ def corroborated(observations: DataFrame, printings: DataFrame, seen: DataFrame,
     def ends(rows: DataFrame, *keys: str) -> DataFrame:
         return rows.groupBy("key", *keys).agg(F.min("printing_id").alias("lo"), F.max("printing_id").alias("hi"))
 
-    own = asked.join(ends(known.join(seen, "printing_id"), "lineage"), ["key", "lineage"])
-    unseen = asked.join(ends(known.join(seen, "printing_id", "left_anti")), "key")
-    shared = asked.join(claims, "observation_id").join(ends(known.join(members, "printing_id"), "product"), ["key", "product"])
-    found = [x.select("observation_id", "lo", "hi") for x in (own, unseen, shared)]
-    return found[0].unionAll(found[1]).unionAll(found[2]).groupBy("observation_id").agg(F.min("lo").alias("kept_id"), F.max("hi").alias("kept_last"))
+    # The sides are written apart: small ones are broadcast, and the observations are dealt out once, by their ids.
+    by_lineage = tabled(ends(known.join(seen.withColumn("seen", F.lit(True)), "printing_id", "left"), "lineage", "seen"))
+    own = by_lineage.where("seen").select("key", "lineage", F.col("lo").alias("own_lo"), F.col("hi").alias("own_hi"))
+    unseen = by_lineage.where("seen is null").select("key", F.col("lo").alias("unseen_lo"), F.col("hi").alias("unseen_hi"))
+    shared = tabled(ends(known.join(members, "printing_id"), "product")).select("key", "product", F.col("lo").alias("shared_lo"), F.col("hi").alias("shared_hi"))
+    rows = asked.join(claims, "observation_id", "left").join(own, ["key", "lineage"], "left").join(unseen, "key", "left").join(shared, ["key", "product"], "left")
+    lo, hi = F.least("own_lo", "unseen_lo", "shared_lo"), F.greatest("own_hi", "unseen_hi", "shared_hi")
+    return rows.groupBy("observation_id").agg(F.min(lo).alias("kept_id"), F.max(hi).alias("kept_last")).where("kept_id is not null")
 
 
 def match_printings(observations: DataFrame, locators: DataFrame, printings: DataFrame, reviews: DataFrame, kept: DataFrame | None = None) -> DataFrame:
@@ -77,47 +80,58 @@ def match_printings(observations: DataFrame, locators: DataFrame, printings: Dat
     exists, insufficient if its novelty isn't proven.
     """
     owner = printings.select(F.col("printing_id").alias("loc_id"), F.struct(*COMPATIBLE).alias("loc_facts"))
-    located = locators.withColumnRenamed("printing_id", "loc_id").join(owner, "loc_id", "left")
-    rows = observations.join(located, ["lineage", "locator", "variant"], "left")
-    rows = rows.join(reviews.withColumnRenamed("printing_id", "review_id"), "observation_id", "left")
+    # Only observations with a locator are looked up; what goes on is narrow, and as few columns as are asked for.
+    at = observations.where("locator is not null").join(locators.withColumnRenamed("printing_id", "loc_id"), ["lineage", "locator", "variant"], "left").join(owner, "loc_id", "left")
+    facts = ["observation_id", "lineage", *COMPATIBLE, "artwork_explicit", "novel"]
+    at = at.select(*facts, "loc_id", F.when(F.col("loc_id").isNotNull(), F.col("loc_facts").eqNullSafe(F.struct(*COMPATIBLE))).alias("agrees"))
+    none = observations.where("locator is null").select(*facts, F.lit(None).cast(at.schema["loc_id"].dataType).alias("loc_id"), F.lit(None).cast("boolean").alias("agrees"))
+    rows = at.unionAll(none).join(reviews.withColumnRenamed("printing_id", "review_id"), "observation_id", "left")
     exact = _sums(printings, COMPATIBLE, "exact")
     look = _sums(printings, APPEARANCE, "look")
+    if kept is not None:
+        exact, look = tabled(exact), tabled(look.drop("look_id"))
     # Cross-source evidence comes from another lineage: two lineages at one key always hold one.
     cross = printings.groupBy(*[F.col(k).alias(f"cross_{k}") for k in CROSS_SOURCE]).agg(
         F.min("lineage").alias("cross_lo"), F.max("lineage").alias("cross_hi"), F.min(F.struct("lineage", "printing_id")).alias("cross_first"), F.max(F.struct("lineage", "printing_id")).alias("cross_last")
     )
-    rows = rows.join(exact, _on(COMPATIBLE, "exact"), "left").join(look, _on(APPEARANCE, "look"), "left").join(cross, _on(CROSS_SOURCE, "cross"), "left")
-    other = F.when(F.col("cross_lo") != F.col("lineage"), F.col("cross_first.printing_id")).when(F.col("cross_hi") != F.col("lineage"), F.col("cross_last.printing_id"))
+    rows = rows.join(exact, _on(COMPATIBLE, "exact"), "left").join(look, _on(APPEARANCE, "look"), "left")
+    if kept is None:
+        rows = rows.join(cross, _on(CROSS_SOURCE, "cross"), "left")
+        elsewhere = F.coalesce((F.col("cross_lo") != F.col("lineage")) | (F.col("cross_hi") != F.col("lineage")), F.lit(False))
+        other = F.when(F.col("cross_lo") != F.col("lineage"), F.col("cross_first.printing_id")).when(F.col("cross_hi") != F.col("lineage"), F.col("cross_last.printing_id"))
     n = F.coalesce("exact_n", F.lit(0))
     alone = F.lit(False)
     if kept is not None:
         rows = rows.join(kept, "observation_id", "left")
-        alone, other = (n > 0) & F.col("kept_id").isNull(), F.lit(None).cast("string")
+        alone, elsewhere, other = (n > 0) & F.col("kept_id").isNull(), F.lit(False), F.lit(None).cast("string")
         n = F.when(F.col("kept_id").isNull(), 0).when(F.col("kept_id") == F.col("kept_last"), 1).otherwise(2)
     match = "exact_id" if kept is None else "kept_id"
-    agrees = F.col("loc_facts").eqNullSafe(F.struct(*COMPATIBLE))
+    agrees = F.col("agrees")
     new_id = F.concat(F.lit("printing_"), F.sha2(F.to_json(F.struct(*COMPATIBLE), {"ignoreNullFields": "false"}), 256))
     has = F.col("loc_id").isNotNull()
 
-    def row(printing: Column | str, decision: str, diagnostic: str | None = None) -> Column:
-        p = F.col(printing) if isinstance(printing, str) else printing
-        return F.struct(p.alias("p"), F.lit(decision).alias("d"), F.lit(diagnostic).cast("string").alias("x"))
-
     contradictory, insufficient = "printing_match_contradictory", "printing_match_insufficient_evidence"
-    case = (
-        F.when(has & ~agrees, row("loc_id", "located", contradictory))
-        .when(has, row("loc_id", "located"))
-        .when(F.col("review_id").isNotNull(), row("review_id", "reviewed"))
-        .when((n == 0) & other.isNotNull(), row(other, "cross_source", insufficient))
-        .when(alone, row("exact_id", "uncorroborated", insufficient))
-        .when((n > 0) & ~F.col("artwork_explicit"), row(match, "inexplicit", insufficient))
-        .when(n > 1, row(match, "ambiguous", "printing_match_ambiguous"))
-        .when(n == 1, row(match, "matched"))
-        .when(F.col("look_n") > 0, row(new_id, "allocated", contradictory))
-        .when(~F.col("novel"), row(new_id, "allocated", insufficient))
-        .otherwise(row(new_id, "allocated"))
-    )
-    return rows.select("observation_id", case.alias("c")).select("observation_id", F.col("c.p").alias("printing_id"), F.col("c.d").alias("decision"), F.col("c.x").alias("diagnostic"))
+    cases = [
+        (has & ~agrees, "loc_id", "located", contradictory),
+        (has, "loc_id", "located", None),
+        (F.col("review_id").isNotNull(), "review_id", "reviewed", None),
+        ((n == 0) & elsewhere, other, "cross_source", insufficient),
+        (alone, "exact_id", "uncorroborated", insufficient),
+        ((n > 0) & ~F.col("artwork_explicit"), match, "inexplicit", insufficient),
+        (n > 1, match, "ambiguous", "printing_match_ambiguous"),
+        (n == 1, match, "matched", None),
+        (F.col("look_n") > 0, new_id, "allocated", contradictory),
+        (~F.col("novel"), new_id, "allocated", insufficient),
+        (F.lit(True), new_id, "allocated", None),
+    ]
+
+    def first(values: Sequence[Column]) -> Column:
+        """By the first case that holds; a column of its own, so that what only another one needs is not carried."""
+        return F.coalesce(*[F.when(c, F.struct(v.alias("v"))) for (c, *_), v in zip(cases, values, strict=True)])["v"]
+
+    printing = first([F.col(p) if isinstance(p, str) else p for _, p, _, _ in cases])
+    decision, diagnostic = (first([F.lit(case[i]).cast("string") for case in cases]) for i in (2, 3))
+    return rows.select("observation_id", printing.alias("printing_id"), decision.alias("decision"), diagnostic.alias("diagnostic"))
 
 
 def published_conflicts(candidates: DataFrame, published: DataFrame, authorities: DataFrame) -> DataFrame:

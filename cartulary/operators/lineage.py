@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -28,6 +29,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.select("*").checkpoint(eager=True)
 
 
+def tabled(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, where it stays as a checkpoint does: a fraction of a checkpoint's bytes, and of a known size, so that joins may broadcast it."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, limit: int = 4 << 20) -> Iterator[None]:
     """While results are made, Arrow batches have at most so many bytes (and a row); by Spark's own limits they hold 10,000 texts or 64 MB."""

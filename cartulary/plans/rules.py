@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cartulary.catalogue import reconcile
 from cartulary.operators import evidence
-from cartulary.operators.lineage import written
+from cartulary.operators.lineage import tabled
 from cartulary.plans.registry import Tables, named
 from cartulary.streaming import control
 
@@ -15,7 +15,7 @@ from cartulary.streaming import control
 def _printings(t: Tables) -> DataFrame:
     cols = {"card_id": F.col("l_partkey"), "artwork": F.col("l_suppkey") % 7, "printed_digest": F.col("l_linenumber"), "rarity": F.col("l_returnflag"), "treatment": F.nullif(F.col("l_linestatus"), F.lit("O"))}
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
-    return t.lineitem.select(*key).distinct().select("l_orderkey", F.concat_ws("-", *[F.col(k).cast("string") for k in key]).alias("id"), (F.col("l_orderkey") % 3).cast("string").alias("lineage"), *[c.alias(n) for n, c in cols.items()])
+    return tabled(t.lineitem.select(*key).distinct()).select("l_orderkey", F.concat_ws("-", *[F.col(k).cast("string") for k in key]).alias("id"), (F.col("l_orderkey") % 3).cast("string").alias("lineage"), *[c.alias(n) for n, c in cols.items()])
 
 
 @named("""
@@ -36,7 +36,7 @@ SELECT x.id AS observation_id,
 FROM x
 """)
 def q_match_printings(t: Tables) -> DataFrame:
-    rows = written(_printings(t))
+    rows = _printings(t)
     prior = rows.where("l_orderkey % 2 = 0").withColumnRenamed("id", "printing_id")
     at = F.concat_ws("/", F.col("card_id").cast("string"), F.col("printed_digest").cast("string"))
     k = F.col("l_orderkey")
@@ -64,7 +64,6 @@ FROM o JOIN c ON c.id = o.id LEFT JOIN l ON l.card_id = o.card_id AND l.artwork
 def q_corroborated_match(t: Tables) -> DataFrame:
     """Printings of another lineage match only where a product is shared."""
     rows = _printings(t).withColumns({"card_id": F.col("card_id") % 50, "artwork": F.element_at(F.split("id", "-"), 4).cast("bigint") % 3, "product": F.expr("(l_orderkey div 8) % 40")})
-    rows = written(rows)
     prior = rows.where("l_orderkey % 2 = 0").withColumnRenamed("id", "printing_id")
     k = F.col("l_orderkey")
     asked = rows.where(k % 2 == 1).withColumns({"observation_id": F.col("id"), "locator": F.lit(None).cast("string"), "variant": F.lit("base"), "artwork_explicit": k % 7 != 0, "novel": F.lit(True)})

@@ -162,3 +162,11 @@ def test_reconciliation_does_not_depend_on_row_order(spark):
     seen = spark.createDataFrame([(o, c, n) for o, _, c, n in rows], "key string, code string, name string")
     one = sorted(map(tuple, reconcile.identify_products(seen, prior).collect()), key=repr)
     assert one == sorted(map(tuple, reconcile.identify_products(seen.orderBy(F.rand(1)), prior.orderBy(F.rand(2))).collect()), key=repr)
+
+
+def test_matches_carry_only_what_is_asked_for(spark):
+    from cartulary.plans.registry import QUERIES
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    match = QUERIES["q_match_printings"](spark, "/root/testdata/sf0.001")
+    assert not any(x in plan(match) for x in ("sha2", "exact_id", "review_id AS", "cross_first", "ExistingRDD"))  # no ids of printings are needed for a decision
