@@ -170,3 +170,5 @@ def test_matches_carry_only_what_is_asked_for(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     match = QUERIES["q_match_printings"](spark, "/root/testdata/sf0.001")
     assert not any(x in plan(match) for x in ("sha2", "exact_id", "review_id AS", "cross_first", "ExistingRDD"))  # no ids of printings are needed for a decision
+    corroborated = QUERIES["q_corroborated_match"](spark, "/root/testdata/sf0.001")
+    assert not any(x in plan(corroborated) for x in ("cross_", "ExistingRDD"))  # no checkpoint is read, which is several times as large as a table
