@@ -36,12 +36,17 @@ STORED = {"ids": "key string, file string, bucket int", "grams": "key bigint, id
 FILE_BYTES = 1 << 30
 #: Bytes of entities for each task that writes an index.
 TASK_BYTES = 4 << 20
+#: Code points of a text that are looked at together.
+PIECE = 1 << 18
 
 
 def codes(text: str) -> np.ndarray:
-    """The distinct grams of a text, each as one number: 21 bits for a code point."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:])
+    """The distinct grams of a text, each as one number: 21 bits for a code point.  A long text goes by pieces, which share GRAM - 1 code points."""
+    found = []
+    for at in range(0, max(1, len(text) - GRAM + 1), PIECE):
+        points = np.frombuffer(text[at : at + PIECE + GRAM - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        found.append(np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:]))
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
 def _codes_of(own: Sequence[str | None] | None) -> np.ndarray:
@@ -57,17 +62,23 @@ def grams(texts: pd.Series) -> pd.Series:
     return texts.map(_codes_of, na_action=None)
 
 
+def _posted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Of a batch of id, search_text every gram with the ids that have it."""
+    own = [_codes_of(t.as_py()) for t in batch.column("search_text")]
+    keys = np.concatenate([np.zeros(0, np.int64), *own])
+    rows = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
+    del own
+    order = np.argsort(keys, kind="stable")
+    keys, rows = keys[order], rows[order]
+    del order
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    ids = pa.ListArray.from_arrays(pa.array(np.append(first, len(keys)), pa.int32()), batch.column("id").cast(pa.string()).take(pa.array(rows)))
+    return pa.RecordBatch.from_arrays([pa.array(keys[first]), ids], names=["key", "ids"])
+
+
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over id, search_text: of each batch every gram with the ids that have it."""
-    for batch in batches:
-        own = [_codes_of(t) for t in batch.column("search_text").to_pylist()]
-        keys = np.concatenate([np.zeros(0, np.int64), *own])
-        rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
-        order = np.argsort(keys, kind="stable")
-        keys, rows = keys[order], rows[order]
-        first = np.flatnonzero(np.diff(keys, prepend=-1))
-        ids = pa.ListArray.from_arrays(pa.array(np.append(first, len(keys)), pa.int32()), batch.column("id").cast(pa.string()).take(pa.array(rows)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[first]), ids], names=["key", "ids"])
+    """For mapInArrow: _posted of each batch, of which nothing is kept while the next one is made."""
+    yield from map(_posted, batches)
 
 
 def gram_text(key: Column) -> Column:

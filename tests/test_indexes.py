@@ -1,3 +1,5 @@
+import tracemalloc
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +127,20 @@ def test_texts_are_published_in_small_batches(spark):
     with small_batches(spark):
         assert texts.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] < 8 << 20
     assert spark.conf.get(key, None) == before
+
+
+def test_a_long_text_is_looked_at_by_pieces(monkeypatch):
+    """Memory follows the distinct grams, not the length; the grams across the edges of pieces are there."""
+    text = "wörter und 𝔘 " * 200_000
+    tracemalloc.start()
+    try:
+        made = indexes.codes(text).tolist()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert made == indexes.codes("wörter und 𝔘 " * 2).tolist() and peak < 32 << 20
+    short = "abcdefghijk"
+    whole = indexes.codes(short).tolist()
+    for piece in range(1, 12):
+        monkeypatch.setattr(indexes, "PIECE", piece)
+        assert indexes.codes(short).tolist() == whole and [len(indexes.codes(short[:n])) for n in range(5)] == [0, 0, 0, 1, 2]
